@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import pitrec
+
+cloudpickle.register_pickle_by_value(pitrec)  # executors need no copy of this package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
