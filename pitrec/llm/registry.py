@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .pieces import op4_sentencepiece
 from .simhash import op6_simhash_near_dedup
+from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op4_sentencepiece, op6_simhash_near_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
