@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import cloudpickle
@@ -98,3 +100,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """One object for all tasks of a Python worker, such as a tokenizer and its memo."""
+    held = vars(sys).setdefault("_pitrec_worker", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

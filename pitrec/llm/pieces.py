@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_in_worker, table
 from .prefix_bpe import PrefixRule
 
 MEMO = 200_000  # stretches held by a worker
@@ -149,7 +149,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        model = Pieces(path)
+        model = kept_in_worker(("pieces", path), lambda: Pieces(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -166,7 +166,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str =
     src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches):
-        model = Pieces(path)
+        model = kept_in_worker(("pieces", path), lambda: Pieces(path))
         for batch in batches:
             lists = batch.column(1)
             values, ends = np.asarray(lists.values), np.asarray(lists.offsets)
@@ -185,7 +185,7 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        model = Pieces(path)
+        model = kept_in_worker(("pieces", path), lambda: Pieces(path))
         for batch in batches:
             rows = []
             for value in batch.column(1):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MEMO = 400_000
+MEMO = 800_000
 
 
 class PrefixRule:

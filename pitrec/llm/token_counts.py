@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_in_worker, table
 from .prefix_bpe import PrefixRule
 
 MEMO = 400_000  # words held by a worker
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        counter = PrefixCounter(path)
+        counter = kept_in_worker(("prefix counter", path), lambda: PrefixCounter(path))
         for batch in batches:
             size, total, within = [], [], []
             for value in batch.column(1):
