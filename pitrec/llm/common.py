@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 from collections.abc import Callable
@@ -108,3 +109,9 @@ def kept_in_worker(key: tuple, make: Callable):
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def share(spark: SparkSession, thing) -> Callable:
+    """Broadcasts a small object; the function gives it back on an executor."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import share, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -120,10 +120,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
 def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score)."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks, not by the input
+    shared = share(docs.sparkSession, model)  # bounded by the landmarks, not by the input
 
     def run(batches):
-        known = shared.value
+        known = shared()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             use = [k for k, t in enumerate(texts) if known is not None and LETTER.search(t)]
