@@ -11,9 +11,10 @@ from .simhash import op6_simhash_near_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op3_toxicity
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_simhash_near_dedup, op7_suffix_dedup, op9_embedding_near_dedup, op10_token_counts)
+    for f in (op1_mix_sources, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_simhash_near_dedup, op7_suffix_dedup, op8_warc, op9_embedding_near_dedup, op10_token_counts)
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_embedding_near_dedup": OP9_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_warc": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}

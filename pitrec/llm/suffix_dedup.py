@@ -417,8 +417,11 @@ def union(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The rows with `kept` (bytes that stay), `n_bytes`, `n_removed` and `n_spans`, which replace columns of these names."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """The rows with `kept` (what stays), `n_bytes`, `n_removed` and `n_spans`, which replace columns of these names.
+
+    kept is binary, or with `as_text` a string without the characters that a cut divides.
+    """
     gone = cut(spans(docs, id_col, text_col, length, gram))
     n_rows, n_ranges = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
     gone = bounded_broadcast(gone.withColumnsRenamed({"dig": "__dig", "whole": "__whole", "ranges": "__ranges"}), max(n_rows, n_ranges // 4))
@@ -439,13 +442,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     left.append(raw[at:s])
                     at = e
                 left.append(raw[at:])
-                kept.append(b"".join(left))
+                kept.append("".join(x.decode("utf-8", "ignore") for x in left) if as_text else b"".join(left))
                 n.append(len(raw))
-                lost.append(len(raw) - len(kept[-1]))
+                lost.append(len(raw) - sum(map(len, left)))
                 count.append(len(cuts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, lost, count))], names=[*own, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (n, lost, count))], names=[*own, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return src.mapInArrow(run, ", ".join([*fields, "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))
+    return src.mapInArrow(run, ", ".join([*fields, "kept string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
