@@ -33,10 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Text covered by repeated strings of 200 bytes is cut out; characters that a cut divides go whole. No row goes."""
-    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True)
-    changed = F.col("n_removed") > 0
-    return found.withColumns({"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
+    """Text covered by repeated strings of 200 bytes is cut out; characters that a cut divides go whole. No row goes; null becomes empty."""
+    found = suffix_dedup.remove_repeats(docs.select(*COLUMNS), as_text=True, keep_text=False)
+    size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": F.col("kept"), "n_chars": size}).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

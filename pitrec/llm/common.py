@@ -8,6 +8,8 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,3 +117,14 @@ def share(spark: SparkSession, thing) -> Callable:
     """Broadcasts a small object; the function gives it back on an executor."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
     return lambda: pickle.loads(sent.value)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+    """Parts of a batch with about `most` bytes in a text column, so that Python holds few of its texts at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

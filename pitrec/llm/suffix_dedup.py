@@ -23,13 +23,16 @@ table gives no rows; extra columns are kept by `remove_repeats`.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, table
+from .common import cut, share, slices, table
 
 LENGTH, GRAM = 200, 48
 PRIME = 0x9E3779B97F4A7C15 | 1
@@ -91,17 +94,6 @@ class Anchors:
         return text, a - starts[text], a - p1, a - p0, h[a]
 
 
-def _grouped(raws: list, most: int = CHUNK):
-    """(first, texts) of stretches of about `most` bytes."""
-    part, held, first = [], 0, 0
-    for k, r in enumerate(raws):
-        part.append(r)
-        held += len(r)
-        if held >= most or k == len(raws) - 1:
-            yield first, part
-            part, held, first = [], 0, k + 1
-
-
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     n = min(len(a), len(b))
     x, y = a[known:n], b[known:n]
@@ -298,6 +290,33 @@ def _exchange_batch(spans: list, runs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["part", "run", "tid", "s", "e"])
 
 
+
+
+
+def bit_set(keys: DataFrame, key: str, most_bits: int = 28):
+    """A broadcast bit set of hashed keys, of at most 2 ** most_bits bits (32 MB); 16 bits a key while that lasts."""
+    bits = min(most_bits, max(16, (16 * max(1, keys.count())).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    words = keys.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    held = np.zeros(1 << (bits - 6), dtype=np.int64)
+    held[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return bits, share(keys.sparkSession, held.view(np.uint8))
+
+
+def sieve(rows: DataFrame, known, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key may be in the bit set, or with inside=False all others. A full bit set lets rows through that a join turns away, never the reverse."""
+    bits, shared = known
+
+    @F.pandas_udf("boolean")
+    def may_be(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = shared()
+        for p in places:
+            p = p.to_numpy()
+            yield pd.Series(((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1) == inside)
+
+    return rows.where(may_be(F.pmod(F.xxhash64(key), F.lit(1 << bits))))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(dig, whole, ranges): what goes from each distinct text that loses anything.
 
@@ -310,13 +329,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def anchors(batches):
         select = Anchors(length, gram)
         for batch in batches:
-            raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            for first, part in _grouped(raws):
+            for few in slices(batch, 1, CHUNK):
+                part = [t.encode("utf-8", "surrogatepass") for t in few.column(1).to_pylist()]
                 text, place, _, _, h = select(part)
                 ends = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, len(part)),
+                        few.column(0),
                         pa.array([hashlib.sha256(r).digest()[:16] for r in part], pa.binary()),
                         pa.array([len(r) for r in part], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))),
@@ -328,34 +347,30 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     found = src.mapInArrow(anchors, f"id {kind}, dig binary, n bigint, place array<int>, h array<bigint>")
     one = found.groupBy("dig").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("place").alias("place"), F.first("h").alias("h"))
     texts = cut(one.withColumn("tid", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
-    each = texts.where(f"copies = 1 or n < {length}").select("tid", F.explode(F.arrays_zip("place", "h")).alias("x")).select("tid", "x.place", "x.h")
-    copied = texts.where(f"copies > 1 and n >= {length}")
-    once = each.unionByName(copied.select("tid", F.explode(F.arrays_zip("place", "h")).alias("x")).select("tid", "x.place", "x.h"))
-    often = once.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    wanted = cut(once.join(often, "h", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_list("place")).alias("place")))
-    n_rows, n_places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("place")), F.lit(0))).first()
+    each = texts.select("tid", F.explode(F.arrays_zip("place", "h")).alias("x")).select("tid", "x.place", "x.h")
+    often = cut(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))  # cut, so that a hot k-gram's join can be split
+    wanted = cut(each.join(often, "h", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_list("place")).alias("place")))
+    n_places = wanted.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_places * 400 // (TASK_MB << 20)))
-
     ask = wanted.join(texts.select("tid", "dig", "id"), "tid").select("tid", "dig", F.col("id").alias("rid"), "place")
-    ask = bounded_broadcast(ask, max(n_rows, n_places // 16))
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    with_text = src.withColumn("dig", digest).join(ask, "dig").where(F.col("id").eqNullSafe(F.col("rid"))).select("tid", "text", "place")
+    sieved = sieve(src.withColumn("dig", F.substring(F.unhex(F.sha2("text", 256)), 1, 16)), bit_set(ask, "dig"), "dig")
+    with_text = sieved.join(ask, "dig").where(F.col("id").eqNullSafe(F.col("rid"))).select("tid", "text", "place")
 
     def contexts(batches):
         select, rows = Anchors(length, gram), []
         for batch in batches:
-            tids = batch.column(0).to_pylist()
-            raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            places = batch.column(2)
-            for first, part in _grouped(raws):
+            for few in slices(batch, 1, CHUNK):
+                tids = few.column(0).to_pylist()
+                part = [t.encode("utf-8", "surrogatepass") for t in few.column(1).to_pylist()]
                 text, place, low, high, h = select(part)
-                ask_text = np.concatenate([np.full(len(places[first + k]), k) for k in range(len(part))])
-                ask_place = np.concatenate([np.asarray(places[first + k].values) for k in range(len(part))])
+                lists = few.column(2)
+                ask_text = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy())
+                ask_place = lists.flatten().to_numpy()
                 use = np.flatnonzero(np.isin(text << 40 | place, ask_text.astype(np.int64) << 40 | ask_place.astype(np.int64)))
                 to = (h[use] % np.uint64(parts)).tolist()
                 for p, t, a, lo, hi in zip(to, text[use].tolist(), place[use].tolist(), low[use].tolist(), high[use].tolist()):
                     raw = part[t]
-                    rows.append((p, raw[a : a + length - lo], raw[a - hi : a][::-1], tids[first + t], a, lo, hi))
+                    rows.append((p, raw[a : a + length - lo], raw[a - hi : a][::-1], tids[t], a, lo, hi))
                 if len(rows) >= RUN_ROWS:
                     yield _exchange_batch(*_runs(rows, parts, length))
                     rows = []
@@ -417,22 +432,24 @@ def union(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, keep_text: bool = True) -> DataFrame:
     """The rows with `kept` (what stays), `n_bytes`, `n_removed` and `n_spans`, which replace columns of these names.
 
     kept is binary, or with `as_text` a string without the characters that a cut divides.
+    Without `keep_text` the text column itself is left out, and not shuffled beside its bytes.
     """
-    gone = cut(spans(docs, id_col, text_col, length, gram))
-    n_rows, n_ranges = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    gone = bounded_broadcast(gone.withColumnsRenamed({"dig": "__dig", "whole": "__whole", "ranges": "__ranges"}), max(n_rows, n_ranges // 4))
-    own = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(*own).withColumn("__raw", text.cast("binary"))
-    src = src.join(gone, F.substring(F.unhex(F.sha2("__raw", 256)), 1, 16) == F.col("__dig"), "left").drop("__dig")
+    gone = cut(spans(docs, id_col, text_col, length, gram)).withColumnsRenamed({"dig": "__dig", "whole": "__whole", "ranges": "__ranges"})
+    own = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans") and (keep_text or c != text_col)]
+    src = docs.select(*own, F.col(text_col).alias("__text"))
+    src = src.withColumn("__raw", F.coalesce(F.col("__text").cast("string"), F.lit("")).cast("binary")).drop("__text").withColumn("__dig", F.substring(F.unhex(F.sha2("__raw", 256)), 1, 16))
+    known = bit_set(gone, "__dig")
+    touched = sieve(src, known, "__dig").join(gone, "__dig", "left").drop("__dig")
+    size, none = F.octet_length("__raw").cast("bigint"), F.lit(0).cast("bigint")
+    rest = sieve(src, known, "__dig", inside=False).select(*own, (F.col("__raw").cast("string") if as_text else F.col("__raw")).alias("kept"), size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"))
     fields = [f"`{c}` {t}" for c, t in src.select(*own).dtypes]
 
     def run(batches):
-        for batch in batches:
+        for batch in (few for batch in batches for few in slices(batch, len(own))):
             raws, whole, ranges = (c.to_pylist() for c in batch.columns[-3:])
             kept, n, lost, count = [], [], [], []
             for raw, w, some in zip(raws, whole, ranges):
@@ -448,9 +465,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 count.append(len(cuts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (n, lost, count))], names=[*own, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return src.mapInArrow(run, ", ".join([*fields, "kept string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))
+    return rest.unionByName(touched.mapInArrow(run, ", ".join([*fields, "kept string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"])))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
