@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import early, late
+from .late import flagship  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return early.Q.queries | late.Q.queries
 
 
 def oracle_sql() -> dict:
-    return {}
+    return early.Q.sql | late.Q.sql
