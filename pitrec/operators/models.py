@@ -164,9 +164,9 @@ def text_classifier(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
 
     f = tfidf(train)
-    sizes = train.groupBy(label).agg(F.count("*").alias("c"))
+    sizes = train.groupBy(label).agg(F.count("*").alias("class_size"))
     n, k = train.count(), sizes.count()
-    weighted = f.transform(train).join(F.broadcast(sizes), label).withColumns({"w": F.lit(float(n)) / (F.col("c") * float(k)), label: F.col(label).cast("double")})  # a row a class
+    weighted = f.transform(train).join(F.broadcast(sizes), label).withColumns({"w": F.lit(float(n)) / (F.col("class_size") * float(k)), label: F.col(label).cast("double")})  # a row a class
     model = LogisticRegression(featuresCol="features", labelCol=label, weightCol="w", regParam=1e-3, maxIter=20).fit(weighted)
     return model.transform(f.transform(test).withColumn(label, F.col(label).cast("double"))).select("doc_id", F.col(label).alias("rating"), F.col("prediction").alias("pred"))
 
