@@ -103,16 +103,16 @@ def preflight(df: DataFrame, columns: list[str]) -> None:
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
-    counts = df.groupBy(column).agg(F.count("*").alias("c"))
-    total = F.sum("c")
-    return counts.agg(r6(F.log2(total) - F.sum(F.col("c") * F.log2("c")) / total).alias("entropy_bits"))
+    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
+    total = F.sum("__n")
+    return counts.agg(r6(F.log2(total) - F.sum(F.col("__n") * F.log2("__n")) / total).alias("entropy_bits"))
 
 
 def facet_distribution(df: DataFrame, facet: str, top: int = 20) -> DataFrame:
     """One row: values, largest share, entropy, and the tail sizes; see `facet_top` for the head."""
-    counts = df.groupBy(facet).agg(F.count("*").alias("c"))
-    total = F.sum("c")
-    return counts.agg(F.count("*").alias("n_unique"), r6(F.max("c") / total).alias("max_share"), r6(F.log2(total) - F.sum(F.col("c") * F.log2("c")) / total).alias("entropy_bits"), F.count_if(F.col("c") == 1).alias("n_singletons"), F.count_if(F.col("c") < 5).alias("n_below_5"))
+    counts = df.groupBy(facet).agg(F.count("*").alias("__n"))
+    total = F.sum("__n")
+    return counts.agg(F.count("*").alias("n_unique"), r6(F.max("__n") / total).alias("max_share"), r6(F.log2(total) - F.sum(F.col("__n") * F.log2("__n")) / total).alias("entropy_bits"), F.count_if(F.col("__n") == 1).alias("n_singletons"), F.count_if(F.col("__n") < 5).alias("n_below_5"))
 
 
 def facet_top(df: DataFrame, facet: str, top: int = 20) -> DataFrame:
