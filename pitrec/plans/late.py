@@ -896,3 +896,25 @@ def _(spark, d):
 @Q("m15_text_classifier")
 def _(spark, d):
     return models.text_classifier(*_text_parts(spark, d), "quality")
+
+
+# --- streaming (beyond the batch operators) ----------------------------------
+
+
+@Q("s1_streamed_popularity", """
+WITH e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS item_id, date_trunc('day', ts) AS day FROM events WHERE event_type IN ('purchase', 'click', 'view'))
+SELECT item_id, round(sum(pow(0.5, (1706745600000 - epoch_ms(day)) / 86400000.0 / 7.0)), 6) AS score FROM e WHERE day < (SELECT date_trunc('day', max(ts) - INTERVAL 2 DAY) FROM events WHERE event_type IN ('purchase', 'click', 'view')) GROUP BY 1""")
+def _(spark, d):
+    """Daily counts from a stream over the events, decayed to 1 February 2024; days that the watermark has not closed are not in it."""
+    from pitrec.streaming import popularity as online
+
+    from .early import _scratch
+
+    place = _scratch(spark)
+    load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").write.parquet(f"{place}/in")
+    # files in the order of time, so that none is later than the watermark
+    query = online.start_counts(online.positives(online.read_events(spark, f"{place}/in", 100)), f"{place}/out", f"{place}/state")
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return online.decayed_scores(spark.read.parquet(f"{place}/out"), 1_706_745_600_000, 7.0)
