@@ -19,17 +19,18 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_in_worker, table
-from .prefix_bpe import PrefixRule
+from .prefix_bpe import Memo, PrefixRule
 
-MEMO = 200_000  # stretches held by a worker
+MEMO = 300_000  # stretches held by a worker
 SHORT = 48  # characters of stretches whose prefixes are remembered
 SPACE = "▁"  # fixed value: the mark that stands for a space
 
@@ -56,10 +57,15 @@ class Pieces:
         self.longest = max(map(len, self.id))
         joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         stray = sorted({c for c in map(chr, range(128)) if not any(c in two for two in joined)})
-        alone = regex.escape("".join(stray), special_only=True)
-        self.stretch = regex.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        apart = {c for two in joined for c in two if c != SPACE and not c.isalpha()} - set(stray)
+        while loose := {c for two in joined for c, other in (two, two[::-1]) if c in apart and other not in apart and two[0] != SPACE}:
+            apart -= loose  # those left join each other and a leading space mark, nothing else
+        alone, apart = (re.escape("".join(sorted(x))) for x in (stray, apart))
+        parts = [f"[{alone}]"] if alone else []
+        parts += [f"{SPACE}*[^{SPACE}{alone}{apart}]+"] + ([f"{SPACE}*[{apart}]+"] if apart else []) + [f"{SPACE}+"]
+        self.stretch = re.compile("|".join(parts))
         self.rule = PrefixRule({p: -score for p, score in self.score.items() if len(p) > 1 and SPACE + SPACE not in p})
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self._memo = Memo(self._stretch_ids, MEMO, SHORT)
 
     def merge(self, text: str) -> list[str]:
         """The merge order itself: best score first, then the leftmost."""
@@ -116,27 +122,17 @@ class Pieces:
         known = self.id.get(piece)
         return [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def stretch_ids(self, text: str) -> tuple[int, ...]:
-        if (known := self._memo.get(text)) is not None:
-            return known
+    def _stretch_ids(self, text: str) -> tuple[int, ...]:
         if SPACE + SPACE in text:
             pieces = self.merge(text)
         else:
             pieces = self.rule.tokens(text) if len(text) <= SHORT else self.viterbi(text)
-        known = tuple(k for p in pieces for k in self._ids(p))
-        if len(text) <= SHORT:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            self._memo[text] = known
-        return known
+        return tuple(k for p in pieces for k in self._ids(p))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        for ids in map(self.stretch_ids, self.stretch.findall(SPACE + text.replace(" ", SPACE))):
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self._memo.__getitem__, self.stretch.findall(SPACE + text.replace(" ", SPACE)))))
 
     def decode(self, ids) -> str:
         """The text of the ids, without the leading space that encoding adds; stray bytes become U+FFFD."""

@@ -5,19 +5,46 @@ from __future__ import annotations
 MEMO = 800_000
 
 
+class Memo(dict):
+    """Values by key, made when first asked for, in two generations: once `most` are held, those not asked for since the last turn go."""
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PrefixRule:
     """For tokens that are bytes or strings.
 
     rank: the merge order of each token of two units or more; a lower rank merges first.
     A token's two parts are those of its own last merge, found when first needed.
+    Tokens that their own merges never make can not occur and are left out.
     """
 
     def __init__(self, rank: dict):
-        self.rank = rank
+        self.rank = dict(rank)
         self._parts: dict = {}
         self._fit: dict = {}
         self._state: dict = {}
         self.longest = max(map(len, rank), default=1)
+        self.rank = {t: r for t, r in rank.items() if self.parts(t)}
+        #: the longest token that ends in these two or three units
+        self.reach: dict = {}
+        for t in self.rank:
+            for n in (2, 3):
+                if len(t) >= n and self.reach.get(t[-n:], 0) < len(t):
+                    self.reach[t[-n:]] = len(t)
 
     def merge(self, text) -> list:
         """The merge order itself: lowest rank first, then the leftmost."""
@@ -40,10 +67,6 @@ class PrefixRule:
             known = self._parts[token] = (kept[0], kept[-1]) if len(kept) == 2 else None
         return known
 
-    def reachable(self, token) -> bool:
-        """False for a token that its own merges never make."""
-        return len(token) == 1 or self.parts(token) is not None
-
     def fits(self, left, right) -> bool:
         """True if encoding left + right gives the two back.
 
@@ -76,7 +99,7 @@ class PrefixRule:
         """The last token of the prefix text[:end], and where it starts; before(start) is the last token there."""
         for k in range(max(start, end - self.longest), end):
             token = text[k:end]
-            if (end - k == 1 or token in self.rank and self.reachable(token)) and (k == 0 or self.fits(before(k), token)):
+            if (end - k == 1 or token in self.rank) and (k == 0 or self.fits(before(k), token)):
                 return token, k
         raise AssertionError("every prefix has a last token")
 
@@ -90,18 +113,23 @@ class PrefixRule:
         at = len(word) - 1
         while at > 0 and word[:at] not in memo:
             at -= 1
-        rank, longest = self.rank, self.longest
+        rank, reach, fit = self.rank, self.reach, self._fit
         for end in range(at + 1, len(word) + 1):
-            for k in range(max(0, end - longest), end):
+            k = end - (reach.get(word[end - 3 : end], 2) if end > 2 else 2)
+            if k < 0:
+                k = 0
+            while True:
                 token = word[k:end]
-                if end - k == 1 or token in rank and self.reachable(token):
+                if token in rank or end - k == 1:
                     if k == 0:
                         memo[token] = (1, token)
                         break
                     n, last = memo[word[:k]]
-                    if self.fits(last, token):
+                    good = fit.get((last, token))
+                    if good or good is None and self.fits(last, token):
                         memo[word[:end]] = (n + 1, token)
                         break
+                k += 1
         return memo[word]
 
     def tokens(self, word) -> list:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_in_worker, table
-from .prefix_bpe import PrefixRule
+from .prefix_bpe import Memo, PrefixRule
 
 MEMO = 400_000  # words held by a worker
 SHORT = 48  # bytes of words whose prefixes are remembered
@@ -55,7 +55,7 @@ class PrefixCounter:
         for k, (a, b) in enumerate(merges):
             rank.setdefault(bytes(alphabet[c] for c in a + b), k)
         self.rule = PrefixRule(rank)
-        self._memo: dict[str, int] = {}
+        self._memo = Memo(self._word_count, MEMO, SHORT)
 
     def word_table(self, word: str) -> list[int]:
         """The exact token count of each prefix of a word, for 0 to all of its bytes."""
@@ -70,16 +70,12 @@ class PrefixCounter:
             last.append(token)
         return count
 
-    def word_count(self, word: str) -> int:
-        if (known := self._memo.get(word)) is not None:
-            return known
+    def _word_count(self, word: str) -> int:
         raw = word.encode("utf-8", "surrogatepass")
-        known = self.rule.state(raw)[0] if len(raw) <= SHORT else self.word_table(word)[-1]
-        if len(raw) <= SHORT:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            self._memo[word] = known
-        return known
+        return self.rule.state(raw)[0] if len(raw) <= SHORT else self.word_table(word)[-1]
+
+    def word_count(self, word: str) -> int:
+        return self._memo[word]
 
     def chunks(self, text: str):
         """Spans without special tokens, and None for each special token between them."""
@@ -103,7 +99,7 @@ class PrefixCounter:
             elif chunk:
                 found = self.pattern.findall(chunk)
                 words += found
-                counts += map(self.word_count, found)
+                counts += map(self._memo.__getitem__, found)
         return words, np.cumsum(counts, dtype=np.int64) if counts else np.zeros(0, np.int64), counts
 
     def count(self, text: str | None) -> int:
@@ -173,6 +169,33 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return src.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_words_within bigint")
 
 
+def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ends, tokens): for each whole pre-token of a text the bytes and the exact tokens up to its end. `count_at` and `bytes_within` read it."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        counter = kept_in_worker(("prefix counter", path), lambda: PrefixCounter(path))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few, ends, tokens = batch.slice(at, 256), [], []
+                for value in few.column(1):
+                    text = value.as_py() or ""
+                    words, total, _ = counter.table(text)
+                    marks = iter(counter.special.finditer(text)) if counter.special else iter(())
+                    size = [len((w if w is not None else next(marks)[0]).encode("utf-8", "surrogatepass")) for w in words]
+                    ends.append(np.cumsum(size, dtype=np.int64))
+                    tokens.append(total)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ends, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "ends", "tokens"])
+
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, ends array<bigint>, tokens array<bigint>")
+
+
+def bytes_within(tables: DataFrame, budget: int) -> DataFrame:
+    """(id, n_bytes, n_tokens): the longest run of whole pre-tokens from the start within the budget, read from the stored tables without encoding."""
+    n = F.expr(f"size(filter(tokens, t -> t <= {int(budget)}))")
+    return tables.select("id", F.when(n > 0, F.expr("get(ends, size(filter(tokens, t -> t <= %d)) - 1)" % budget)).otherwise(F.lit(0)).cast("bigint").alias("n_bytes"), F.when(n > 0, F.expr("get(tokens, size(filter(tokens, t -> t <= %d)) - 1)" % budget)).otherwise(F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
