@@ -5,7 +5,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from pitrec.llm.pieces import Pieces, decode_ids, encode_texts, round_trips  # noqa: E402
-from pitrec.llm.token_counts import PrefixCounter, token_counts  # noqa: E402
+from pitrec.llm.token_counts import PrefixCounter, bytes_within, prefix_tables, token_counts  # noqa: E402
 
 from .helpers import ODD, documents, frame, prose  # noqa: E402
 
@@ -76,3 +76,16 @@ def test_frames(spark):
     assert back == {k: t or "" for k, t in enumerate(ODD)}
     for f in (lambda x: token_counts(x, P.path(BPE)), lambda x: round_trips(x, P.path(SP)), lambda x: encode_texts(x, P.path(SP))):
         assert f(frame(spark, [])).count() == 0
+
+
+def test_stored_tables_answer_budgets(spark):
+    rng = random.Random(4)
+    given = [prose(rng, 60), "", None, "a<|endoftext|>é b" * 5]
+    tables = prefix_tables(documents(spark, given), P.path(BPE))
+    own = PrefixCounter(P.path(BPE))
+    for budget in (0, 7, 40, 10**6):
+        for r in bytes_within(tables, budget).collect():
+            raw = (given[r["id"]] or "").encode()
+            assert r["n_tokens"] <= budget and own.count(raw[: r["n_bytes"]].decode()) == r["n_tokens"]
+            if budget == 10**6:
+                assert r["n_bytes"] == len(raw)
