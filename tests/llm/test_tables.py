@@ -69,7 +69,7 @@ def plain_rules(rows, max_docs):
         common = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x, y in zip(lines, norm) if len(hosts[host, y]) > max_docs)
         bad = len(words) < 10 or 100 * len(cover) > 20 * len(words)
         rest = len(words) - common
-        out.append((doc, len(words), sum(map(len, words)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(cover), common, bad, not bad and rest >= 10 and rest >= 0.5 * len(words)))
+        out.append((doc, len(words), sum(map(len, words)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(cover), common, bad, not bad and rest >= 0.3 * len(words)))
     return sorted(out, key=str)
 
 
