@@ -61,16 +61,16 @@ def head(scores: DataFrame, pool: DataFrame, n: int) -> DataFrame:
 def top_unseen(users: DataFrame, scores: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int) -> DataFrame:
     """Each user's first k unseen items of one global order.
 
-    A user needs at most the first k + |seen| places, so only the head up to
-    k + max |seen| is paired with users. Exact. Few users have long histories, so
-    they are cut at their own k + |seen| before items are compared.
+    A user needs at most the first k + |seen| places. These are written out and
+    joined with the head by place, so no user meets the rest of the pool. Exact.
     """
     users = users.select("user_id").distinct()
     counts = seen_pairs.groupBy("user_id").agg(F.count("*").alias("n_seen"))
     most = seen_pairs.join(users, "user_id", "left_semi").groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     order = head(scores, pool, k + most)
-    depth = users.join(counts, "user_id", "left").select("user_id", (F.coalesce("n_seen", F.lit(0)) + k).alias("depth"))
-    pairs = depth.join(F.broadcast(order) if k + most <= BROADCAST_ROWS else order, F.col("place") <= F.col("depth"))
+    depth = users.join(counts, "user_id", "left").select("user_id", (F.coalesce("n_seen", F.lit(0)) + k).cast("int").alias("depth"))
+    places = depth.select("user_id", F.explode(F.sequence(F.lit(1), "depth")).alias("place"))
+    pairs = places.join(F.broadcast(order) if k + most <= BROADCAST_ROWS else order, "place")
     fresh = pairs.join(seen_pairs, ["user_id", "item_id"], "left_anti")
     own = Window.partitionBy("user_id").orderBy("place")
     return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("user_id", "item_id", "score", "rank")
@@ -82,12 +82,38 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def random_top_k(users: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int, seed: int = 0, lots: int | None = None) -> DataFrame:
-    """k unseen items a user in an order hashed from (seed, user, item)."""
-    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"), F.col("item_id").cast("string")))
-    pairs = users.select("user_id").distinct().crossJoin(F.broadcast(pool.select("item_id").distinct()))  # a random list needs every item's lot
-    fresh = pairs.join(seen_pairs, ["user_id", "item_id"], "left_anti").withColumn("lot", lot)
-    own = Window.partitionBy("user_id").orderBy("lot", "item_id")
+def numbered(pool: DataFrame) -> DataFrame:
+    """(item_id, idx): the pool's items from 0 in one fixed order; offsets come from 4096 buckets, so no task orders all items."""
+    items = pool.select("item_id").distinct().withColumn("b", F.substring(F.md5(F.col("item_id").cast("string")), 1, 3))
+    sizes = items.groupBy("b").agg(F.count("*").alias("c"))
+    before = sizes.select("b", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return items.join(F.broadcast(before), "b").select("item_id", (F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("item_id")) - 1).alias("idx"))
+
+
+def next_prime(n: int) -> int:
+    while n < 2 or any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def random_top_k(users: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k unseen items a user, the first of a permutation of the pool that is drawn from (seed, user).
+
+    Place i of a user holds item (a + b i) modulo the next prime of the pool's
+    size, with a and b hashed from seed and user: a permutation of which only
+    the first k + |seen| places, and those that the prime adds, are written out.
+    """
+    items = numbered(pool)
+    n = items.count()
+    prime = next_prime(max(n, 2))
+    counts = seen_pairs.groupBy("user_id").agg(F.count("*").alias("n_seen"))
+    lot = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(what), F.col("user_id").cast("string"))), 1, 12), 16, 10).cast("long")
+    asked = users.select("user_id").distinct().join(counts, "user_id", "left")
+    depth = F.least(F.coalesce("n_seen", F.lit(0)) + k + (prime - n), F.lit(prime)).cast("int")
+    places = asked.select("user_id", (lot("a") % prime).alias("a"), (1 + lot("b") % (prime - 1)).alias("s"), F.explode(F.sequence(F.lit(1), depth)).alias("i"))
+    drawn = places.select("user_id", "i", ((F.col("a") + F.col("s") * F.col("i")) % prime).alias("idx"))
+    fresh = drawn.join(F.broadcast(items) if n <= BROADCAST_ROWS else items, "idx").join(seen_pairs, ["user_id", "item_id"], "left_anti")
+    own = Window.partitionBy("user_id").orderBy("i")
     return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("user_id", "item_id", (F.lit(0.0) - F.col("rank")).alias("score"), "rank")
 
 

@@ -54,13 +54,18 @@ def _(spark, d):
     return retrieval.decayed_popularity(s.hist, s.cuts[0], 180.0)
 
 
+_NUMBERED = "numbered AS (SELECT item_id, row_number() OVER (ORDER BY substr(md5(CAST(item_id AS VARCHAR)), 1, 3), item_id) - 1 AS idx FROM pool), psize AS (SELECT count(*) AS n FROM pool), prime AS (SELECT min(x) AS q FROM (SELECT unnest(range((SELECT greatest(n, 2) FROM psize), (SELECT n + 300 FROM psize))) AS x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) d(d) WHERE d * d <= x AND x % d = 0))"
+
+
 def _random_sql(k: int, seed: int) -> str:
+    lot = lambda what: f"CAST('0x' || substr(md5('{seed}:{what}:' || u.user_id), 1, 12) AS BIGINT)"
     return f"""SELECT user_id, item_id, -CAST(rank AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5('{seed}:' || u.user_id || ':' || p.item_id), p.item_id) AS rank
-  FROM tusers u CROSS JOIN pool p WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)) WHERE rank <= {k}"""
+  SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS rank FROM (
+    SELECT u.user_id, i, ({lot('a')} % q + (1 + {lot('b')} % (q - 1)) * i) % q AS idx FROM tusers u, prime, range(1, 100000) r(i) WHERE i <= q) p JOIN numbered USING (idx)
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.item_id = numbered.item_id)) WHERE rank <= {k}"""
 
 
-@Q("r6_random_top_k", twin(_random_sql(20, 0), SNAPSHOT))
+@Q("r6_random_top_k", twin(_random_sql(20, 0), SNAPSHOT + "," + _NUMBERED))
 def _(spark, d):
     s = Snapshot(spark, d)
     return retrieval.random_top_k(s.users, s.pool, s.seen, 20)
@@ -71,7 +76,7 @@ def _recall_sql(lists: str, ks, targets: str = "targets") -> str:
     return " UNION ALL ".join(f"SELECT {k} AS k, round(avg(h / n), 6) AS recall, round(avg(h / {float(k)}::DOUBLE), 6) AS precision, count(*) AS n_users FROM (SELECT t.user_id, count(*) AS n, count(*) FILTER (l.rank <= {k}) AS h FROM {targets} t LEFT JOIN {lists} l ON l.user_id = t.user_id AND l.item_id = t.item_id GROUP BY 1)" for k in ks)
 
 
-@Q("r7_random_seeds", twin("SELECT k, round(avg(recall), 6) AS mean_recall, round(stddev_pop(recall), 6) AS std_recall FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_recall_sql(f'({_random_sql(50, s)})', [10, 50])})" for s in range(3)) + ") GROUP BY 1", SNAPSHOT))
+@Q("r7_random_seeds", twin("SELECT k, round(avg(recall), 6) AS mean_recall, round(stddev_pop(recall), 6) AS std_recall FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_recall_sql(f'({_random_sql(50, s)})', [10, 50])})" for s in range(3)) + ") GROUP BY 1", SNAPSHOT + "," + _NUMBERED))
 def _(spark, d):
     s = Snapshot(spark, d)
     each = [metrics.recall_precision(s.targets, retrieval.random_top_k(s.users, s.pool, s.seen, 50, seed), [10, 50]) for seed in range(3)]

@@ -210,3 +210,14 @@ def test_sampler_never_draws_seen_items(spark):
     assert soft.count() > 0 and soft.join(h, ["user_id", "item_id"], "left_semi").count() == 0
     a, b = (sorted((r[0], r[1]) for r in models.sample_pairs(h, ids(spark, range(30)), 2, epoch=e).where("kind = 'soft_negative'").collect()) for e in (0, 1))
     assert a != b
+
+
+def test_random_lists_are_distinct_unseen_and_even(spark):
+    h = rows(spark, [(1, i, 1, 5) for i in range(5)])
+    users, pool = ids(spark, range(1, 300), "user_id"), ids(spark, range(20))
+    got = lists(retrieval.random_top_k(users, pool, retrieval.seen(h), 6, 3))
+    assert all(len(v) == len(set(v)) == 6 for v in got.values()) and not set(got[1]) & set(range(5))
+    first = [v[0] for v in got.values()]
+    assert len(set(first)) == 20 and max(first.count(x) for x in set(first)) < 40
+    assert lists(retrieval.random_top_k(users, pool, retrieval.seen(h), 6, 4)) != got
+    assert len(lists(retrieval.random_top_k(users, pool, retrieval.seen(h), 50, 3))[1]) == 15
