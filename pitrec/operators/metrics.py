@@ -316,3 +316,23 @@ def macro_f1(rows: DataFrame) -> DataFrame:
     flags = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("c"), F.lit(1).alias("is_t"), (F.col("p") == F.col("t")).cast("int").alias("tp"), F.lit(0).alias("is_p")), F.struct(F.col("p").alias("c"), F.lit(0).alias("is_t"), F.lit(0).alias("tp"), F.lit(1).alias("is_p")))).alias("x"))
     per = flags.groupBy("x.c").agg(F.sum("x.is_t").alias("t"), F.sum("x.tp").alias("tp"), F.sum("x.is_p").alias("p"))
     return per.agg(F.count("*").alias("n_classes"), r6(F.avg(2.0 * F.col("tp") / (F.col("t") + F.col("p")))).alias("macro_f1"))
+
+
+def freeze_provenance(paths: dict[str, str], n_rows: dict[str, int]) -> dict:
+    """SHA-256 of the files a decision rests on; raises for a missing file or an arm without rows."""
+    import hashlib
+    import os
+
+    empty = [a for a, n in n_rows.items() if n <= 0]
+    if empty:
+        raise ValueError(f"no rows: {', '.join(empty)}")
+    out = {}
+    for name, path in paths.items():
+        if not os.path.isfile(path):
+            raise FileNotFoundError(path)
+        digest = hashlib.sha256()
+        with open(path, "rb") as f:
+            while part := f.read(1 << 20):
+                digest.update(part)
+        out[name] = {"sha256": digest.hexdigest(), "rows": n_rows.get(name)}
+    return out

@@ -923,3 +923,105 @@ def _(spark, d):
     if query.exception():
         raise query.exception()
     return online.decayed_scores(spark.read.parquet(f"{place}/out"), 1_706_745_600_000, 7.0)
+
+
+@Q("e26_covisitation_grid", twin(" UNION ALL ".join(f"SELECT {m} AS least, count(*) AS n_edges, count(DISTINCT a) AS n_items, CAST(max(support) AS BIGINT) AS max_support FROM support WHERE support >= {m}" for m in (2, 3)), SNAPSHOT + "," + COVISIT))
+def _(spark, d):
+    s = Snapshot(spark, d)
+    out = [retrieval.covisitation(s.hist, least=m, neighbours=1 << 30).agg(F.count("*").alias("n_edges"), F.countDistinct("a").alias("n_items"), F.max("support").alias("max_support")).select(F.lit(m).alias("least"), "*") for m in (2, 3)]
+    return reduce(DataFrame.unionByName, out)
+
+
+@Q("m2_two_tower_lists")
+def _(spark, d):
+    """The learned source in the contract of the others: (user_id, item_id, score, rank)."""
+    s, users, items = _factors(spark, d)
+    return models.factor_top_k(users, items, s.pool, s.seen, 50)
+
+
+@Q("m6_walk_forward_factors")
+def _(spark, d):
+    """Factors refitted at each snapshot with one frozen configuration; recall of their lists, and the configuration's hash."""
+    from pitrec.operators import snapshots
+
+    rows = clean(spark, d)
+    t = snapshots.resolve_four_cutoffs(rows)
+    config = {"rank": 8, "iterations": 3, "seed": 7}
+    out = []
+    for k in (0, 1, 2):
+        hist, window = rows.where(F.col("ts") < t[k]), rows.where((F.col("ts") >= t[k]) & (F.col("ts") < t[k + 1]))
+        truth = metrics.truth_sets(window)
+        users, items = models.factors(hist, config["rank"], config["iterations"], config["seed"])
+        asked = users.join(truth.select("user_id").distinct(), "user_id", "left_semi")
+        lists = models.factor_top_k(asked, items, retrieval.eligible(hist, 5), retrieval.seen(hist, truth), 50)
+        out.append(metrics.recall_precision(truth, lists, [50]).select(F.lit(f"T{k}").alias("snapshot"), F.lit(models.config_hash(config)).alias("config"), "k", "recall", "n_users"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@Q("m10_ranker_run")
+def _(spark, d):
+    """Selection on held users of the first snapshot, a refit, and one evaluation on the next."""
+    from pitrec.operators import filtering, snapshots
+
+    rows = clean(spark, d)
+    t = snapshots.resolve_four_cutoffs(rows)
+
+    def table(cut: int, end: int):
+        hist, window = rows.where(F.col("ts") < cut), rows.where((F.col("ts") >= cut) & (F.col("ts") < end))
+        truth = metrics.truth_sets(window)
+        users, pool, seen = truth.select("user_id").distinct(), retrieval.eligible(hist, 5), retrieval.seen(hist, truth)
+        sources = {"popularity": retrieval.top_unseen(users, retrieval.popularity(hist), pool, seen, 50), "recent": retrieval.top_unseen(users, retrieval.decayed_popularity(hist, cut, 180.0), pool, seen, 50)}
+        support = hist.groupBy("item_id").agg(F.count("*").alias("item_n_reviews"))
+        pairs = truth.withColumn("label", F.lit(1))
+        out = candidates.union_sources(sources).join(support, "item_id", "left").join(pairs, ["user_id", "item_id"], "left").fillna(0)
+        return truth, out
+
+    features_ = ["num_sources", "best_rank", "popularity_score", "recent_score", "item_n_reviews"]
+    truth, first = table(t[1], t[2])
+    first = first.persist()
+    parts = filtering.user_holdout(first.select("user_id"))
+    train, held = (first.join(parts.where(F.col("part") == p), "user_id").drop("part") for p in ("train", "held"))
+    kind, model, _ = models.select_ranker(train, held, truth.join(parts.where("part = 'held'"), "user_id", "left_semi"), features_, ("logistic", "cross"), 50)
+    test_truth, last = table(t[2], t[3])
+    lists = retrieval.top_k(models.rank_scores(model, last, features_), 50)
+    return metrics.recall_precision(test_truth, lists, [10, 50]).withColumn("kind", F.lit(kind))
+
+
+# --- runners ---------------------------------------------------------------
+
+
+def _split_targets(split: str) -> str:
+    return f"(SELECT DISTINCT user_id, item_id FROM split WHERE split = '{split}' AND label = 1)"
+
+
+@Q("o1_leave_last_two_baselines", twin(" UNION ALL ".join(f"SELECT '{s}' AS split, 'popularity' AS model, k, recall, precision, n_users FROM ({_recall_sql('alist', [10, 100], _split_targets(s))})" for s in ("val", "test")), _ANCHOR))
+def _(spark, d):
+    """Popularity lists from the train rows against the positives of either held row."""
+    _, val, test, _, lists = _anchor(spark, d)
+    out = [metrics.recall_precision(metrics.truth_sets(rows), lists, [10, 100]).select(F.lit(s).alias("split"), F.lit("popularity").alias("model"), "k", "recall", "precision", "n_users") for s, rows in (("val", val), ("test", test))]
+    return reduce(DataFrame.unionByName, out)
+
+
+@Q("o2_snapshot_baselines", twin(" UNION ALL ".join(f"SELECT '{m}' AS model, k, recall, precision, n_users FROM ({_recall_sql(r, KS)})" for m, r in (("popularity", "popularity"), ("rule", "(" + _rule_sql({"store": 1.0, "main_category": 0.5, "prior": 0.5}, 100) + ")"), ("random", "(" + _random_sql(100, 0) + ")"))), _RULE + "," + global_list("popularity", POPULARITY, 100) + "," + _NUMBERED))
+def _(spark, d):
+    """The three untrained models on the snapshot."""
+    s = Snapshot(spark, d)
+    arms = {"popularity": s.popular(100), "rule": retrieval.rule_scores(s.users, s.hist, s.items, s.pool, s.seen, {"store": 1.0, "main_category": 0.5, "prior": 0.5}, 100), "random": retrieval.random_top_k(s.users, s.pool, s.seen, 100)}
+    return reduce(DataFrame.unionByName, [metrics.recall_precision(s.targets, lists, KS).select(F.lit(m).alias("model"), "k", "recall", "precision", "n_users") for m, lists in arms.items()])
+
+
+@Q("o3_facet_diagnosis", twin(" UNION ALL ".join(f"SELECT '{f}' AS facet, count(*) AS n_unique, round(max(c) / sum(c), 6) AS max_share, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy_bits FROM (SELECT {f}, count(*) AS c FROM hist JOIN catalog USING (item_id) GROUP BY 1)" for f in ("store", "main_category")), SNAPSHOT))
+def _(spark, d):
+    from pitrec.operators import profile
+
+    s = Snapshot(spark, d)
+    joined = s.hist.join(s.items, "item_id")
+    return reduce(DataFrame.unionByName, [profile.facet_distribution(joined, f).select(F.lit(f).alias("facet"), "n_unique", "max_share", "entropy_bits") for f in ("store", "main_category")])
+
+
+@Q("o4_second_domain", """
+WITH r AS (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS item_id, epoch_us(ts) // 1000 AS ts, CASE event_type WHEN 'purchase' THEN 5 WHEN 'click' THEN 4 WHEN 'view' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS rating FROM events WHERE json_extract(props, '$.k') IS NOT NULL)
+SELECT item_id, count(*) FILTER (rating >= 3) AS n_positive, count(*) AS n, count(DISTINCT user_id) AS n_users, round(avg(rating), 6) AS mean_rating, min(ts) AS first_ts FROM r GROUP BY 1""")
+def _(spark, d):
+    rows = adapters.interactions_ev(spark, d).where("item_id is not null")
+    return rows.groupBy("item_id").agg(F.count_if(F.col("rating") >= 3).alias("n_positive"), F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), r6(F.avg("rating")).alias("mean_rating"), F.min("ts").alias("first_ts"))
