@@ -106,13 +106,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 def kept_in_worker(key: tuple, make: Callable):
-    """One object for all tasks of a Python worker, such as a tokenizer and its memo."""
+    """One object for all tasks of a Python worker, such as a tokenizer and its memo; the one before it goes."""
     held = vars(sys).setdefault("_pitrec_worker", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 
 
+def forget_kept() -> None:
+    """Frees what earlier tasks of this worker kept."""
+    vars(sys).pop("_pitrec_worker", None)
+
+
 def share(spark: SparkSession, thing) -> Callable:
     """Broadcasts a small object; the function gives it back on an executor."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, connected_components, cut, spanning_forest, table
+from .common import bounded_broadcast, connected_components, cut, forget_kept, spanning_forest, table
 
 
 def collision(distance: float, width: float) -> float:
@@ -132,6 +132,7 @@ def compare(rows: DataFrame, cosine: float, block: int) -> DataFrame:
         out.append(pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.filled(0), mask=np.ma.getmaskarray(b)), pa.array(c)], names=["a", "b", "n"]))
 
     def run(batches):
+        forget_kept()
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:

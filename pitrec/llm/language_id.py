@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, table
+from .common import forget_kept, share, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -123,6 +123,7 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     shared = share(docs.sparkSession, model)  # bounded by the landmarks, not by the input
 
     def run(batches):
+        forget_kept()
         known = shared()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, table
 from .prefix_bpe import Memo, PrefixRule
 
-MEMO = 300_000  # stretches held by a worker
+MEMO = 300_000  # stretches in a generation of a worker's memo
 SHORT = 48  # characters of stretches whose prefixes are remembered
 SPACE = "▁"  # fixed value: the mark that stands for a space
 
@@ -55,6 +55,7 @@ class Pieces:
                 self.score[piece] = sp.get_score(k)
                 self.text.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.id))
+        self.kind = np.dtype("<u2" if len(self.text) <= 1 << 16 else "<u4")
         joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         stray = sorted({c for c in map(chr, range(128)) if not any(c in two for two in joined)})
         apart = {c for two in joined for c in two if c != SPACE and not c.isalpha()} - set(stray)
@@ -122,17 +123,21 @@ class Pieces:
         known = self.id.get(piece)
         return [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def _stretch_ids(self, text: str) -> tuple[int, ...]:
+    def _stretch_ids(self, text: str) -> bytes:
         if SPACE + SPACE in text:
             pieces = self.merge(text)
         else:
             pieces = self.rule.tokens(text) if len(text) <= SHORT else self.viterbi(text)
-        return tuple(k for p in pieces for k in self._ids(p))
+        return np.array([k for p in pieces for k in self._ids(p)], dtype=self.kind).tobytes()
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        return list(chain.from_iterable(map(self._memo.__getitem__, self.stretch.findall(SPACE + text.replace(" ", SPACE)))))
+            return np.zeros(0, dtype=self.kind)
+        parts = self.stretch.findall(SPACE + text.replace(" ", SPACE))
+        return np.frombuffer(b"".join(map(self._memo.__getitem__, parts)), dtype=self.kind)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids) -> str:
         """The text of the ids, without the leading space that encoding adds; stray bytes become U+FFFD."""
@@ -149,7 +154,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = [np.array(model.encode(t.as_py()), dtype=np.int32) for t in part.column(1)]
+                lists = [model.encode_array(t.as_py()).astype(np.int32) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
@@ -186,9 +191,9 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             rows = []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                ids = model.encode(text)
-                again = model.decode(ids)
-                digest = hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
+                ids = model.encode_array(text)
+                again = model.decode(ids.tolist())
+                digest = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
                 rows.append((len(ids), digest, hashlib.sha256(again.encode()).hexdigest(), again == text))
             columns = [pa.array(list(x), kind) for x, kind in zip(zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_pieces", "ids_sha256", "decoded_sha256", "same"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MEMO = 800_000
+MEMO = 800_000  # prefixes held by a worker
 
 
 class Memo(dict):
@@ -37,6 +37,7 @@ class PrefixRule:
         self._parts: dict = {}
         self._fit: dict = {}
         self._state: dict = {}
+        self._pairs: dict = {}  # one object for equal states
         self.longest = max(map(len, rank), default=1)
         self.rank = {t: r for t, r in rank.items() if self.parts(t)}
         #: the longest token that ends in these two or three units
@@ -90,7 +91,7 @@ class PrefixRule:
                 limit, equal, right = of_right, True, self.parts(right)[0]
             else:
                 break
-        if len(self._fit) >= MEMO:
+        if len(self._fit) >= MEMO // 2:
             self._fit.clear()
         self._fit[key] = known
         return known
@@ -110,10 +111,11 @@ class PrefixRule:
             return known
         if len(memo) >= MEMO:
             memo.clear()
+            self._pairs.clear()
         at = len(word) - 1
         while at > 0 and word[:at] not in memo:
             at -= 1
-        rank, reach, fit = self.rank, self.reach, self._fit
+        rank, reach, fit, pairs = self.rank, self.reach, self._fit, self._pairs
         for end in range(at + 1, len(word) + 1):
             k = end - (reach.get(word[end - 3 : end], 2) if end > 2 else 2)
             if k < 0:
@@ -122,12 +124,13 @@ class PrefixRule:
                 token = word[k:end]
                 if token in rank or end - k == 1:
                     if k == 0:
-                        memo[token] = (1, token)
+                        memo[token] = pairs.setdefault((1, token), (1, token))
                         break
                     n, last = memo[word[:k]]
                     good = fit.get((last, token))
                     if good or good is None and self.fits(last, token):
-                        memo[word[:end]] = (n + 1, token)
+                        pair = (n + 1, token)
+                        memo[word[:end]] = pairs.setdefault(pair, pair)
                         break
                 k += 1
         return memo[word]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, spanning_forest, table
+from .common import connected_components, cut, forget_kept, spanning_forest, table
 
 PARTS = 4  # of 16 bits: at most 17 ** 4 cells, whatever the input
 
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
+        forget_kept()
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])

@@ -32,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, share, slices, table
+from .common import cut, forget_kept, share, slices, table
 
 LENGTH, GRAM = 200, 48
 PRIME = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20  # bytes of text looked at together
-RUN_ROWS = 40_000  # contexts sorted together
+CHUNK = 1 << 19  # bytes of text looked at together
+RUN_ROWS = 25_000  # contexts sorted together
 TASK_MB = 16  # of contexts that a merging task gets
 
 
@@ -327,6 +327,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     kind = dict(src.dtypes)["id"]
 
     def anchors(batches):
+        forget_kept()
         select = Anchors(length, gram)
         for batch in batches:
             for few in slices(batch, 1, CHUNK):
@@ -357,6 +358,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     with_text = sieved.join(ask, "dig").where(F.col("id").eqNullSafe(F.col("rid"))).select("tid", "text", "place")
 
     def contexts(batches):
+        forget_kept()
         select, rows = Anchors(length, gram), []
         for batch in batches:
             for few in slices(batch, 1, CHUNK):
@@ -380,6 +382,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     exchanged = with_text.mapInArrow(contexts, _EXCHANGE).repartition(parts, "part").sortWithinPartitions("part")
 
     def merged(batches):
+        forget_kept()
         held, out, now = [], [], None
 
         def settle() -> None:

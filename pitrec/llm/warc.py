@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, table
+from .common import checkpoint_dir, cut, forget_kept, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -172,6 +172,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     most = archive_mb << 20
 
     def write(batches):
+        forget_kept()
         writer, names = None, 0
 
         def close():
