@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_broadcast, cut, table
 
 MAX_RATE = 64.0
 
@@ -31,45 +31,48 @@ def uniform(key: Column, seed: str) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "source", size: float = 1.0) -> DataFrame:
     """(source, rate): one row a source."""
-    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source")).agg(F.count("*").cast("double").alias("n"))
+    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__mix_source")).agg(F.count("*").cast("double").alias("n"))
     wanted = F.lit(None).cast("double")
     for name, w in sorted((weights or {}).items()):
-        wanted = F.when(F.col("mix_source") == name, F.lit(max(0.0, float(w)))).otherwise(wanted)
+        wanted = F.when(F.col("__mix_source") == name, F.lit(max(0.0, float(w)))).otherwise(wanted)
     named = counts.withColumn("w", wanted)
     total = named.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("w").isNull(), F.col("n"))).alias("rest"))
     share = F.coalesce("w", F.col("n") / F.col("total"))
     every = named.crossJoin(F.broadcast(total)).withColumn("share", share)  # one row
     norm = every.agg(F.sum("share").alias("norm"))
     rate = F.least(F.lit(MAX_RATE), F.col("share") / F.col("norm") * F.col("total") * F.lit(float(size)) / F.col("n"))
-    return every.crossJoin(F.broadcast(norm)).select("mix_source", rate.alias("rate"))
+    return every.crossJoin(F.broadcast(norm)).select("__mix_source", rate.alias("rate"))
 
 
-def poisson(u: Column, rate: Column) -> Column:
-    """The smallest k whose cumulative probability reaches u; the search ends far beyond any value that u can ask for."""
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(int(MAX_RATE + 12 * MAX_RATE**0.5))),
-        F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c")),
-        lambda s, k: F.when(s["c"] >= u, s).otherwise(F.struct(k.alias("k"), (s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c"))),
-        lambda s: s["k"],
+def cumulative(rate: Column) -> Column:
+    """Poisson probabilities of at most 0, 1, 2, ... copies, as far as any uniform number can ask."""
+    last = int(MAX_RATE + 12 * MAX_RATE**0.5)
+    every = F.aggregate(
+        F.sequence(F.lit(1), F.lit(last)),
+        F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c")),
+        lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c")),
+        lambda s: s["c"],
     )
-    return step
+    return F.filter(every, lambda c: c < 1 - 2.0**-53)
+
+
+def poisson(u: Column, probabilities: Column) -> Column:
+    """The smallest count whose cumulative probability reaches u."""
+    return F.size(F.filter(probabilities, lambda c: c < u))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The copies of the rows in global random order, with `copy` (from 0) and `shuffle_key`."""
     own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     table_ = rates(docs, weights, source_col, size)
-    src = docs.select(*own).withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    few = table_.agg(F.map_from_entries(F.collect_list(F.struct("mix_source", "rate"))).alias("mix_rates"))  # one row; an entry a source
-    if table_.count() <= 10_000:
-        rated = src.crossJoin(F.broadcast(few)).withColumn("mix_rate", F.element_at("mix_rates", F.col("mix_source"))).drop("mix_rates")
-    else:
-        rated = src.join(table_.withColumnRenamed("rate", "mix_rate"), "mix_source")
+    src = docs.select(*own).withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    table_ = cut(table_.select("__mix_source", cumulative(F.col("rate")).alias("__mix_cdf")))  # once a source
+    rated = src.join(bounded_broadcast(table_, table_.count(), 10_000), "__mix_source")
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = rated.withColumn("mix_n", poisson(uniform(id_text, seed), F.col("mix_rate"))).where("mix_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
+    counted = rated.withColumn("__mix_n", poisson(uniform(id_text, seed), F.col("__mix_cdf"))).where("__mix_n > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), id_text, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    keyed = copies.withColumn("shuffle_key", key).drop("mix_source", "mix_rate", "mix_n")
+    keyed = copies.withColumn("shuffle_key", key).drop("__mix_source", "__mix_cdf", "__mix_n")
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
