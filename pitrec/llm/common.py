@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import tempfile
@@ -110,13 +111,23 @@ def kept_in_worker(key: tuple, make: Callable):
     held = vars(sys).setdefault("_pitrec_worker", {})
     if key not in held:
         held.clear()
+        give_back()
         held[key] = make()
     return held[key]
 
 
 def forget_kept() -> None:
-    """Frees what earlier tasks of this worker kept."""
+    """Frees what earlier tasks of this worker kept, and gives unused memory back."""
     vars(sys).pop("_pitrec_worker", None)
+    give_back()
+
+
+def give_back() -> None:
+    """Idle workers would otherwise hold what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 def share(spark: SparkSession, thing) -> Callable:

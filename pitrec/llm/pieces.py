@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, table
 from .prefix_bpe import Memo, PrefixRule
 
-MEMO = 300_000  # stretches in a generation of a worker's memo
+MEMO = 150_000  # stretches in a generation of a worker's memo
 SHORT = 48  # characters of stretches whose prefixes are remembered
 SPACE = "▁"  # fixed value: the mark that stands for a space
 

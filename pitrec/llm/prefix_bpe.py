@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MEMO = 800_000  # prefixes held by a worker
+MEMO = 400_000  # prefixes held by a worker
 
 
 class Memo(dict):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, table
 from .prefix_bpe import Memo, PrefixRule
 
-MEMO = 300_000  # words in a generation of a worker's memo
+MEMO = 150_000  # words in a generation of a worker's memo
 SHORT = 48  # bytes of words whose prefixes are remembered
 
 # The byte-level alphabet (printable bytes stand for themselves, the rest follow from code point 256)
