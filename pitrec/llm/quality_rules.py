@@ -4,7 +4,8 @@ Lines are normalised (white space collapsed, lower case) and hashed; a line
 found in more than `max_docs` documents of one host is removed, and a document
 that keeps less than `least_kept` of its words is rejected. Everything is DataFrame
 expressions: the text is read once for the counts by line and once for the
-rest, and only hashes are shuffled.
+rest. `cleaned` gives the texts without those lines; all other lines, blank ones
+too, stay as they are. `quality_rules` gives its counts and verdicts.
 
 A null text has no words. A null host is a host of its own. Each row is a
 document, also when ids repeat. Documents with fewer than `min_words` words or
@@ -60,25 +61,32 @@ def common_lines(docs: DataFrame, max_docs: int) -> DataFrame:
     return each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, min_words: int = 10, repeat_percent: int = 20, least_kept: float = 0.3) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words, base_failed, kept)."""
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, min_words: int = 10, repeat_percent: int = 20, least_kept: float = 0.3) -> DataFrame:
+    """(id, host, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words, base_failed, kept), one row a document; `text` has no common lines."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).alias("host"))
     src = src.withColumn("mark", F.xxhash64("text"))
     common = cut(common_lines(src, max_docs))
     common = bounded_broadcast(common, common.count())
-    stats = base_rules(src).withColumn("held", F.transform("lines", lambda x: F.struct(_line_hash(x).alias("line"), _n_words(x).alias("n")))).drop("lines", "text")
-    each = stats.select("id", "mark", "host", F.explode(F.array_distinct(F.transform("held", lambda x: x["line"]))).alias("line"))
+    stats = base_rules(src).drop("lines")
+    each = src.select("id", "mark", "host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _line_hash))).alias("line"))
     removed = (
         each.join(common.withColumnsRenamed({"host": "chost", "line": "cline"}), (F.col("line") == F.col("cline")) & F.col("host").eqNullSafe(F.col("chost")))
         .groupBy(F.col("id").alias("rid"), F.col("mark").alias("rmark"), F.col("host").alias("rhost"))
         .agg(F.collect_set("line").alias("gone"))
     )
     joined = stats.join(removed, (F.col("mark") == F.col("rmark")) & F.col("id").eqNullSafe(F.col("rid")) & F.col("host").eqNullSafe(F.col("rhost")), "left")
-    out = joined.withColumn("n_common_words", F.expr("if(gone is null, 0L, aggregate(filter(held, x -> array_contains(gone, x.line)), 0L, (s, x) -> s + x.n))"))
+    rest_of = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", _line_hash(x))), "\n")
+    out = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest_of))
+    out = out.withColumn("n_common_words", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - _n_words(F.col("text"))).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     rest = F.col("n_words") - F.col("n_common_words")
     kept = ~F.col("base_failed") & (rest >= least_kept * F.col("n_words"))
-    return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_words", "base_failed", kept.alias("kept"))
+    return out.select("id", "host", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_words", "base_failed", kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, min_words: int = 10, repeat_percent: int = 20, least_kept: float = 0.3) -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_common_words, base_failed, kept): what `cleaned` found."""
+    return cleaned(docs, id_col, text_col, host_col, max_docs, min_words, repeat_percent, least_kept).drop("host", "text")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
