@@ -24,12 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest doc_id. Rows of one doc_id are one document; the first stays."""
-    found = cut(simhash.near_duplicates(docs))
+    """One row of each SimHash group stays: that of the smallest doc_id, null ids last.
+
+    Rows are told apart by id and contents, so rows that share an id, or have none, go only for a near copy.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*COLUMNS).alias("contents"))
+    docs = docs.select(*COLUMNS, key.alias("key"))
+    found = cut(simhash.near_duplicates(docs, "key"))
     if found.groupBy("id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
-    others = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+        docs = docs.dropDuplicates(["key"])  # rows equal in all columns
+    others = found.where("id <> component").select(F.col("id").alias("key")).distinct()
+    return docs.join(others, "key", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
