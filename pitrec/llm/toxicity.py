@@ -5,10 +5,12 @@ first four and six bytes. Filters of widths 1, 2 and 3 run over the whole text,
 maxima feed a logistic unit. Buckets whose rate differs clearly between the
 labels have an embedding, which starts from their log odds and is trained with
 the rest; all others stay zero. Thresholds are calibrated by language on
-rows that were not trained on; the language is no input of a score.
+all labelled rows that are kept from training; the language is no input of a score.
 
-Training takes a bounded sample, `per_class` rows of each label and
-`calibration` rows, chosen by hash. Null and empty texts are scored as a text
+Training takes a bounded sample, `per_class` rows of each label, chosen by hash.
+The rows for the thresholds are scored where they lie and counted by language, label
+and narrow bins of the score; a language with fewer than `min_positives` toxic rows
+among all of them keeps 0.5. Null languages are one, under the empty name. Null and empty texts are scored as a text
 without words. Without labels of both kinds every score is 0. Very long texts
 count whole. Rows repeat as given; extra columns are ignored; an empty table
 gives no rows.
@@ -20,14 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget_kept, share, table
+from .common import bounded_broadcast, cut, forget_kept, share, table
 
 WORDS, STEMS, DIM, WIDTHS, FILTERS, PAD = 1 << 17, 1 << 15, 12, (1, 2, 3), 8, 3
 STEM = (4, 6)
 LEAST_Z = 5.0  # standard errors between the labels' rates
+BINS, CLIP = 256, 30.0  # bins a unit of the logit, which is clipped
 PRIME = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19  # bytes at a time
 _IS_LETTER = np.zeros(256, dtype=bool)
@@ -200,19 +203,39 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, s
     return model
 
 
-def best_cut(values: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The middle of the gap at which F1 is highest."""
-    if y.sum() == 0 or y.sum() == len(y):
-        return default
-    order = np.argsort(-values, kind="stable")
-    v, hit = values[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(v) + 1) + y.sum())
-    f1[:-1][v[:-1] == v[1:]] = -1
-    k = int(np.argmax(f1))
-    return float((v[k] + v[k + 1]) / 2) if k + 1 < len(v) else float(v[k] - 1e-6)
+def binned(texts: DataFrame, labels: DataFrame, model: TextCnn, n_labels: int) -> DataFrame:
+    """(lang, bin, n, hits, low, high): counts of all rows of `texts` with a label, by language and bin of the logit; a row a bin that is not empty."""
+    shared = share(texts.sparkSession, model)
 
-
-def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 2500, calibration: int = 3000, min_positives: int = 20) -> TextCnn | None:
+    def run(batches):
+        forget_kept()
+        known, tok = shared(), Tokenizer()
+        for batch in batches:
+            logit = np.clip(known.logits(tok, [t or "" for t in batch.column(1).to_pylist()]).astype(np.float64), -CLIP, CLIP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(logit, pa.float64())], names=["key", "lang", "logit"])
+
+    scored = texts.select("key", "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, lang string, logit double")
+    found = scored.join(bounded_broadcast(labels.select("key", "y"), n_labels), "key")
+    return found.groupBy("lang", F.floor(F.col("logit") * BINS).cast("int").alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("y").cast("long").alias("hits"), F.min("logit").alias("low"), F.max("logit").alias("high")
+    )
+
+
+def best_bins(cells: DataFrame) -> DataFrame:
+    """(lang, rows, positives, low, next): the bin, all above it included, at which a language's F1 is highest; `next` is the highest logit below it."""
+    own = Window.partitionBy("lang")
+    down = own.orderBy(F.desc("bin"))
+    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cells.select(
+        "lang", "bin", "low", F.sum("n").over(own).alias("rows"), F.sum("hits").over(own).alias("positives"), F.lead("high").over(down).alias("next"),
+        F.sum("n").over(upto).alias("taken"), F.sum("hits").over(upto).alias("right"),
+    )
+    f1 = 2 * F.col("right") / (F.col("taken") + F.col("positives"))
+    top = F.max_by(F.struct("rows", "positives", "low", "next"), F.struct(f1.alias("f1"), "bin"))
+    return out.groupBy("lang").agg(top.alias("t")).select("lang", "t.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 2500, min_positives: int = 20) -> TextCnn | None:
     """Learns from the labelled rows given; one part in five is kept for the thresholds."""
     rows = labels.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key is not null and y in (0, 1)").dropDuplicates(["key"])
     rows = rows.withColumn("lot", F.pmod(F.xxhash64("key", F.lit("toxicity")), F.lit(1 << 30))).withColumn("part", F.expr("lot % 5 = 0"))
@@ -220,27 +243,30 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     kept = sum(n for (part, _), n in sizes.items() if part)
     if not sizes.get((False, 0)) or not sizes.get((False, 1)):
         return None
-    share = {(False, c): (1.1 * per_class + 50) / sizes[False, c] for c in (0, 1)} | {(True, c): calibration / max(1, kept) for c in (0, 1)}
     rule = F.lit(0.0)
-    for (part, c), x in share.items():
-        rule = F.when((F.col("part") == part) & (F.col("y") == c), F.lit(min(1.0, x))).otherwise(rule)
+    for c in (0, 1):
+        rule = F.when(~F.col("part") & (F.col("y") == c), F.lit(min(1.0, (1.1 * per_class + 50) / sizes[False, c]))).otherwise(rule)
     chosen = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < rule * float(1 << 30))  # bounded by the parameters
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     found = texts.join(F.broadcast(chosen), "key").collect()
     found = sorted(found, key=lambda r: (r["lot"], r["key"], r["text"] or ""))
-    learn = [r for c in (0, 1) for r in [x for x in found if not x["part"] and x["y"] == c][:per_class]]
+    learn = [r for c in (0, 1) for r in [x for x in found if x["y"] == c][:per_class]]
     if len({r["y"] for r in learn}) < 2:
         return None
     model = fit([r["text"] or "" for r in learn], [r["y"] for r in learn])
-    held = [r for r in found if r["part"]] or learn
-    tok, y = Tokenizer(), np.array([r["y"] for r in held])
-    model.shift = best_cut(model.logits(tok, [r["text"] or "" for r in held]), y, 0.0)
-    score = model.scores(tok, [r["text"] or "" for r in held])
-    langs = np.array([r["lang"] or "" for r in held])
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        if y[own].sum() >= min_positives:
-            model.thresholds[lang] = best_cut(score[own], y[own], 0.5)
+    held = texts.where("key is not null")
+    if dict(texts.dtypes)["key"] == dict(rows.dtypes)["key"]:  # then equal keys have equal hashes
+        held = held.where("pmod(xxhash64(key, 'toxicity'), 1073741824) % 5 = 0")
+    cells = cut(binned(held, rows.where("part"), model, kept))
+    if not cells.limit(1).count():  # no labelled row was kept from training
+        cells = cut(binned(texts.join(F.broadcast(chosen.select("key")), "key", "left_semi"), chosen, model, len(found)))
+    every = cells.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    for r in best_bins(every.withColumn("lang", F.lit(""))).collect():
+        if 0 < r["positives"] < r["rows"]:
+            model.shift = (r["low"] + r["next"]) / 2 if r["next"] is not None else r["low"] - 1e-6
+    for r in best_bins(cells).where((F.col("positives") >= max(1, min_positives)) & (F.col("positives") < F.col("rows"))).collect():
+        low, below = (None if x is None else 1 / (1 + np.exp(model.shift - x)) for x in (r["low"], r["next"]))
+        model.thresholds[r["lang"]] = float((low + below) / 2 if below is not None else low - 1e-6)
     return model
 
 
@@ -260,7 +286,7 @@ def classify(docs: DataFrame, model: TextCnn | None, text_col: str = "text", lan
         for batch in batches:
             texts = [t or "" for t in batch.column(len(own)).to_pylist()]
             score = known.scores(tok, texts) if known is not None and texts else np.zeros(len(texts))
-            cut = np.array([known.thresholds.get(x, 0.5) if known is not None else 0.5 for x in batch.column(len(own) + 1).to_pylist()], dtype=np.float64)
+            cut = np.array([known.thresholds.get(x or "", 0.5) if known is not None else 0.5 for x in batch.column(len(own) + 1).to_pylist()], dtype=np.float64)
             columns = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(cut, pa.float64()), pa.array(score >= cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *columns], names=[*own, *added])
 
