@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, cut, table
 
-MAX_RATE = 64.0
+DIRECT = 64.0  # rates up to this sum their probabilities from zero copies on
+SPREAD = 12.0  # standard deviations about the mean that hold every uniform number
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -40,18 +41,27 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str = "
     share = F.coalesce("w", F.col("n") / F.col("total"))
     every = named.crossJoin(F.broadcast(total)).withColumn("share", share)  # one row
     norm = every.agg(F.sum("share").alias("norm"))
-    rate = F.least(F.lit(MAX_RATE), F.col("share") / F.col("norm") * F.col("total") * F.lit(float(size)) / F.col("n"))
+    rate = F.col("share") / F.col("norm") * F.col("total") * F.lit(float(size)) / F.col("n")
     return every.crossJoin(F.broadcast(norm)).select("__mix_source", rate.alias("rate"))
 
 
+def least_count(rate: Column) -> Column:
+    """The count at which `cumulative` begins: fewer copies are less likely than any uniform number."""
+    return F.when(rate > DIRECT, F.greatest(F.lit(0.0), F.floor(rate - SPREAD * F.sqrt(rate)).cast("double"))).otherwise(0.0).cast("int")
+
+
 def cumulative(rate: Column) -> Column:
-    """Poisson probabilities of at most 0, 1, 2, ... copies, as far as any uniform number can ask."""
-    last = int(MAX_RATE + 12 * MAX_RATE**0.5)
+    """Poisson probabilities of at most `least_count`, one more, two more, ... copies, as far as any uniform number can ask.
+
+    Where exp(-rate) may vanish, they are summed relative to the first and divided by their total.
+    """
+    last = F.when(rate > DIRECT, F.ceil(rate + SPREAD * F.sqrt(rate)).cast("int")).otherwise(int(DIRECT + SPREAD * DIRECT**0.5))
+    first = F.when(rate > DIRECT, 1.0).otherwise(F.exp(-rate))
     every = F.aggregate(
-        F.sequence(F.lit(1), F.lit(last)),
-        F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c")),
+        F.sequence(least_count(rate) + 1, last),
+        F.struct(first.alias("p"), F.array(first).alias("c")),
         lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c")),
-        lambda s: s["c"],
+        lambda s: F.transform(s["c"], lambda c: c / F.when(rate > DIRECT, F.element_at(s["c"], -1)).otherwise(1.0)),
     )
     return F.filter(every, lambda c: c < 1 - 2.0**-53)
 
@@ -66,13 +76,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     table_ = rates(docs, weights, source_col, size)
     src = docs.select(*own).withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    table_ = cut(table_.select("__mix_source", cumulative(F.col("rate")).alias("__mix_cdf")))  # once a source
+    table_ = cut(table_.select("__mix_source", least_count(F.col("rate")).alias("__mix_from"), cumulative(F.col("rate")).alias("__mix_cdf")))  # once a source
     rated = src.join(bounded_broadcast(table_, table_.count(), 10_000), "__mix_source")
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = rated.withColumn("__mix_n", poisson(uniform(id_text, seed), F.col("__mix_cdf"))).where("__mix_n > 0")
+    counted = rated.withColumn("__mix_n", F.col("__mix_from") + poisson(uniform(id_text, seed), F.col("__mix_cdf"))).where("__mix_n > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), id_text, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    keyed = copies.withColumn("shuffle_key", key).drop("__mix_source", "__mix_cdf", "__mix_n")
+    keyed = copies.withColumn("shuffle_key", key).drop("__mix_source", "__mix_from", "__mix_cdf", "__mix_n")
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
