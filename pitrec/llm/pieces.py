@@ -2,24 +2,26 @@
 
 The BPE model files allow one last piece for each prefix: the piece p ending
 there for which (last piece before p, p) encodes to itself. That gives the
-Viterbi pass one back pointer a position. A window no longer than the longest
-piece is kept: once every surviving path (the chains from the last
-`longest` positions) runs through one boundary, the ids up to it are
-committed and forgotten, so memory does not grow with the text. Between two
-characters that no piece holds side by side every path meets, so texts are cut
-there first and equal stretches share a bounded memo.
-
-Runs of the space mark tie in score, and their merges go from the left; those
-runs take the merge order itself. Unknown characters become byte pieces.
-Null and empty texts encode to no ids and decode to "". Rows repeat as given;
-extra columns are ignored.
+Viterbi pass one back pointer a position. A piece to come can only start at one
+of the last `longest` positions, so the surviving paths are the chains from
+these; once all run through one boundary, the ids up to it are committed and
+forgotten, and the window begins there. All texts go this way, block by block,
+and memory does not grow with a text but by its ids.
+
+Between two characters that no piece holds side by side every path meets. These
+boundaries are found ahead, and as the ids between two of them depend on nothing
+else, a bounded memo has those of the stretches seen lately. Longer stretches
+look for the meeting of their paths as they go.
+
+Unknown characters become byte pieces. Null and empty texts encode to no ids and
+decode to "". Rows repeat as given; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,13 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_in_worker, table
-from .prefix_bpe import Memo, PrefixRule
+from .prefix_bpe import START, Memo, PrefixRule
 
-MEMO = 150_000  # stretches in a generation of a worker's memo
-SHORT = 48  # characters of stretches whose prefixes are remembered
+MEMO = 250_000  # stretches in a generation of a worker's memo
+SHORT = 48  # characters of stretches that the memo keeps
+BLOCK = 1 << 16  # characters of a text taken at a time
 SPACE = "▁"  # fixed value: the mark that stands for a space
 
 
+class Codes(dict):
+    """The ids of a numbered piece as bytes, by number."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, number: int) -> bytes:
+        self[number] = value = self.make(number)
+        return value
+
+
 class Pieces:
     """A SentencePiece BPE model with identity normalisation, a dummy leading space and byte fallback."""
 
@@ -42,7 +57,8 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text, self.id, self.score, self.byte = [], {}, {}, [0] * 256
+        self.text, self.id, self.byte = [], {}, [0] * 256
+        score = {}
         for k in range(sp.get_piece_size()):
             piece = sp.id_to_piece(k)
             if sp.is_byte(k):
@@ -52,9 +68,8 @@ class Pieces:
                 self.text.append(b"")
             else:
                 self.id[piece] = k
-                self.score[piece] = sp.get_score(k)
+                score[piece] = sp.get_score(k)
                 self.text.append(piece.replace(SPACE, " ").encode())
-        self.longest = max(map(len, self.id))
         self.kind = np.dtype("<u2" if len(self.text) <= 1 << 16 else "<u4")
         joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         stray = sorted({c for c in map(chr, range(128)) if not any(c in two for two in joined)})
@@ -65,76 +80,58 @@ class Pieces:
         parts = [f"[{alone}]"] if alone else []
         parts += [f"{SPACE}*[^{SPACE}{alone}{apart}]+"] + ([f"{SPACE}*[{apart}]+"] if apart else []) + [f"{SPACE}+"]
         self.stretch = re.compile("|".join(parts))
-        self.rule = PrefixRule({p: -score for p, score in self.score.items() if len(p) > 1 and SPACE + SPACE not in p})
-        self._memo = Memo(self._stretch_ids, MEMO, SHORT)
-
-    def merge(self, text: str) -> list[str]:
-        """The merge order itself: best score first, then the leftmost."""
-        part, nxt, prev = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-        heap = []
-
-        def offer(a: int) -> None:
-            b = nxt[a]
-            if b < len(part) and (score := self.score.get(part[a] + part[b])) is not None:
-                heapq.heappush(heap, (-score, a, b, part[a], part[b]))
-
-        for k in range(len(part) - 1):
-            offer(k)
-        while heap:
-            _, a, b, left, right = heapq.heappop(heap)
-            if part[a] != left or nxt[a] != b or part[b] != right:
-                continue
-            part[a], part[b], nxt[a] = left + right, "", nxt[b]
-            if nxt[a] < len(part):
-                prev[nxt[a]] = a
-            if prev[a] >= 0:
-                offer(prev[a])
-            offer(a)
-        return [p for p in part if p]
-
-    def viterbi(self, text: str):
-        """Pieces of a stretch, yielded as soon as all surviving paths agree on them."""
-        last, back, base = [""], [0], 0  # of positions base, base + 1, ...
-        for i in range(1, len(text) + 1):
-            piece, start = self.rule.last(text, base, i, lambda k: last[k - base])
-            last.append(piece)
-            back.append(start)
-            if i - base >= 4 * self.longest:
-                live = set(range(i - self.longest + 1, i + 1))
-                while len(live) > 1:  # follow the latest path back until all meet
-                    most = max(live)
-                    live.remove(most)
-                    live.add(back[most - base])
-                (meet,) = live
-                if meet > base:
-                    yield from self._path(last, back, base, meet)
-                    last, back, base = last[meet - base :], back[meet - base :], meet
-        yield from self._path(last, back, base, len(text))
-
-    @staticmethod
-    def _path(last: list[str], back: list[int], base: int, end: int) -> list[str]:
-        out = []
-        while end > base:
-            out.append(last[end - base])
-            end = back[end - base]
-        return out[::-1]
-
-    def _ids(self, piece: str) -> list[int]:
-        known = self.id.get(piece)
-        return [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+        self.rule = PrefixRule({p: -s for p, s in score.items() if len(p) > 1})
+        self.step = 4 * self.rule.longest  # positions between two looks for a meeting
+        self.code = Codes(self._code)
+        self._memo = Memo(lambda part: self.window(part)[0], MEMO, SHORT)
 
-    def _stretch_ids(self, text: str) -> bytes:
-        if SPACE + SPACE in text:
-            pieces = self.merge(text)
-        else:
-            pieces = self.rule.tokens(text) if len(text) <= SHORT else self.viterbi(text)
-        return np.array([k for p in pieces for k in self._ids(p)], dtype=self.kind).tobytes()
+    def _code(self, number: int) -> bytes:
+        piece = self.rule.names[number]
+        known = self.id.get(piece)
+        ids = [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def window(self, text: str, left: int = START, final: bool = True) -> tuple[bytes, int, int]:
+        """(ids committed, characters they stand for, last piece among them); `left` is the piece before the text.
+
+        With `final` the text ends here and all of it is committed.
+        """
+        out, base, last, back, stop = [], 0, [left], [0], 0
+        while stop < len(text):
+            stop = min(len(text), stop + self.step)
+            self.rule.scan(text, base, last, back, stop)
+            meet = stop if final and stop == len(text) else self.rule.meeting(back, base, stop)
+            if meet > base:
+                path, end = [], meet
+                while end > base:
+                    path.append(last[end - base])
+                    end = back[end - base]
+                out += map(self.code.__getitem__, reversed(path))
+                last, back, base = last[meet - base :], back[meet - base :], meet
+        return b"".join(out), base, last[0]
+
+    def commits(self, blocks: Iterable[str]) -> Iterator[bytes]:
+        """The ids of a text that comes in blocks, given out as soon as all surviving paths agree on them."""
+        held, left = "", START  # text not committed, and the piece before it if paths met inside a stretch
+        for block in chain(blocks, (None,)):
+            parts = self.stretch.findall(held if block is None else held + block)
+            held = parts.pop() if parts and block is not None else ""  # the last stretch may go on
+            if parts and left != START:
+                yield self.window(parts.pop(0), left)[0]
+                left = START
+            if parts:
+                yield b"".join(map(self._memo.__getitem__, parts))
+            if len(held) > self.step:
+                done, used, left = self.window(held, left, final=False)
+                yield done
+                held = held[used:]
 
     def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=self.kind)
-        parts = self.stretch.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self._memo.__getitem__, parts)), dtype=self.kind)
+        marked = SPACE + text.replace(" ", SPACE)
+        blocks = (marked,) if len(marked) <= BLOCK else (marked[at : at + BLOCK] for at in range(0, len(marked), BLOCK))
+        return np.frombuffer(b"".join(self.commits(blocks)), dtype=self.kind)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_array(text).tolist()

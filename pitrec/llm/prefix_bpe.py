@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-MEMO = 400_000  # prefixes held by a worker
+FITS = 400_000  # answers about pairs of tokens held by a worker
+START, DEAD = -1, -2  # no token before; a prefix that no path from the window's begin reaches
 
 
 class Memo(dict):
@@ -25,27 +26,27 @@ class Memo(dict):
 
 
 class PrefixRule:
-    """For tokens that are bytes or strings.
+    """For tokens that are bytes or strings; they are numbered, and `names` has them by number.
 
-    rank: the merge order of each token of two units or more; a lower rank merges first.
-    A token's two parts are those of its own last merge, found when first needed.
-    Tokens that their own merges never make can not occur and are left out.
+    rank: the merge order of each token of two units or more; a lower rank merges
+    first, equal ranks from the left. A token's two parts are those of its own last
+    merge. Tokens that their own merges never make can not occur and are left out.
     """
 
     def __init__(self, rank: dict):
         self.rank = dict(rank)
         self._parts: dict = {}
         self._fit: dict = {}
-        self._state: dict = {}
-        self._pairs: dict = {}  # one object for equal states
-        self.longest = max(map(len, rank), default=1)
         self.rank = {t: r for t, r in rank.items() if self.parts(t)}
-        #: the longest token that ends in these two or three units
-        self.reach: dict = {}
+        self.longest = max(map(len, self.rank), default=1)
+        self.names = list(self.rank)
+        self.number = {t: k for k, t in enumerate(self.names)}
+        held: dict = {}
         for t in self.rank:
-            for n in (2, 3):
-                if len(t) >= n and self.reach.get(t[-n:], 0) < len(t):
-                    self.reach[t[-n:]] = len(t)
+            if len(t) > 2:
+                held.setdefault(t[-3:], {2, 1}).add(len(t))
+        #: by the last three units: the sizes of the tokens that may end there, longest first
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in held.items()}
 
     def merge(self, text) -> list:
         """The merge order itself: lowest rank first, then the leftmost."""
@@ -68,17 +69,18 @@ class PrefixRule:
             known = self._parts[token] = (kept[0], kept[-1]) if len(kept) == 2 else None
         return known
 
-    def fits(self, left, right) -> bool:
-        """True if encoding left + right gives the two back.
+    def fits(self, left: int, right: int) -> bool:
+        """True if encoding the two tokens together gives them back.
 
         The merges that made them are undone, latest first; at no time may the
         pair at the border have merged before the merge just undone. On equal
         ranks the left pair merges first.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self._fit.get(key)) is not None:
             return known
         rank, get, limit, equal, known = self.rank, self.rank.get, None, False, True
+        left, right = self.names[left], self.names[right]
         while True:
             joined = get(left + right)
             if joined is not None and (limit is None or joined < limit or equal and joined == limit):
@@ -91,55 +93,51 @@ class PrefixRule:
                 limit, equal, right = of_right, True, self.parts(right)[0]
             else:
                 break
-        if len(self._fit) >= MEMO // 2:
+        if len(self._fit) >= FITS:
             self._fit.clear()
         self._fit[key] = known
         return known
 
-    def last(self, text, start: int, end: int, before):
-        """The last token of the prefix text[:end], and where it starts; before(start) is the last token there."""
-        for k in range(max(start, end - self.longest), end):
-            token = text[k:end]
-            if (end - k == 1 or token in self.rank) and (k == 0 or self.fits(before(k), token)):
-                return token, k
-        raise AssertionError("every prefix has a last token")
-
-    def state(self, word) -> tuple:
-        """(tokens, last token) of a short word; the states of all its prefixes are kept, so words with a common beginning share them."""
-        memo = self._state
-        if (known := memo.get(word)) is not None:
-            return known
-        if len(memo) >= MEMO:
-            memo.clear()
-            self._pairs.clear()
-        at = len(word) - 1
-        while at > 0 and word[:at] not in memo:
-            at -= 1
-        rank, reach, fit, pairs = self.rank, self.reach, self._fit, self._pairs
-        for end in range(at + 1, len(word) + 1):
-            k = end - (reach.get(word[end - 3 : end], 2) if end > 2 else 2)
-            if k < 0:
-                k = 0
-            while True:
-                token = word[k:end]
-                if token in rank or end - k == 1:
-                    if k == 0:
-                        memo[token] = pairs.setdefault((1, token), (1, token))
-                        break
-                    n, last = memo[word[:k]]
-                    good = fit.get((last, token))
-                    if good or good is None and self.fits(last, token):
-                        pair = (n + 1, token)
-                        memo[word[:end]] = pairs.setdefault(pair, pair)
+    def _new(self, unit) -> int:
+        self.names.append(unit)
+        return self.number.setdefault(unit, len(self.names) - 1)
+
+    def scan(self, text, base: int, last: list[int], back: list[int], stop: int) -> None:
+        """Goes on to the prefix text[:stop]: last[i] is the last token of text[:base + i] and back[i] where it starts.
+
+        No token may start before `base`, and last[0] is the token that ends there. If a window
+        is scanned anew from a meeting, prefixes right behind it may have had tokens across it; no
+        path to come uses these, and they are marked DEAD.
+        """
+        number, sizes, fit, fits, few = self.number, self.sizes, self._fit, self.fits, (2, 1)
+        for end in range(base + len(last), stop + 1):
+            for size in sizes.get(text[end - 3 : end], few) if end > 2 else few:
+                k = end - size
+                if k < base:
+                    continue
+                token = number.get(text[k:end])
+                if token is None:
+                    if size > 1:
+                        continue
+                    token = self._new(text[k:end])
+                left = last[k - base]
+                if left < 0:
+                    if left == START:
                         break
-                k += 1
-        return memo[word]
-
-    def tokens(self, word) -> list:
-        """The tokens of a short word, along the back pointers of its prefixes."""
-        self.state(word)
-        out, end = [], len(word)
-        while end:
-            out.append(self._state[word[:end]][1])
-            end -= len(out[-1])
-        return out[::-1]
+                    continue
+                good = fit.get(left << 32 | token)
+                if good or good is None and fits(left, token):
+                    break
+            else:
+                token, k = DEAD, base
+            last.append(token)
+            back.append(k)
+
+    def meeting(self, back: list[int], base: int, end: int) -> int:
+        """The last boundary that the paths of all tokens to come share: these start at one of the last `longest` positions."""
+        live = set(range(max(base, end - self.longest + 1), end + 1))
+        while len(live) > 1:  # follow the latest path back until all meet
+            most = max(live)
+            live.remove(most)
+            live.add(back[most - base])
+        return live.pop()
