@@ -7,10 +7,13 @@ stand for the training rows: one-versus-rest kernel ridge regression is solved
 in their span, and texts are scored by two matrix products a batch.
 
 Training takes a bounded sample: `per_class` rows and `landmarks` landmarks a
-language, chosen by hash. Null texts and texts without letters give `und`
-with score 0; so does everything if there was nothing to learn from. Very long
-texts count whole. Rows repeat as given; extra columns are ignored; an empty
-table gives no rows.
+language, chosen by hash, fewer where more than 64 languages share `MOST_ROWS`
+and `MOST_MARKS`, and no other languages than the `MOST_CLASSES` with the most
+rows. Of a row only the presence of its n-grams comes to the driver, 8 KB whatever
+its length. Null texts and texts without letters give `und` with score 0; so does
+everything if there was nothing to learn from. Between equal values the language
+first in the alphabet is taken. Very long texts count whole. Rows repeat as given,
+null ids too; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_kept, share, table
+from .common import forget_kept, share, slices, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 LETTER = re.compile(r"[^\W\d_]")
+MOST_CLASSES, MOST_ROWS, MOST_MARKS = 512, 16_000, 1_536  # bounds of what is learned from
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -79,42 +83,65 @@ class KernelModel:
         return np.concatenate(out) if out else np.zeros((0, len(self.classes)), np.float32)
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = 24, ridge: float = 1e-3) -> KernelModel | None:
-    """Texts in a fixed order; the first `landmarks` of each class are landmarks."""
-    if not texts:
+def ridge(to_marks: np.ndarray, among: np.ndarray, labels: list[str], classes: list[str], penalty: float) -> np.ndarray:
+    """Weights of the landmarks, a column a class, that minimise the weighted squares against +1 (own class) and -1.
+
+    Classes count alike. The penalty is that of kernel ridge regression in the landmarks' span, w' among w a row,
+    with a thousandth of it on the weights themselves for landmarks that are alike.
+    """
+    n = len(labels)
+    target = np.where(np.array(labels)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
+    weight = 1.0 / np.maximum((target > 0).sum(axis=0), 1)[np.argmax(target, axis=1)]
+    weight *= n / weight.sum()
+    left = (to_marks * weight[:, None]).T @ to_marks + penalty * n * (among + 1e-3 * np.eye(len(among)))
+    return np.linalg.solve(left, (to_marks * weight[:, None]).T @ target)
+
+
+def fit(seen: np.ndarray, labels: list[str], landmarks: int = 24, penalty: float = 1e-3) -> KernelModel | None:
+    """Rows of presence in a fixed order; the first `landmarks` of each class are landmarks."""
+    if not labels:
         return None
     classes = sorted(set(labels))
     taken: dict[str, int] = {}
     picks = [k for k, c in enumerate(labels) if taken.setdefault(c, 0) < landmarks and not taken.update({c: taken[c] + 1})]
-    marks = np.concatenate([presence(texts[k : k + 1]) for k in picks])
+    marks = seen[picks]
     columns = np.flatnonzero(marks.any(axis=0))
-    model = KernelModel(classes, columns, np.ascontiguousarray(marks[:, columns].T, dtype=np.float32), np.maximum(marks.sum(axis=1, dtype=np.int64), 1), np.eye(len(picks), dtype=np.float32))
-    to_marks = model.scores(texts).astype(np.float64)
-    among = to_marks[picks]
-    target = np.where(np.array(labels)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
-    weight = 1.0 / np.maximum((target > 0).sum(axis=0), 1)[np.argmax(target, axis=1)]  # classes count alike
-    weight *= len(texts) / weight.sum()
-    left = (to_marks * weight[:, None]).T @ to_marks + ridge * len(texts) * among + 1e-6 * len(texts) * np.eye(len(picks))
-    model.weights = np.linalg.solve(left, (to_marks * weight[:, None]).T @ target).astype(np.float32)
+    model = KernelModel(classes, columns, np.ascontiguousarray(marks[:, columns].T, dtype=np.float32), np.maximum(marks.sum(axis=1, dtype=np.int64), 1), np.zeros((len(picks), len(classes)), np.float32))
+    to_marks = np.concatenate([model.kernel(seen[at : at + 256]) for at in range(0, len(seen), 256)]).astype(np.float64)
+    model.weights = ridge(to_marks, to_marks[picks], labels, classes, penalty).astype(np.float32)
     return model
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_class: int = 250, landmarks: int = 24) -> KernelModel | None:
     """Learns from at most `per_class` rows a language, those of the lowest key hash."""
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.where(F.col("text").rlike("\\p{L}"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, (1.25 * per_class + 25) / n))])
+    per_class, landmarks = max(1, min(per_class, MOST_ROWS // len(sizes))), max(1, min(landmarks, MOST_MARKS // len(sizes)))
+    shares = spark.createDataFrame([(c, min(1.0, (1.25 * per_class + 25) / n)) for c, n in sizes.items()], "lang string, share double")
     lot = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30))
-    found = rows.withColumn("lot", lot).where(F.col("lot") < share[F.col("lang")] * float(1 << 30)).collect()
-    found = sorted(found, key=lambda r: (r["lot"], r["text"]))
+    drawn = rows.join(F.broadcast(shares), "lang").withColumn("lot", lot).where(F.col("lot") < F.col("share") * float(1 << 30))  # a row a language
+
+    def pack(batches):
+        for batch in batches:
+            for few in slices(batch, 0):
+                bits = [np.packbits(presence([t])).tobytes() for t in few.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(1), few.column(2), pa.array(bits, pa.binary())], names=["lang", "lot", "bits"])
+
+    found = drawn.select("text", "lang", "lot").mapInArrow(pack, "lang string, lot bigint, bits binary").collect()
+    found = sorted(found, key=lambda r: (r["lot"], bytes(r["bits"])))
     kept, taken = [], dict.fromkeys(sizes, 0)
     for r in found:
-        if LETTER.search(r["text"]) and taken[r["lang"]] < per_class:
+        if taken[r["lang"]] < per_class:
             taken[r["lang"]] += 1
             kept.append(r)
-    return fit([r["text"] for r in kept], [r["lang"] for r in kept], landmarks)
+    if not kept:
+        return None
+    seen = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in kept])
+    return fit(seen, [r["lang"] for r in kept], landmarks)
 
 
 def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +167,13 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, lang_pred string, score double")
 
 
+def held_out(key):
+    """True for the fold that nothing is learned from; a null id is not in it."""
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
+
+
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    model = train(docs.where(fold != 1))
+    model = train(docs.where(~held_out(F.col("doc_id"))))
     found = predict(docs, model)
-    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
