@@ -2,18 +2,23 @@
 
 A word's embedding is the sum of three hashed ones, of the word and of its
 first four and six bytes. Filters of widths 1, 2 and 3 run over the whole text, their
-maxima feed a logistic unit. Buckets whose rate differs clearly between the
-labels have an embedding, which starts from their log odds and is trained with
-the rest; all others stay zero. Thresholds are calibrated by language on
-all labelled rows that are kept from training; the language is no input of a score.
-
-Training takes a bounded sample, `per_class` rows of each label, chosen by hash.
-The rows for the thresholds are scored where they lie and counted by language, label
-and narrow bins of the score; a language with fewer than `min_positives` toxic rows
-among all of them keeps 0.5. Null languages are one, under the empty name. Null and empty texts are scored as a text
-without words. Without labels of both kinds every score is 0. Very long texts
-count whole. Rows repeat as given; extra columns are ignored; an empty table
-gives no rows.
+maxima feed a logistic unit. The embeddings of all words of the training texts
+are trained with the rest; they start small, but for one coordinate that holds the
+log odds of their labels, shrunk as far as these may be chance. Steps are smaller
+for rare words, and what a step touches decays. Words never seen stay zero.
+Thresholds are calibrated by language on all labelled rows that are kept from
+training; the language is no input of a score.
+
+Training takes a bounded sample, `per_class` rows of each label, spread over the
+languages as evenly as their rows allow (the 64 largest languages, and the others
+together) and chosen by hash. The rows for the thresholds are scored where they lie
+and counted by language, label and narrow bins of the score; a language with fewer
+than `min_positives` toxic rows among all of them keeps 0.5. Null languages are one,
+under the empty name. Of labels that contradict each other the toxic one holds; labels
+other than 0 and 1, and those without an id, are ignored. Null and empty texts are
+scored as a text without words. Without labels of both kinds every score is 0. Very
+long texts count whole. Rows repeat as given, null ids too; extra columns are kept;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from .common import bounded_broadcast, cut, forget_kept, share, table
 
 WORDS, STEMS, DIM, WIDTHS, FILTERS, PAD = 1 << 17, 1 << 15, 12, (1, 2, 3), 8, 3
 STEM = (4, 6)
-LEAST_Z = 5.0  # standard errors between the labels' rates
+CHANCE = 5.0  # standard errors between the labels' rates at which half of the log odds is believed
+RARE, DECAY = 8.0, 2e-4  # rows with a word at which its steps are half as long; part of an embedding that a step takes
+STRATA = 64  # languages told apart when the training sample is drawn
 BINS, CLIP = 256, 30.0  # bins a unit of the logit, which is clipped
 PRIME = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19  # bytes at a time
@@ -124,6 +131,55 @@ class TextCnn:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradients(model: TextCnn, coded: list[tuple], y: np.ndarray) -> tuple:
+    """(loss, those of filters, bias and output weights, word ids, stem ids, gradient of each of these words' embedding sums).
+
+    coded: (word ids, stem ids, words) of each text, padded.
+    """
+    xs, peaks, places = [], [], []
+    every = np.arange(FILTERS)
+    for word, stem, end in coded:
+        x = model.embed(word, stem)
+        values = [model.responses(x, k)[:end] for k in range(len(WIDTHS))]
+        place = np.array([v.argmax(axis=0) for v in values])
+        xs.append(x)
+        peaks.append([v[p, every] for v, p in zip(values, place)])
+        places.append(place)
+    top = np.maximum(np.array(peaks).reshape(len(coded), -1), 0)
+    z = np.clip(top @ model.out[:-1] + model.out[-1], -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    loss = float(np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - z * y))
+    err = (p - y) / len(coded)
+    back = (err[:, None] * model.out[None, :-1] * (top > 0)).reshape(len(coded), len(WIDTHS), FILTERS)
+    filters = [np.zeros_like(f) for f in model.filters]
+    words, stems, delta = [], [], []
+    for k, width in enumerate(WIDTHS):
+        for j in range(width):
+            for (word, stem, _), x, place, g in zip(coded, xs, places, back):
+                at = place[k] + j
+                filters[k][j] += x[at].T * g[k]
+                words.append(word[at])
+                stems.append(stem[at])
+                delta.append(g[k][:, None] * model.filters[k][j].T)
+    return loss, [*filters, back.sum(axis=0), np.append(err @ top, err.sum()).astype(model.out.dtype)], np.concatenate(words), np.concatenate(stems), np.concatenate(delta)
+
+
+def started(coded: list[tuple], labels: list[int], size: int, part: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(embeddings, step lengths) of the hashed words or stems, before training; zero for those not seen."""
+    seen, total = np.zeros((2, size)), np.array([labels.count(0), labels.count(1)], dtype=np.float64)
+    for c, label in zip(coded, labels):
+        seen[label][np.unique(c[part])] += 1
+    seen[:, 0] = 0
+    rows = seen.sum(axis=0)
+    rate = (seen + 0.5) / (total[:, None] + 1)
+    pooled = rows / total.sum()
+    z = (seen[1] / total[1] - seen[0] / total[0]) / np.sqrt(pooled * (1 - pooled) * (1 / total).sum() + 1e-9)
+    e = rng.normal(0, 0.02, (size, DIM)).astype(np.float32)
+    e[:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 3) / 3 * z**2 / (z**2 + CHANCE**2)
+    e[rows == 0] = 0
+    return e, (rows / (rows + RARE)).astype(np.float32)[:, None]
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, seed: int = 7, least_steps: int = 500) -> TextCnn:
     epochs = max(epochs, -(-least_steps * batch // len(texts)))
     rng, tok = np.random.default_rng(seed), Tokenizer()
@@ -132,22 +188,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, s
         word, stem, _, end = tok([t])
         coded.append((word, stem, int(end[0])))
     y = np.array(labels, dtype=np.float32)
-
-    def start(n: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-        seen, total = np.zeros((2, n)), np.array([np.sum(y == 0), np.sum(y == 1)], dtype=np.float64)
-        for c, label in zip(coded, labels):
-            seen[label][np.unique(c[part])] += 1
-        rate = (seen + 0.5) / (total[:, None] + 1)
-        pooled = seen.sum(axis=0) / total.sum()
-        z = (seen[1] / total[1] - seen[0] / total[0]) / np.sqrt(pooled * (1 - pooled) * (1 / total).sum() + 1e-9)
-        clear = (np.abs(z) >= LEAST_Z) & (seen.sum(axis=0) >= 4)
-        clear[0] = False
-        e = rng.normal(0, 0.05, (n, DIM)).astype(np.float32)
-        e[:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 3) / 3
-        e[~clear] = 0
-        return e, clear
-
-    (words, use_words), (stems, use_stems) = start(WORDS, 0), start(STEMS, 1)
+    (words, word_steps), (stems, stem_steps) = started(coded, labels, WORDS, 0, rng), started(coded, labels, STEMS, 1, rng)
     model = TextCnn(words, stems, [rng.normal(0, 0.15, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros((len(WIDTHS), FILTERS), np.float32), np.r_[np.full(len(WIDTHS) * FILTERS, 0.3), -0.5].astype(np.float32))
     for f in model.filters:
         f[0, 0, :2] = 1.0  # some filters begin by reading the log odds
@@ -160,42 +201,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, s
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             step += 1
-            peaks = []  # per text: width x FILTERS values and places
-            xs = []
-            for r in rows:
-                word, stem, end = coded[r]
-                x = model.embed(word, stem)
-                xs.append(x)
-                values = [model.responses(x, k)[:end] for k in range(len(WIDTHS))]
-                place = np.array([v.argmax(axis=0) for v in values])
-                peaks.append((np.array([v[p, np.arange(FILTERS)] for v, p in zip(values, place)]), place))
-            top = np.maximum(np.array([v.ravel() for v, _ in peaks]), 0)
-            p = 1 / (1 + np.exp(-np.clip(top @ model.out[:-1] + model.out[-1], -30, 30)))
-            err = (p - y[rows]) / len(rows)
-            grads = [np.zeros_like(g) for g in dense]
-            grads[-1][:-1], grads[-1][-1] = err @ top, err.sum()
-            back = (err[:, None] * model.out[None, :-1] * (top > 0)).reshape(len(rows), len(WIDTHS), FILTERS)
-            grads[-2][:] = back.sum(axis=0)
-            touched: list[list] = [[], [], []]
-            for k, width in enumerate(WIDTHS):
-                for j in range(width):
-                    for b, r in enumerate(rows):
-                        place = peaks[b][1][k] + j
-                        grads[k][j] += xs[b][place].T * back[b, k]
-                        touched[0].append(coded[r][0][place])
-                        touched[1].append(coded[r][1][place])
-                        touched[2].append(back[b, k][:, None] * model.filters[k][j].T)
-            delta = np.concatenate(touched[2])
-            for e, part, total, use in ((model.words, 0, sums[0], use_words), (model.stems, 1, sums[1], use_stems)):
-                at_ids = np.concatenate(touched[part])
+            _, grads, word_ids, stem_ids, delta = gradients(model, [coded[r] for r in rows], y[rows])
+            for e, at_ids, total, length in ((model.words, word_ids, sums[0], word_steps), (model.stems, stem_ids, sums[1], stem_steps)):
                 ids, where = np.unique(at_ids, return_inverse=True)
                 where = where.reshape(len(delta), -1)
                 g = np.zeros((len(ids), DIM), np.float32)
                 for c in range(where.shape[1]):
                     np.add.at(g, where[:, c], delta)
-                g *= use[ids, None]
+                g[ids == 0] = 0  # the pad stays zero
                 total[ids] += (g * g).mean(axis=1, keepdims=True)
-                e[ids] -= 0.05 * g / np.sqrt(total[ids])
+                e[ids] = (1 - DECAY) * e[ids] - 0.05 * length[ids] * g / np.sqrt(total[ids])
             for q, (param, g) in enumerate(zip(dense, grads)):
                 m1[q] = 0.9 * m1[q] + 0.1 * g
                 m2[q] = 0.999 * m2[q] + 0.001 * g * g
@@ -214,7 +229,7 @@ def binned(texts: DataFrame, labels: DataFrame, model: TextCnn, n_labels: int) -
             logit = np.clip(known.logits(tok, [t or "" for t in batch.column(1).to_pylist()]).astype(np.float64), -CLIP, CLIP)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(logit, pa.float64())], names=["key", "lang", "logit"])
 
-    scored = texts.select("key", "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, lang string, logit double")
+    scored = texts.select("key", "text", "lang").mapInArrow(run, f"key {dict(texts.dtypes)['key']}, lang string, logit double")
     found = scored.join(bounded_broadcast(labels.select("key", "y"), n_labels), "key")
     return found.groupBy("lang", F.floor(F.col("logit") * BINS).cast("int").alias("bin")).agg(
         F.count("*").alias("n"), F.sum("y").cast("long").alias("hits"), F.min("logit").alias("low"), F.max("logit").alias("high")
@@ -235,22 +250,43 @@ def best_bins(cells: DataFrame) -> DataFrame:
     return out.groupBy("lang").agg(top.alias("t")).select("lang", "t.*")
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The quota at which parts of these sizes give `total` rows together, each no more than the quota; at least 1."""
+    sizes, left = sorted(sizes), total
+    for k, n in enumerate(sizes):
+        if n * (len(sizes) - k) >= left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return max(1, *sizes)
+
+
 def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 2500, min_positives: int = 20) -> TextCnn | None:
     """Learns from the labelled rows given; one part in five is kept for the thresholds."""
-    rows = labels.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key is not null and y in (0, 1)").dropDuplicates(["key"])
+    rows = labels.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     rows = rows.withColumn("lot", F.pmod(F.xxhash64("key", F.lit("toxicity")), F.lit(1 << 30))).withColumn("part", F.expr("lot % 5 = 0"))
-    sizes = {(r["part"], r["y"]): r["n"] for r in rows.groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
-    kept = sum(n for (part, _), n in sizes.items() if part)
-    if not sizes.get((False, 0)) or not sizes.get((False, 1)):
+    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    named = rows.join(texts.select("key", "lang"), "key")
+    sizes = named.groupBy("part", "lang", "y").agg(F.count("*").alias("n"))
+    total = {(r["part"], r["y"]): r["n"] for r in sizes.groupBy("part", "y").agg(F.sum("n").alias("n")).collect()}
+    if not total.get((False, 0)) or not total.get((False, 1)):
         return None
-    rule = F.lit(0.0)
-    for c in (0, 1):
-        rule = F.when(~F.col("part") & (F.col("y") == c), F.lit(min(1.0, (1.1 * per_class + 50) / sizes[False, c]))).otherwise(rule)
-    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < rule * float(1 << 30))  # bounded by the parameters
-    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    kept = sum(n for (part, _), n in total.items() if part)
+    large = [r["lang"] for r in sizes.where("not part").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(STRATA).collect()]
+    stratum = F.when(F.col("lang").isin(large), F.concat(F.lit("="), "lang")).otherwise("")
+    strata = {(r["stratum"], r["y"]): r["n"] for r in sizes.where("not part").groupBy(stratum.alias("stratum"), "y").agg(F.sum("n").alias("n")).collect()}
+    quota = {c: level([n for (_, y), n in strata.items() if y == c], per_class) for c in (0, 1)}
+    shares = docs.sparkSession.createDataFrame([(x, c, min(1.0, (1.1 * quota[c] + 50) / n)) for (x, c), n in strata.items()], "stratum string, y int, share double")
+    drawn = named.where("not part").withColumn("stratum", stratum).join(F.broadcast(shares), ["stratum", "y"])  # a row a stratum and label
+    drawn = drawn.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    chosen = drawn.groupBy("key", "y", "lot").agg(F.min("stratum").alias("stratum"))  # bounded by the parameters
     found = texts.join(F.broadcast(chosen), "key").collect()
     found = sorted(found, key=lambda r: (r["lot"], r["key"], r["text"] or ""))
-    learn = [r for c in (0, 1) for r in [x for x in found if x["y"] == c][:per_class]]
+    learn, taken = [], {}
+    for c in (0, 1):
+        for r in found:
+            if r["y"] == c and taken.setdefault((r["stratum"], c), 0) < quota[c]:
+                taken[r["stratum"], c] += 1
+                learn.append(r)
     if len({r["y"] for r in learn}) < 2:
         return None
     model = fit([r["text"] or "" for r in learn], [r["y"] for r in learn])
@@ -259,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
         held = held.where("pmod(xxhash64(key, 'toxicity'), 1073741824) % 5 = 0")
     cells = cut(binned(held, rows.where("part"), model, kept))
     if not cells.limit(1).count():  # no labelled row was kept from training
-        cells = cut(binned(texts.join(F.broadcast(chosen.select("key")), "key", "left_semi"), chosen, model, len(found)))
+        cells = cut(binned(texts.join(F.broadcast(chosen.select("key")), "key", "left_semi"), chosen, model, len(found)))  # then on the sample itself
     every = cells.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("low").alias("low"), F.max("high").alias("high"))
     for r in best_bins(every.withColumn("lang", F.lit(""))).collect():
         if 0 < r["positives"] < r["rows"]:
@@ -295,7 +331,8 @@ def classify(docs: DataFrame, model: TextCnn | None, text_col: str = "text", lan
 
 
 def held_out(key):
-    return F.crc32(key.cast("string")) % 5 == 0
+    """True for the fold that no label is learned from; a null id is not in it."""
+    return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
