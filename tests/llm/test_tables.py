@@ -48,10 +48,10 @@ def test_mix_odd_cases(spark):
 # --- quality rules ---------------------------------------------------------
 
 
-def plain_rules(rows, max_docs):
+def plain_rules(rows, least_docs, share):
     import re
 
-    hosts = defaultdict(set)
+    hosts, size = defaultdict(set), Counter(r[3] for r in rows)
     parsed = []
     for n, (doc, text, _, host, _) in enumerate(rows):
         t = text or ""
@@ -66,14 +66,15 @@ def plain_rules(rows, max_docs):
         wins = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
         c = Counter(wins)
         cover = {k + j for k, w in enumerate(wins) if c[w] > 1 for j in range(5)}
-        common = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x, y in zip(lines, norm) if len(hosts[host, y]) > max_docs)
+        common = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x, y in zip(lines, norm) if len(hosts[host, y]) > max(least_docs, share * size[host]))
         bad = len(words) < 10 or 100 * len(cover) > 20 * len(words)
         rest = len(words) - common
-        out.append((doc, len(words), sum(map(len, words)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(cover), common, bad, not bad and rest >= 0.3 * len(words)))
+        out.append((doc, len(words), sum(map(len, words)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(cover), common, bad, not bad and rest >= 10 and rest >= 0.3 * len(words)))
     return sorted(out, key=str)
 
 
-def test_quality_rules_match_plain_python(spark):
+@pytest.mark.parametrize("least_docs, share, limit", [(4, 0.0, 200_000), (4, 0.0, 0), (2, 0.4, 200_000), (2, 0.4, 0)])
+def test_quality_rules_match_plain_python(spark, least_docs, share, limit):
     rng = random.Random(1)
     texts = list(ODD)
     for k in range(40):
@@ -83,9 +84,18 @@ def test_quality_rules_match_plain_python(spark):
         if k % 5 == 0:
             lines += [lines[0]] * 2
         texts.append("\n".join(lines) + rng.choice(["", "###", " <b> &"]))
-    rows = [(k, t, "en", None if k % 7 == 0 else f"s{k % 2}", 0) for k, t in enumerate(texts)] + [(3, texts[12], "en", "s1", 0)] * 2
-    got = quality_rules.quality_rules(frame(spark, rows, DOCS).selectExpr("*", "1 as words"), max_docs=4).collect()
-    assert sorted((tuple(r) for r in got), key=str) == plain_rules(rows, 4)
+    texts.append("again and again and over " * 30_000)
+    rows = [(k, t, "en", None if k % 7 == 0 else f"s{k % 2}", 0) for k, t in enumerate(texts)] + [(3, texts[12], "en", "s1", 0)] * 2 + [(None, texts[13], "en", "s1", 0), (None, texts[14], "en", "s1", 0)]
+    got = quality_rules.quality_rules(frame(spark, rows, DOCS).selectExpr("*", "1 as words", "2 as host"), least_docs=least_docs, share=share, limit=limit).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_rules(rows, least_docs, share)
+
+
+def test_depleted_documents_are_rejected(spark):
+    rows = [(k, f"this line is the same in all of them\nown {k} and some more words than ten of them {k}\n", "en", "h", 0) for k in range(30)]
+    rows += [(100, "this line is the same in all of them\nfour words are left", "en", "h", 0), (101, "x " * 12, "en", "h", 0)]
+    got = {r["id"]: r for r in quality_rules.quality_rules(frame(spark, rows, DOCS)).collect()}
+    assert all(got[k]["kept"] and got[k]["n_common_words"] == 9 for k in range(30))
+    assert not got[100]["base_failed"] and not got[100]["kept"]
 
 
 def test_quality_rules_of_nothing(spark):
