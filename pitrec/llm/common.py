@@ -6,6 +6,7 @@ import ctypes
 import pickle
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -25,16 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends."""
+    place = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return place
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive a lost executor and the plan starts anew."""
     checkpoint_dir(df.sparkSession)

@@ -7,14 +7,17 @@ payload. Each task writes archives of about `archive_mb`, as rows of a table
 serves; `export` writes them as files where a path is mounted.
 
 Reading: the dictionary frame is taken by its magic number, each frame is
-decoded by itself, and version line, required headers, Content-Length, block
-length and digests are validated; a record that breaks a rule raises.
-
-A null payload counts as empty; a null target gives a record without it. Rows
-with a null id are not archived. Ids must be unique: of equal ids with
-different payloads each is written, and references name the id. Empty tables
-give no archives. Very long payloads are one frame each. Extra columns are
-ignored.
+decoded by itself from bounded slices, and version line, required headers,
+Content-Length, block length and digests are validated; a record that breaks a
+rule raises.
+
+A null payload counts as empty; a null target gives a record without it. Each row
+gives a record. One with a null id has no key and comes back with a null one: it
+revisits the response of its payload, and is a response itself if no equal payload
+has an id, as nothing could name it. Of repeated ids with one payload all are
+responses if the id is the smallest; with different payloads each is written, and
+references name the id. Empty tables give no archives. Very long payloads are one
+frame each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, forget_kept, table
+from .common import cut, forget_kept, scratch, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -38,6 +41,7 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+FEED = 1 << 14  # bytes given to the decoder at a time
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 
@@ -46,7 +50,8 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record_id(key) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+    """Of a row without a key a new one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}') if key is not None else uuid.uuid4()}>"
 
 
 def build_record(key, target: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
@@ -59,7 +64,9 @@ def build_record(key, target: str | None, payload: bytes, digest: str, refers_to
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if refers_to is not None:
         fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Key", str(refers_to))]
-    fields += [("X-Key", str(key)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Length", str(len(block)))]
+    if key is not None:
+        fields.append(("X-Key", str(key)))
+    fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Length", str(len(block)))]
     return f"{VERSION}\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -153,22 +160,25 @@ def read_archive(content: bytes):
     while at < len(view):
         if bytes(view[at : at + 4]) != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")
-        one = decoder.decompressobj()
-        raw = one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError("a frame is cut short")
-        at = len(view) - len(one.unused_data)
-        yield parse_record(raw)
+        one, parts = decoder.decompressobj(), []
+        while not one.eof:
+            part = view[at : at + FEED]
+            if not len(part):
+                raise ValueError("a frame is cut short")
+            parts.append(one.decompress(part))
+            at += len(part)
+        at -= len(one.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_mb: int = 8) -> DataFrame:
     """(name, content): archives with a record for each row, written to the shared folder and read from there."""
     spark = pages.sparkSession
-    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload")).where("id is not null")
+    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     marks = cut(src.select("id", F.unhex(F.sha2("payload", 256)).alias("mark")))
     first = marks.groupBy("mark").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = marks.join(first, "mark").where("id <> first").select(F.col("id").alias("rid"), F.col("mark").alias("rmark"), "first").distinct()
-    rows = src.join(again, (F.col("id") == F.col("rid")) & (F.unhex(F.sha2("payload", 256)) == F.col("rmark")), "left").select("id", "url", "payload", "first")
+    again = marks.join(first, "mark").where("first is not null and not id <=> first").select(F.col("id").alias("rid"), F.col("mark").alias("rmark"), "first").distinct()
+    rows = src.join(again, F.col("id").eqNullSafe(F.col("rid")) & (F.unhex(F.sha2("payload", 256)) == F.col("rmark")), "left").select("id", "url", "payload", "first")
     most = archive_mb << 20
 
     def write(batches):
@@ -190,7 +200,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if writer is not None:
             yield close()
 
-    place = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4()}"
+    place = f"{scratch(spark, 'warc')}/archives"
     rows.mapInArrow(write, "name string, content binary").write.option("compression", "none").parquet(place)
     return spark.read.schema("name string, content binary").parquet(place)
 
@@ -208,7 +218,7 @@ def read_archives(archives: DataFrame, key_type: str = "bigint") -> DataFrame:
                     kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and (len(payload) != stated or base32_sha1(payload) != digest):
                         raise ValueError("payload does not match its length or digest")
-                    held.append((headers["X-Key"], headers.get("WARC-Target-URI"), kind, digest, stated, payload if kind == "response" else None, headers.get("X-Refers-To-Key")))
+                    held.append((headers.get("X-Key"), headers.get("WARC-Target-URI"), kind, digest, stated, payload if kind == "response" else None, headers.get("X-Refers-To-Key")))
                     size += len(payload)
                     if size >= 8 << 20:
                         yield _records(held)
@@ -256,7 +266,7 @@ SELECT page_id, payload_bytes,
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v // 1024 % 32 + 1 AS INTEGER), 1) ||
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v // 32 % 32 + 1 AS INTEGER), 1) ||
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v % 32 + 1 AS INTEGER), 1)), '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM c
 """

@@ -112,7 +112,9 @@ def test_round_trip_and_revisits(spark):
     rows = [(k, f"http://h/{k}", prose(rng, 50)) for k in range(60)] + [(100, None, rows_ := "same"), (99, "u\r\nv", rows_), (101, "", rows_), (102, "e", None), (103, "e", ""), (None, "x", "y")]
     df = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as name")
     archives = warc.write_archives(df)
-    got = {r["key"]: r for r in warc.read_archives(archives).collect()}
+    every = warc.read_archives(archives).collect()
+    assert len(every) == len(rows) and [(r["record_type"], bytes(r["payload"]), r["refers_to"]) for r in every if r["key"] is None] == [("response", b"y", None)]
+    got = {r["key"]: r for r in every if r["key"] is not None}
     want = {r[0]: (r[2] or "").encode() for r in rows if r[0] is not None}
     assert set(got) == set(want)
     for k, r in got.items():
@@ -136,6 +138,48 @@ def test_export_is_readable_by_the_library(spark, tmp_path):
     assert first.startswith(b"WARC/1.1\r\n")
 
 
+def test_pages_without_or_with_one_id(spark):
+    rows = [(None, "a", "p"), (None, "b", "p"), (5, "c", "p"), (9, "d", "p"), (5, "e", "p"), (7, "f", "q"), (7, "g", "r"), (None, "h", "z"), (None, "i", "z"), (3, "j", "y" * 3_000_000)]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, PAGES))).collect()
+    found = sorted(((r["key"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got), key=str)
+    want = [(None, "revisit", 5, 1)] * 2 + [(None, "response", None, 1)] * 2 + [(5, "response", None, 1)] * 2 + [(9, "revisit", 5, 1), (7, "response", None, 1), (7, "response", None, 1), (3, "response", None, 3_000_000)]
+    assert found == sorted(want, key=str)
+
+
+def test_reading_is_linear(monkeypatch):
+    """The decoder is given a bounded slice for each record, however long the archive is."""
+    w = warc.ArchiveWriter()
+    for k in range(3000):
+        text = f"{k} some page {k * k} with little in it {k % 7}".encode()
+        w.add(warc.build_record(k, "u", text, warc.base32_sha1(text)))
+    content, given = w.close(), [0]
+
+    class Counting:
+        def __init__(self, *args, **kw):
+            self.inner = zstandard.ZstdDecompressor(*args, **kw)
+            self.decompress = self.inner.decompress
+
+        def decompressobj(self):
+            one = self.inner.decompressobj()
+
+            class Obj:
+                eof = property(lambda _: one.eof)
+                unused_data = property(lambda _: one.unused_data)
+
+                def decompress(self, part):
+                    given[0] += len(part)
+                    return one.decompress(part)
+
+            return Obj()
+
+    class Module:
+        ZstdDecompressor, ZstdCompressionDict = Counting, zstandard.ZstdCompressionDict
+
+    monkeypatch.setattr(warc, "zstandard", Module)
+    assert len(list(warc.read_archive(content))) == 3000
+    assert given[0] <= 3000 * warc.FEED
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], PAGES)
     assert warc.read_archives(warc.write_archives(empty)).count() == 0
@@ -214,5 +258,19 @@ def test_recall_with_production_parameters(spark):
     assert 0.9 * want <= got <= want
 
 
+def test_keys_do_not_depend_on_the_batch():
+    k, tables, width = E.plan(10**6, 0.9)
+    hashes = E.Hashes(16, k, tables, width)
+    x = np.random.default_rng(2).normal(size=(500, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[1] = 0
+    whole = hashes.keys(x, tables)
+    for rows in ([0], [7, 3], range(100, 333)):
+        assert np.array_equal(hashes.keys(x[list(rows)], tables), whole[list(rows)])
+        assert np.array_equal(hashes.keys(x[list(rows)], 5), whole[list(rows), :5])
+    hashes.shifts[:] = 0
+    assert np.array_equal(hashes.keys(x[1:2], tables), np.zeros((1, tables)))
+
+
 def test_no_vectors(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
