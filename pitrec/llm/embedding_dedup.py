@@ -10,7 +10,9 @@ counts in the first table that holds it, so nothing is counted twice and pairs
 are never listed: a bucket gives counts by vector and a spanning forest.
 
 Equal vectors form one class beforehand, linked among themselves. Buckets
-above `block` are salted into blocks and all pairs of blocks are compared.
+above `block` are salted into blocks and all pairs of blocks are compared. A
+vector travels once a table, beside its place and nothing else: which earlier table
+held a pair is found by hashing those vectors again that have a link.
 Null vectors, zero vectors and those with null or non-finite components link
 with nothing, nor do vectors of another length. Repeated ids stay repeated.
 An empty table gives no rows; extra columns are ignored.
@@ -35,11 +37,36 @@ def collision(distance: float, width: float) -> float:
     return 1 - 2 * tail - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def plan(n: int, cosine: float, width: float = 2.0, bucket: int = 256, recall: float = 0.985) -> tuple[int, int]:
-    """(hashes a key, tables)."""
-    near, far = collision(math.sqrt(2 - 2 * cosine), width), collision(math.sqrt(2), width)
-    k = max(2, round(math.log(max(n / bucket, 1)) / -math.log(far)))
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
+def plan(n: int, cosine: float, widths=(1.5, 2.0, 2.5, 3.0), bucket: int = 256, recall: float = 0.985) -> tuple[int, int, float]:
+    """(hashes a key, tables, width): the fewest tables that the widths give."""
+    found = []
+    for width in widths:
+        near, far = collision(math.sqrt(2 - 2 * cosine), width), collision(math.sqrt(2), width)
+        k = max(2, round(math.log(max(n / bucket, 1)) / -math.log(far)))
+        found.append((max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k))), k, width))
+    tables, k, width = min(found)
+    return k, tables, width
+
+
+class Hashes:
+    """The p-stable hashes of all tables; equal for a vector in whatever batch it is."""
+
+    def __init__(self, dim: int, k: int, tables: int, width: float, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.directions, self.shifts = rng.normal(size=(dim, tables * k)), rng.uniform(0, width, tables * k)
+        self.factors = rng.integers(1, 1 << 62, size=k, dtype=np.int64) * 2 + 1
+        self.k, self.width = k, width
+
+    def keys(self, unit: np.ndarray, tables: int) -> np.ndarray:
+        """A key for each unit vector in each of the first `tables` tables."""
+        n = tables * self.k
+        directions, shifts = self.directions[:, :n], self.shifts[:n]
+        place = (unit @ directions + shifts) / self.width
+        steps = np.floor(place)
+        # a matrix product's last digits may differ with its shape: places at the edge of a step are computed one by one
+        for i, j in np.argwhere(np.abs(place - np.rint(place)) < 1e-9):
+            steps[i, j] = math.floor(((unit[i] * directions[:, j]).sum() + shifts[j]) / self.width)
+        return (steps.astype(np.int64).reshape(-1, tables, self.k) * self.factors).sum(axis=2)
 
 
 def _unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,28 +83,24 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return src.groupBy("vec").agg(F.min("id").alias("cls"), F.count("*").alias("size"))
 
 
-def bucketed(distinct: DataFrame, dim: int, k: int, tables: int, width: float, seed: int = 11) -> DataFrame:
-    """(tab, key, cls, size, keys, vec): each vector once a table, with its keys in all tables."""
-    rng = np.random.default_rng(seed)
-    directions, shifts = rng.normal(size=(dim, tables * k)), rng.uniform(0, width, tables * k)
-    factors = rng.integers(1, 1 << 62, size=k, dtype=np.int64) * 2 + 1
+def bucketed(distinct: DataFrame, hashes: Hashes, tables: int) -> DataFrame:
+    """(tab, key, cls, size, vec): each vector once a table."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             _, unit = _unit(batch.column(0))
-            steps = np.floor((unit @ directions + shifts) / width).astype(np.int64).reshape(-1, tables, k)
-            keys = (steps * factors).sum(axis=2)
+            keys = hashes.keys(unit, tables)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["vec", "cls", "size", "keys"])
 
     kind = dict(distinct.dtypes)
     hashed = distinct.select("vec", "cls", "size").mapInArrow(run, f"vec {kind['vec']}, cls {kind['cls']}, size bigint, keys array<bigint>")
-    return hashed.select(F.posexplode("keys").alias("tab", "key"), "cls", "size", "keys", "vec")
+    return hashed.select(F.posexplode("keys").alias("tab", "key"), "cls", "size", "vec")
 
 
-def compare(rows: DataFrame, cosine: float, block: int) -> DataFrame:
+def compare(rows: DataFrame, hashes: Hashes, cosine: float, block: int) -> DataFrame:
     """(a, b, n): counts (b null: n vectors linked with a) and links that hold the groups together (n is 0)."""
     sizes = rows.groupBy("tab", "key").agg(F.count("*").alias("held"))
     busy = cut(sizes.where("held > 1"))
@@ -87,7 +110,7 @@ def compare(rows: DataFrame, cosine: float, block: int) -> DataFrame:
         .withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("salt", F.expr("cast(pmod(xxhash64(cls, 17), salts) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, salts - 1)")))
-        .select("tab", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "cls", "size", "keys", "vec")
+        .select("tab", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "cls", "size", "vec")
     )
     placed = salted.repartition("tab", "key", "lo", "hi").sortWithinPartitions("tab", "key", "lo", "hi", "salt", "cls")
 
@@ -98,13 +121,13 @@ def compare(rows: DataFrame, cosine: float, block: int) -> DataFrame:
         tab, lo, hi = (group.column(c)[0].as_py() for c in ("tab", "lo", "hi"))
         salt = group.column("salt").to_numpy()
         vec, cls, size = group.column("vec").combine_chunks(), group.column("cls").to_numpy(), group.column("size").to_numpy()
-        keys = np.asarray(group.column("keys").combine_chunks().flatten()).reshape(n, -1)[:, :tab]
         lengths = np.diff(np.asarray(vec.offsets))
         if (lengths != lengths[0]).any():
-            return
-        x, _ = _unit(vec)
+            raise ValueError("vectors of different lengths in one bucket")
+        x, unit = _unit(vec)
         norm = np.sqrt((x * x).sum(axis=1))
         found_i, found_j, step = [], [], max(1, (1 << 21) // n)
+        keys, hashed = None, np.zeros(n, dtype=bool)  # in the tables before, of vectors that have a link
         for at in range(0, n, step):
             near = (x[at : at + step] @ x.T) / (norm[at : at + step, None] * norm[None, :]) >= cosine
             i, j = np.nonzero(near)
@@ -114,9 +137,18 @@ def compare(rows: DataFrame, cosine: float, block: int) -> DataFrame:
                 ok &= salt[i] != salt[j]
             i, j = i[ok], j[ok]
             if tab and len(i):
+                if keys is None:
+                    keys = np.zeros((n, tab), dtype=np.int64)
+                linked = np.zeros(n, dtype=bool)
+                linked[i] = linked[j] = True
+                fresh = np.flatnonzero(linked & ~hashed)
+                hashed |= linked
+                for q in range(0, len(fresh), 1024):
+                    keys[fresh[q : q + 1024]] = hashes.keys(unit[fresh[q : q + 1024]], tab)
                 new = np.ones(len(i), dtype=bool)
-                for q in range(0, len(i), 1 << 18):
-                    new[q : q + (1 << 18)] = ~(keys[i[q : q + (1 << 18)]] == keys[j[q : q + (1 << 18)]]).any(axis=1)
+                most = max(1, (1 << 23) // tab)
+                for q in range(0, len(i), most):
+                    new[q : q + most] = ~(keys[i[q : q + most]] == keys[j[q : q + most]]).any(axis=1)
                 i, j = i[new], j[new]
             found_i.append(i)
             found_j.append(j)
@@ -156,15 +188,16 @@ def compare(rows: DataFrame, cosine: float, block: int) -> DataFrame:
     return placed.mapInArrow(run, f"a {kind}, b {kind}, n bigint")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, width: float = 2.0, bucket: int = 256, recall: float = 0.985, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, bucket: int = 256, recall: float = 0.985, block: int = 768) -> DataFrame:
     """(id, n_links, component): other vectors linked directly, and the smallest id reachable, itself included."""
     distinct = cut(classes(vectors, id_col, vector_col))
     shape = distinct.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()
     kind = dict(distinct.dtypes)["cls"]
     found = None
     for row in shape:  # vectors of different lengths do not link
-        k, tables = plan(row["n"], cosine, width, bucket, recall)
-        part = compare(bucketed(distinct.where(F.size("vec") == row["dim"]), row["dim"], k, tables, width), cosine, block)
+        k, tables, width = plan(row["n"], cosine, bucket=bucket, recall=recall)
+        hashes = Hashes(row["dim"], k, tables, width)  # grows with the logarithm of the rows
+        part = compare(bucketed(distinct.where(F.size("vec") == row["dim"]), hashes, tables), hashes, cosine, block)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = distinct.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0).cast("bigint").alias("n")).limit(0)
