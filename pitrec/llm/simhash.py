@@ -6,7 +6,9 @@ copies cost nothing. Distinct fingerprints form tiles by the population counts
 of their four 16-bit parts: two fingerprints within `radius` bits differ by at
 most `radius` in the sum of those counts, so every other pair of tiles is
 skipped. A tile holds at most about `tile_rows` values; larger cells are
-salted into several tiles and all their pairs are compared.
+salted into several tiles. Each pair of tiles is a row of its own, dealt by its
+two cells and salts over as many tasks as its comparisons ask for, so that one
+large cell is no task's alone.
 
 Null and empty texts get fingerprint zero and link like any other. An empty
 table gives no rows. Repeated rows stay repeated. Extra columns are ignored.
@@ -15,6 +17,7 @@ table gives no rows. Repeated rows stay repeated. Extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -65,22 +68,38 @@ def _offsets(radius: int) -> list[list[int]]:
     return [list(d) for d in every if d >= (0,) * PARTS]
 
 
-def links_within(distinct: DataFrame, radius: int = 3, tile_rows: int = 4096) -> DataFrame:
-    """(a, b): links between distinct fingerprints at most `radius` bits apart, thinned to forests inside each tile pair."""
+def tile_pairs(distinct: DataFrame, radius: int, tile_rows: int, task_comparisons: float = 1e9) -> DataFrame:
+    """(own, fps_a, fps_b): the pairs of tiles to compare; `own` marks a tile with itself."""
+    spark = distinct.sparkSession
     part = [F.expr(f"cast(bit_count(shiftrightunsigned(fp, {16 * k}) & 65535L) as int)") for k in range(PARTS)]
     cells = distinct.select("fp", F.array(*part).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("salts"))
+    sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / tile_rows).cast("int")))  # at most 17 ** PARTS rows, by construction
     tiles = (
-        cells.join(F.broadcast(sizes), "cell")  # at most 17 ** PARTS rows, by construction
+        cells.join(F.broadcast(sizes.select("cell", "salts")), "cell")
         .groupBy("cell", F.expr("cast(pmod(xxhash64(fp), salts) as int)").alias("salt"))
         .agg(F.collect_list("fp").alias("fps"))
     )
-    offsets = F.array(*[F.array(*[F.lit(x) for x in d]) for d in _offsets(radius)])
-    left = tiles.select(F.col("cell").alias("home"), F.col("salt").alias("salt_a"), F.col("fps").alias("fps_a"), F.explode(offsets).alias("d")).select(
-        F.expr("zip_with(home, d, (x, y) -> x + y)").alias("cell"), F.expr("forall(d, x -> x = 0)").alias("same"), "salt_a", "fps_a"
-    ).where("forall(cell, x -> x >= 0 and x <= 16)")
-    right = tiles.withColumnsRenamed({"salt": "salt_b", "fps": "fps_b"})
-    pairs = left.join(right.hint("shuffle_hash"), "cell").where("not same or salt_a <= salt_b").select(F.expr("same and salt_a = salt_b").alias("own"), "fps_a", "fps_b")
+    offsets = F.posexplode(F.array(*[F.array(*[F.lit(x) for x in d]) for d in _offsets(radius)])).alias("off", "d")
+    zero = _offsets(radius).index([0] * PARTS)
+    moved = lambda c, sign: F.expr(f"zip_with({c}, d, (x, y) -> x {sign} y)")
+    other = sizes.select(F.col("cell").alias("at"), F.col("n").alias("m"), F.col("salts").alias("others"))
+    work = sizes.select("cell", "n", offsets).withColumn("at", moved("cell", "+")).join(F.broadcast(other), "at").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil((work or 0) / task_comparisons)))
+    key, ordered = ["cell", "off", "salt_a", "salt_b"], f"off <> {zero} or salt_a <= salt_b"
+
+    def side(sign: str, mine: str, theirs: str, fps: str) -> DataFrame:
+        """Each tile once for each tile that it meets: as the first of a pair it looks up the cells ahead, as the second those behind."""
+        met = tiles.select("cell", F.col("salt").alias(mine), F.col("fps").alias(fps), offsets).withColumn("at", moved("cell", sign)).join(F.broadcast(other), "at")
+        met = met.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("others") - 1))).where(ordered)
+        return met.select(F.col("at" if sign == "+" else "cell").alias("cell"), "off", "salt_a", "salt_b", fps).repartition(tasks, *key)
+
+    pairs = side("+", "salt_a", "salt_b", "fps_a").join(side("-", "salt_b", "salt_a", "fps_b").hint("shuffle_hash"), key)
+    return pairs.select(F.expr(f"off = {zero} and salt_a = salt_b").alias("own"), "fps_a", "fps_b")
+
+
+def links_within(distinct: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:
+    """(a, b): links between distinct fingerprints at most `radius` bits apart, thinned to forests inside each tile pair."""
+    pairs = tile_pairs(distinct, radius, tile_rows)
 
     def compare(batches):
         for batch in batches:

@@ -75,6 +75,16 @@ def test_salted_tiles_lose_no_link(spark):
     assert sorted(map(sorted, by_want.values())) == sorted(map(sorted, by_got.values()))
 
 
+def test_pairs_of_one_large_cell_are_spread(spark):
+    """Fingerprints of one cell: its tile pairs are dealt over many tasks."""
+    rng = random.Random(6)
+    ones = [sum(1 << 16 * p + b for p in range(4) for b in rng.sample(range(16), 8)) for _ in range(1500)]
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(ones)], "fp long")
+    pairs = simhash.tile_pairs(df, 3, tile_rows=100, task_comparisons=20_000).selectExpr("spark_partition_id() as p", "size(fps_a) * size(fps_b) as n")
+    per = [r["n"] for r in pairs.groupBy("p").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()]
+    assert len(per) > 40 and max(per) < 0.12 * sum(per)
+
+
 def test_empty_repeated_and_extra_columns(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (None, None, None, None, None)]
