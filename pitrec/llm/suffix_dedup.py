@@ -16,6 +16,12 @@ Steps, each over whole texts as UTF-8 bytes:
 5. The windows' union by text is cut out.
 
 Contexts that one task finds more than once are settled there and travel once.
+Contexts of a k-gram that is found in very many places are dealt out further, so
+that none of them meets all others: from `ranges_from` places on, each for RANGES
+ranges of its windows, by the bytes that all windows of a range share, and shortened
+to what the range needs, which makes those inside a common passage alike; from
+`exact_from` places on, each window by itself under its digest. The limits
+rise with the corpus, which keeps the list of such k-grams below 2 MB.
 Null texts count as empty. Repeated rows are copies of each other. An empty
 table gives no rows; extra columns are kept by `remove_repeats`.
 """
@@ -23,6 +29,7 @@ table gives no rows; extra columns are kept by `remove_repeats`.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +46,9 @@ PRIME = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19  # bytes of text looked at together
 RUN_ROWS = 25_000  # contexts sorted together
 TASK_MB = 16  # of contexts that a merging task gets
+RANGES = 8  # of windows of a frequent k-gram
+HOT_GRAMS = 100_000  # at most, told apart
+PLACE_BITS = 31  # of a batch; the other bits of a hash select the anchor, the same in every batch
 
 
 class Anchors:
@@ -67,8 +77,9 @@ class Anchors:
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-        bits = int(n).bit_length()
-        low = np.uint64((1 << bits) - 1)
+        if n >> PLACE_BITS:
+            raise ValueError("a batch of 2 GB or more")
+        low = np.uint64((1 << PLACE_BITS) - 1)
         best = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
         span = 1
         while span * 2 <= w:
@@ -186,7 +197,10 @@ def repeated_windows(group: list[tuple], length: int = LENGTH) -> list[tuple[int
 
     Row: (lcp, forward, backward, text, place, low, high). Text -1 marks a
     context that occurs more than once and whose places are already settled.
+    A high of -1 marks rows that stand for one window each, at distance low.
     """
+    if group[0][6] < 0:
+        return _equal_windows(group, length)
     where: dict[tuple[bytes, bytes], int] = {}
     contexts, owners, shared, running = [], [], [], 1 << 30
     for lcp, forward, backward, text, place, low, high in group:
@@ -224,6 +238,20 @@ def repeated_windows(group: list[tuple], length: int = LENGTH) -> list[tuple[int
     return out
 
 
+def _equal_windows(group: list[tuple], length: int) -> list[tuple[int, int, int]]:
+    """The same for rows of one window, which repeat where their forward parts are equal; these are neighbours."""
+    out, at = [], 0
+    while at < len(group):
+        end, forward = at + 1, group[at][1]
+        while end < len(group) and group[end][1] == forward:
+            end += 1
+        own = {(row[3], row[4], row[5]) for row in group[at:end] if row[3] >= 0}
+        if len(own) > 1 or any(row[3] < 0 for row in group[at:end]):
+            out += [(text, place - low, place - low + length) for text, place, low in own]
+        at = end
+    return out
+
+
 def _many(contexts: list[tuple], length: int) -> list[tuple[int, int]]:
     """For each context the least and the largest distance whose window occurs in another one.
 
@@ -270,7 +298,7 @@ def _runs(rows: list[tuple], parts: int, length: int):
         places = {(t, p) for t, p, _, _ in own}
         _, _, low, high = own[0]
         if len(places) > 1:
-            spans += [(t, p - high, p - low + length) for t, p in places]
+            spans += [(t, p - (high if high >= 0 else low), p - low + length) for t, p in places]
             by_part.setdefault(part, []).append((forward, backward, -1, 0, low, high))
         else:
             by_part.setdefault(part, []).append((forward, backward, *own[0]))
@@ -289,8 +317,23 @@ def _exchange_batch(spans: list, runs: list) -> pa.RecordBatch:
     ]
     return pa.RecordBatch.from_arrays(columns, names=["part", "run", "tid", "s", "e"])
 
-
-
+def _dealt(raw: bytes, a: int, low: int, high: int, h: int, level: int, parts: int, length: int, gram: int):
+    """(part, forward, backward, low, high) of an anchor's contexts: one, one a range of windows, or one a window."""
+    if level == 0:
+        yield h % parts, raw[a : a + length - low], raw[a - high : a][::-1], low, high
+    elif level == 1:
+        most = length - gram + 1
+        for r in range(RANGES):
+            first, last = most * r // RANGES, most * (r + 1) // RANGES - 1
+            t0, t1 = max(low, first), min(high, last)
+            if t0 <= t1:
+                shared = raw[a - first : a + length - last]  # in all windows of the range
+                yield zlib.crc32(shared, (h ^ r) & 0xFFFFFFFF) % parts, raw[a : a + length - t0], raw[a - t1 : a][::-1], t0, t1
+    else:
+        lead = raw[a : a + gram]
+        for t in range(low, high + 1):
+            digest = hashlib.md5(raw[a - t : a - t + length], usedforsecurity=False).digest()
+            yield int.from_bytes(digest[:6], "little") % parts, lead + digest, b"", t, -1
 
 
 def bit_set(keys: DataFrame, key: str, most_bits: int = 28):
@@ -317,7 +360,7 @@ def sieve(rows: DataFrame, known, key: str, inside: bool = True) -> DataFrame:
     return rows.where(may_be(F.pmod(F.xxhash64(key), F.lit(1 << bits))))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, ranges_from: int = 4096, exact_from: int = 65_536) -> DataFrame:
     """(dig, whole, ranges): what goes from each distinct text that loses anything.
 
     dig: the first 16 bytes of the text's SHA-256. whole: all of it, since it has copies. ranges: (s, e) in bytes.
@@ -349,17 +392,24 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     one = found.groupBy("dig").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("place").alias("place"), F.first("h").alias("h"))
     texts = cut(one.withColumn("tid", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
     each = texts.select("tid", F.explode(F.arrays_zip("place", "h")).alias("x")).select("tid", "x.place", "x.h")
-    often = cut(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))  # cut, so that a hot k-gram's join can be split
+    often = cut(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"))  # cut, so that a hot k-gram's join can be split
     wanted = cut(each.join(often, "h", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_list("place")).alias("place")))
-    n_places = wanted.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_places * 400 // (TASK_MB << 20)))
+    n_places = often.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    limits = [max(x, n_places // HOT_GRAMS) for x in (ranges_from, max(ranges_from, exact_from))]
+    level = F.when(F.col("k") >= limits[1], 2).when(F.col("k") >= limits[0], 1).otherwise(0)
+    sizes = F.when(level == 2, 64 * (length - gram)).when(level == 1, 400 * RANGES).otherwise(400)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(often.agg(F.sum(F.col("k") * sizes)).first()[0] or 0) // (TASK_MB << 20)))
+    hot = often.select("h", level.cast("byte").alias("level")).where("level > 0").toArrow()  # at most HOT_GRAMS rows, by the limits
+    hot_h = hot.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hot_h)
+    hot_grams = share(spark, (hot_h[order], hot.column("level").to_numpy()[order]))
     ask = wanted.join(texts.select("tid", "dig", "id"), "tid").select("tid", "dig", F.col("id").alias("rid"), "place")
     sieved = sieve(src.withColumn("dig", F.substring(F.unhex(F.sha2("text", 256)), 1, 16)), bit_set(ask, "dig"), "dig")
     with_text = sieved.join(ask, "dig").where(F.col("id").eqNullSafe(F.col("rid"))).select("tid", "text", "place")
 
     def contexts(batches):
         forget_kept()
-        select, rows = Anchors(length, gram), []
+        select, rows, (frequent, level_of) = Anchors(length, gram), [], hot_grams()
         for batch in batches:
             for few in slices(batch, 1, CHUNK):
                 tids = few.column(0).to_pylist()
@@ -369,13 +419,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 ask_text = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy())
                 ask_place = lists.flatten().to_numpy()
                 use = np.flatnonzero(np.isin(text << 40 | place, ask_text.astype(np.int64) << 40 | ask_place.astype(np.int64)))
-                to = (h[use] % np.uint64(parts)).tolist()
-                for p, t, a, lo, hi in zip(to, text[use].tolist(), place[use].tolist(), low[use].tolist(), high[use].tolist()):
-                    raw = part[t]
-                    rows.append((p, raw[a : a + length - lo], raw[a - hi : a][::-1], tids[t], a, lo, hi))
-                if len(rows) >= RUN_ROWS:
-                    yield _exchange_batch(*_runs(rows, parts, length))
-                    rows = []
+                levels = np.zeros(len(use), dtype=np.int8)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, h[use]), len(frequent) - 1)
+                    levels = np.where(frequent[at] == h[use], level_of[at], 0)
+                for t, a, lo, hi, key, lev in zip(text[use].tolist(), place[use].tolist(), low[use].tolist(), high[use].tolist(), h[use].tolist(), levels.tolist()):
+                    for p, forward, backward, t0, t1 in _dealt(part[t], a, lo, hi, key, lev, parts, length, gram):
+                        rows.append((p, forward, backward, tids[t], a, t0, t1))
+                    if len(rows) >= RUN_ROWS:
+                        yield _exchange_batch(*_runs(rows, parts, length))
+                        rows = []
         if rows:
             yield _exchange_batch(*_runs(rows, parts, length))
 
@@ -435,13 +488,13 @@ def union(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, keep_text: bool = True, ranges_from: int = 4096, exact_from: int = 65_536) -> DataFrame:
     """The rows with `kept` (what stays), `n_bytes`, `n_removed` and `n_spans`, which replace columns of these names.
 
     kept is binary, or with `as_text` a string without the characters that a cut divides.
     Without `keep_text` the text column itself is left out, and not shuffled beside its bytes.
     """
-    gone = cut(spans(docs, id_col, text_col, length, gram)).withColumnsRenamed({"dig": "__dig", "whole": "__whole", "ranges": "__ranges"})
+    gone = cut(spans(docs, id_col, text_col, length, gram, ranges_from, exact_from)).withColumnsRenamed({"dig": "__dig", "whole": "__whole", "ranges": "__ranges"})
     own = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans") and (keep_text or c != text_col)]
     src = docs.select(*own, F.col(text_col).alias("__text"))
     src = src.withColumn("__raw", F.coalesce(F.col("__text").cast("string"), F.lit("")).cast("binary")).drop("__text").withColumn("__dig", F.substring(F.unhex(F.sha2("__raw", 256)), 1, 16))

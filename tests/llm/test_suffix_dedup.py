@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pitrec.llm import suffix_dedup as S
@@ -34,14 +35,33 @@ def planted(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, limits", [(1, (4096, 65_536)), (2, (4096, 65_536)), (1, (2, 1 << 30)), (2, (2, 2)), (3, (3, 6)), (4, (4, 20))])
+def test_matches_brute_force(spark, seed, limits):
+    """With each way of dealing out frequent k-grams."""
     texts = planted(seed)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(documents(spark, texts).repartition(3)).collect()}
+    found = S.remove_repeats(documents(spark, texts).repartition(3), ranges_from=limits[0], exact_from=limits[1])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found.collect()}
     want = brute(texts)
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_anchors_do_not_depend_on_the_batch():
+    texts = [x.encode() for x in planted(7) if x]
+    select = S.Anchors()
+    text, *together = select(texts)
+    for k, raw in enumerate(texts):
+        for x, alone in zip(together, select([raw])[1:]):
+            assert np.array_equal(x[text == k], alone)
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(None, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", "s", 1), (4, b + "x", "en", "s", 1), (4, "y", "en", "s", 1), (4, "y", "en", "s", 1)]
+    got = sorted((r["text"], bytes(r["kept"])) for r in S.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted((t, k[3]) for t, k in zip([r[1] for r in rows], brute([r[1] for r in rows])))
+
+
 def test_short_lengths_and_many_contexts(spark):
     """A shorter length and a common passage give groups with many contexts."""
     rng = random.Random(5)
