@@ -1,18 +1,18 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-documents. Rows that a stage keeps are passed on whole.
+documents. Rows that a stage keeps are passed on whole; ids may be null or repeat.
+Null and empty texts pass the first stage, are near copies of each other in the
+second, and empty in the third. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitrec.llm import mixing, pieces, simhash, suffix_dedup, toxicity
-from pitrec.llm.common import checkpoint_dir, cut, table
+from pitrec.llm.common import cut, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    place = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    place = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

@@ -62,7 +62,7 @@ def test_entry_without_the_text_subpackage(monkeypatch):
     class Gone:
         def find_spec(self, name, path=None, target=None):
             if name.startswith("pitrec.llm") or name == "corpus_pipeline":
-                raise ImportError(name)
+                raise ModuleNotFoundError(name, name=name)
 
     for name in [m for m in sys.modules if m.startswith("pitrec.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
@@ -75,6 +75,22 @@ def test_entry_without_the_text_subpackage(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
+def test_entry_does_not_hide_a_failing_import(monkeypatch):
+    class Broken:
+        def find_spec(self, name, path=None, target=None):
+            if name == "pitrec.llm.registry":
+                raise ModuleNotFoundError("xxhash", name="xxhash")
+
+    for name in [m for m in sys.modules if m.startswith("pitrec.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    import pitrec
+
+    monkeypatch.delattr(pitrec, "llm", raising=False)
+    monkeypatch.setattr(sys, "meta_path", [Broken(), *sys.meta_path])
+    with pytest.raises(ModuleNotFoundError):
+        importlib.import_module("__spark_entry__")
+
+
 def test_twins_agree_on_the_smallest_tables(spark, sf):
     """Some queries of each group against their twins in another engine."""
     import glob
