@@ -188,7 +188,7 @@ def compare(rows: DataFrame, hashes: Hashes, cosine: float, block: int) -> DataF
     return placed.mapInArrow(run, f"a {kind}, b {kind}, n bigint")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, bucket: int = 256, recall: float = 0.985, block: int = 768) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, bucket: int = 256, recall: float = 0.985, block: int = 384) -> DataFrame:
     """(id, n_links, component): other vectors linked directly, and the smallest id reachable, itself included."""
     distinct = cut(classes(vectors, id_col, vector_col))
     shape = distinct.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()
