@@ -72,8 +72,9 @@ def cumulative(rate: Column) -> Column:
 
 
 def poisson(u: Column, probabilities: Column) -> Column:
-    """The smallest count whose cumulative probability reaches u."""
-    return F.size(F.filter(probabilities, lambda c: c < u))
+    """The smallest count whose cumulative probability reaches u, which is evaluated once."""
+    start = F.struct(u.alias("u"), F.lit(0).alias("n"))
+    return F.aggregate(probabilities, start, lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + F.when(c < s["u"], 1).otherwise(0)).alias("n")), lambda s: s["n"])
 
 
 def _long(digest: Column, n: int) -> Column:
