@@ -288,6 +288,18 @@ def _many(contexts: list[tuple], length: int) -> list[tuple[int, int]]:
     return list(zip(least.tolist(), most.tolist()))
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(text, start, end) without those that overlap or touch."""
+    out: list[tuple[int, int, int]] = []
+    for text, s, e in sorted(spans):
+        if out and out[-1][0] == text and s <= out[-1][2]:
+            if e > out[-1][2]:
+                out[-1] = (text, out[-1][1], e)
+        else:
+            out.append((text, s, e))
+    return out
+
+
 def _runs(rows: list[tuple], parts: int, length: int):
     """Contexts (part, forward, backward, text, place, low, high) as settled spans and as front-coded runs by part."""
     seen: dict[tuple, list] = {}
@@ -302,7 +314,7 @@ def _runs(rows: list[tuple], parts: int, length: int):
             by_part.setdefault(part, []).append((forward, backward, -1, 0, low, high))
         else:
             by_part.setdefault(part, []).append((forward, backward, *own[0]))
-    return spans, [(part, write_run(sorted(kept))) for part, kept in by_part.items()]
+    return joined(spans), [(part, write_run(sorted(kept))) for part, kept in by_part.items()]
 
 
 _EXCHANGE = "part int, run binary, tid bigint, s bigint, e bigint"
@@ -450,7 +462,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 out.extend(repeated_windows(group, length))
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["tid", "s", "e"])
+            fewer = joined(out)
+            batch = pa.RecordBatch.from_arrays([pa.array([x[c] for x in fewer], pa.int64()) for c in range(3)], names=["tid", "s", "e"])
             out.clear()
             return batch
 
