@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pitrec.functions.expressions import cohort, review_bucket, sigmoid
 
 from .metrics import global_auc, grouped_metrics
-from .profile import r6
+from .order import grouped_quantiles, quantiles
+from .rounding import r6
 
 QS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -29,9 +30,10 @@ def with_views(dumps: DataFrame) -> DataFrame:
 def distribution(rows: DataFrame, p: str = "p") -> DataFrame:
     """One row: moments and quantiles of p, mean logits by label, bias ratio, Brier score."""
     y = F.col("label")
+    at = quantiles(rows, p, list(QS))
     return rows.agg(
         F.count("*").alias("n"), r6(F.avg(p)).alias("mean_p"), r6(F.stddev_pop(p)).alias("std_p"),
-        *[r6(F.percentile(p, F.lit(q))).alias(f"q{round(q * 100):02d}") for q in QS],
+        *[r6(F.lit(x).cast("double")).alias(f"q{round(q * 100):02d}") for q, x in zip(QS, at)],
         r6(F.avg(F.when(y == 1, F.col("logit")))).alias("pos_logit"), r6(F.avg(F.when(y == 0, F.col("logit")))).alias("neg_logit"),
         r6(F.avg(p) / F.avg(y)).alias("bias_ratio"), r6(F.avg((F.col(p) - y) * (F.col(p) - y))).alias("brier"),
     )
@@ -50,9 +52,8 @@ def ece_equal(rows: DataFrame, bins: int = 15, p: str = "p", by: list[str] = ())
 
 def ece_quantile(rows: DataFrame, bins: int = 15, p: str = "p") -> DataFrame:
     """ECE over bins between distinct quantiles, closed on the left, so that ties share a bin; equal-width bins if fewer than three edges differ."""
-    qs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = rows.agg(F.array_sort(F.array_distinct(F.transform(F.percentile(p, qs), lambda x: F.round(x, 12)))).alias("edges"))
-    joined = rows.crossJoin(F.broadcast(edges))  # one row of bins + 1 numbers
+    edges = sorted({round(x, 12) for x in quantiles(rows, p, [k / bins for k in range(bins + 1)]) if x is not None})
+    joined = rows.withColumn("edges", F.lit(edges).cast("array<double>"))  # bins + 1 numbers
     rounded = F.round(F.col(p), 12)
     wide = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
     narrow = F.greatest(F.least(F.size(F.filter("edges", lambda e: e <= rounded)), F.size("edges") - 1), F.lit(1))
@@ -101,8 +102,9 @@ def threshold_sweep(rows: DataFrame, k: int = 10, qs=(0.1, 0.25, 0.5, 0.75, 0.9)
 
     All rungs of all cohorts are evaluated in one plan: rows are exploded by rung.
     """
-    rungs = rows.groupBy("cohort").agg(F.percentile(p, F.array(*[F.lit(q) for q in qs])).alias("t"))
-    grid = rungs.select("cohort", F.explode(F.concat(F.array(F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("t"))), F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("t").alias("t")))).alias("x")).select("cohort", F.col("x.q").alias("q"), r6(F.col("x.t")).alias("threshold"))
+    found = grouped_quantiles(rows, p, list(qs), "cohort")
+    rungs = [(c, q, float(t)) for c, ts in found.items() for q, t in zip((0.0, *qs), (0.0, *ts))]
+    grid = rows.sparkSession.createDataFrame(rungs, "cohort int, q double, t double").select("cohort", "q", r6(F.col("t")).alias("threshold"))
     at = rows.join(F.broadcast(grid), "cohort").withColumn("v", F.when(F.col(p) < F.col("threshold"), 0.0).otherwise(F.col(p)))  # six rows a cohort
     from pyspark.sql import Window
 

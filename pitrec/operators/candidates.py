@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import cohort, known_or
 
-from .profile import r6
+from .rounding import r6
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import DAY_MS, list_length, price
 
-from .profile import r6
+from .order import places, quantiles
+from .rounding import r6
 
 
 def _user_aggs() -> dict[str, Column]:
@@ -53,10 +54,10 @@ def user_features_at(hist: DataFrame, as_of: int, recent_days: int = 30) -> Data
 def item_features(items: DataFrame, train: DataFrame, filtered: DataFrame) -> DataFrame:
     """Catalog columns, training aggregates and membership flags of every item; price flags come before the median fill."""
     priced = items.select("item_id", "store", "main_category", F.coalesce("rating_number", F.lit(0)).alias("rating_number"), price(F.col("price")).alias("price"), list_length(F.col("categories")).alias("n_categories"))
-    median = priced.agg(F.median("price").alias("median_price"))
+    (median,) = quantiles(priced, "price", [0.5])
     aggs = with_defaults(train).groupBy("item_id").agg(F.count("*").alias("n_reviews"), r6(F.avg("rating")).alias("avg_rating"), F.sum("label").alias("n_positive"), r6(F.avg(F.col("verified").cast("int"))).alias("verified_rate"))
     universe = filtered.select("item_id").distinct().withColumn("in_filtered", F.lit(1))
-    out = priced.crossJoin(F.broadcast(median)).join(aggs, "item_id", "left").join(universe, "item_id", "left")  # the median is one row
+    out = priced.withColumn("median_price", F.lit(median).cast("double")).join(aggs, "item_id", "left").join(universe, "item_id", "left")
     zero = F.lit(0)
     return out.select(
         "item_id", "store", "main_category", "rating_number",
@@ -98,14 +99,9 @@ def top_facet(rows: DataFrame, items: DataFrame, facet: str) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """(value, idx): sorted distinct values from 1; 0 is kept for padding and unseen values.
-
-    Offsets come from counts by a hash-free prefix bucket, so no task orders all values.
-    """
-    values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().withColumn("b", F.substring("value", 1, 2))
-    sizes = values.groupBy("b").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return values.join(before, "b").select("value", (F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("value"))).cast("int").alias("idx"))
+    """(value, idx): sorted distinct values from 1; 0 is kept for padding and unseen values."""
+    values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return places(values, "value").select("value", F.col("place").cast("int").alias("idx"))
 
 
 def encode(df: DataFrame, column: str, vocab: DataFrame, out: str) -> DataFrame:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import r6
+from pitrec.sources.io import shared_dir
+
+from .rounding import r6
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -23,12 +21,12 @@ def keep_frequent(rows: DataFrame, key: str, least: int) -> DataFrame:
     return rows.join(enough, key, "left_semi").select(*rows.columns)
 
 
-def iterative_kcore(rows: DataFrame, min_user: int, min_item: int, first: str = "user", max_iter: int = 20) -> tuple[DataFrame, list[tuple]]:
+def iterative_kcore(rows: DataFrame, min_user: int, min_item: int, first: str = "user", max_iter: int = 100) -> tuple[DataFrame, list[tuple]]:
     """(core, report): keeps users and items with enough rows, round by round, to a fixed point.
 
     A round filters one side, then the other, and is checkpointed, so plans stay
     flat. The report has a row a round: (round, users, items, rows, removed).
-    The last round removes nothing.
+    The last round removes nothing; without a fixed point within `max_iter` rounds it raises.
     """
     order = [("user_id", min_user), ("item_id", min_item)]
     order = order if first == "user" else order[::-1]
@@ -44,6 +42,8 @@ def iterative_kcore(rows: DataFrame, min_user: int, min_item: int, first: str =
         if n == before:
             break
         before = n
+    else:
+        raise RuntimeError(f"no fixed point after {max_iter} rounds")
     return now, report
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import clean_value, item_text, normalize_title, store_merge_key
 
-from .profile import r6
+from .rounding import r6
 
 
 def dedup_metadata(items: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import cohort, fine_cohort
+from pitrec.sources.io import digests
 
-from .profile import r6
+from .order import running
+from .rounding import r6
 
 
 def truth_sets(rows: DataFrame) -> DataFrame:
@@ -101,14 +103,9 @@ def grouped_auc(rows: DataFrame) -> DataFrame:
 
 
 def global_auc(rows: DataFrame) -> DataFrame:
-    """Pooled AUC. Rows fold to distinct scores, and these to buckets of a bounded number, so that no task orders all rows."""
+    """Pooled AUC. Rows fold to distinct scores, whose ranks come from a range-partitioned order, so that no task orders all rows."""
     by_score = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    edges = by_score.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(4095))).otherwise(0)
-    placed = by_score.crossJoin(F.broadcast(edges)).withColumn("b", b)  # one row
-    before = placed.groupBy("b").agg(F.sum("n").alias("bn")).withColumn("before", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 4096 rows
-    inner = Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(F.broadcast(before.select("b", "before")), "b").withColumn("avg_rank", F.col("before") + F.coalesce(F.sum("n").over(inner), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = running(by_score, "n", "score").withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / 2.0)
     tot = ranked.agg(F.sum("n").alias("n"), F.sum("p").cast("double").alias("p"), F.sum(F.col("p") * F.col("avg_rank")).alias("s"))
     return tot.select("n", F.col("p").cast("bigint").alias("n_pos"), r6((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -151,7 +148,8 @@ def grouped_metrics(rows: DataFrame, sizes: DataFrame, ks: list[int]) -> DataFra
 
 
 def full_evaluation(rows: DataFrame, sizes: DataFrame, ks: list[int]) -> DataFrame:
-    """Grouped metrics with grouped and global AUC."""
+    """Grouped metrics with grouped and global AUC; the rows are read three times."""
+    rows = rows.persist()
     g, a = grouped_auc(rows).select("gauc", "mean_auc"), global_auc(rows).select(F.col("auc").alias("global_auc"))
     return grouped_metrics(rows, sizes, ks).crossJoin(g).crossJoin(a)  # one row each
 
@@ -318,21 +316,10 @@ def macro_f1(rows: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("n_classes"), r6(F.avg(2.0 * F.col("tp") / (F.col("t") + F.col("p")))).alias("macro_f1"))
 
 
-def freeze_provenance(paths: dict[str, str], n_rows: dict[str, int]) -> dict:
-    """SHA-256 of the files a decision rests on; raises for a missing file or an arm without rows."""
-    import hashlib
-    import os
-
+def freeze_provenance(spark, paths: dict[str, str], n_rows: dict[str, int]) -> DataFrame:
+    """(name, file, sha256, n_rows) of the files a decision rests on, in any store; raises for a missing one or an arm without rows."""
     empty = [a for a, n in n_rows.items() if n <= 0]
     if empty:
         raise ValueError(f"no rows: {', '.join(empty)}")
-    out = {}
-    for name, path in paths.items():
-        if not os.path.isfile(path):
-            raise FileNotFoundError(path)
-        digest = hashlib.sha256()
-        with open(path, "rb") as f:
-            while part := f.read(1 << 20):
-                digest.update(part)
-        out[name] = {"sha256": digest.hexdigest(), "rows": n_rows.get(name)}
-    return out
+    found = [(name, file, sha, n_rows.get(name)) for name, path in paths.items() for file, sha in digests(spark, path).items()]
+    return spark.createDataFrame(found, "name string, file string, sha256 string, n_rows long")

@@ -1,35 +1,26 @@
-"""Training and scoring: samplers, factor models, rankers, and text models, on Spark ML."""
+"""Training and scoring: samplers, factor models and text models, on Spark ML."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 
-from pyspark.ml.feature import HashingTF, IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import r6
-from .retrieval import dense_top_k
+from .rounding import r6
+from .retrieval import dense_top_k, random_top_k, seen, unit
 
 
-def sample_pairs(rows: DataFrame, pool: DataFrame, negatives: int = 2, epoch: int = 0, oversample: int = 4) -> DataFrame:
-    """(user_id, item_id, label, kind): positives, hard negatives, and for each positive some unseen pool items drawn by (epoch, user, draw).
+def sample_pairs(rows: DataFrame, pool: DataFrame, negatives: int = 2, epoch: int = 0) -> DataFrame:
+    """(user_id, item_id, label, kind): positives, hard negatives, and for each positive some unseen pool items, the first of the user's permutation in this epoch.
 
-    Draws index the pool by hash, so users never meet the whole pool; seen and
-    repeated draws fall out, which is why more are drawn than kept.
+    A user gets fewer only where the pool has no more unseen items.
     """
-    known = rows.select("user_id", "item_id").distinct()
     base = rows.select("user_id", "item_id", "label", F.when(F.col("label") == 1, "positive").otherwise("hard_negative").alias("kind")).distinct()
-    items = pool.select("item_id").distinct()
-    n = max(1, items.count())
-    slot = items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("slot"))
     users = rows.where("label = 1").groupBy("user_id").agg((F.count("*") * negatives).alias("want"))
-    draws = users.select("user_id", "want", F.explode(F.expr(f"sequence(1, cast(want * {oversample} as int))")).alias("d"))
-    drawn = draws.withColumn("slot", F.pmod(F.xxhash64("user_id", "d", F.lit(epoch), F.lit("draw")), F.lit(n)))
-    fresh = drawn.join(slot, "slot").groupBy("user_id", "want", "item_id").agg(F.min("d").alias("d")).join(known, ["user_id", "item_id"], "left_anti")
-    own = Window.partitionBy("user_id").orderBy("d", "item_id")
-    soft = fresh.withColumn("rn", F.row_number().over(own)).where("rn <= want").select("user_id", "item_id", F.lit(0).alias("label"), F.lit("soft_negative").alias("kind"))
+    soft = random_top_k(users, pool, seen(rows), None, epoch).select("user_id", "item_id", F.lit(0).alias("label"), F.lit("soft_negative").alias("kind"))
     return base.unionByName(soft)
 
 
@@ -58,55 +49,6 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
-def ranker(rows: DataFrame, features: list[str], kind: str = "logistic", weight: float = 1.0, seed: int = 7):
-    """A fitted pipeline with a weight on positives. logistic: first order; cross: with factorised second order; mlp: hidden layers on balanced rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    prepared = rows.fillna(0, subset=features).withColumns({"label": F.col("label").cast("double"), "w": F.when(F.col("label") == 1, float(weight)).otherwise(1.0)})
-    stages = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    if kind == "logistic":
-        stages.append(LogisticRegression(weightCol="w", regParam=1e-4, maxIter=25))
-    elif kind == "cross":
-        stages.append(FMClassifier(factorSize=4, maxIter=30, stepSize=0.05, seed=seed))
-        prepared = _balanced(prepared, weight)
-    else:
-        stages.append(MultilayerPerceptronClassifier(layers=[len(features), 16, 2], maxIter=30, seed=seed))
-        prepared = _balanced(prepared, weight)
-    return Pipeline(stages=stages).fit(prepared)
-
-
-def _balanced(rows: DataFrame, weight: float) -> DataFrame:
-    """Negatives thinned by hash instead of a weight, where the learner takes none."""
-    keep = F.pmod(F.xxhash64("user_id", "item_id"), F.lit(1_000_000)) < 1_000_000 / max(1.0, weight)
-    return rows.where((F.col("label") == 1) | keep)
-
-
-def rank_scores(model, rows: DataFrame, features: list[str]) -> DataFrame:
-    """(user_id, item_id, score): the positive class's log odds."""
-    from pyspark.ml.functions import vector_to_array
-
-    p = vector_to_array("probability")[1]
-    clipped = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    return model.transform(rows.drop("label").fillna(0, subset=features)).select("user_id", "item_id", F.log(clipped / (1 - clipped)).alias("score"))
-
-
-def select_ranker(train: DataFrame, held: DataFrame, truth: DataFrame, features: list[str], kinds=("logistic", "cross"), k: int = 100):
-    """(kind, model, recalls): the kind with the best recall at k on held users, fitted again on all rows."""
-    from .metrics import recall_precision
-    from .retrieval import top_k
-
-    n, pos = train.agg(F.count("*"), F.sum("label")).first()
-    weight = (n - pos) / max(1, pos)
-    recalls = {}
-    for kind in kinds:
-        lists = top_k(rank_scores(ranker(train, features, kind, weight), held, features), k)
-        recalls[kind] = recall_precision(truth, lists, [k]).first()["recall"]
-    best = max(kinds, key=lambda x: recalls[x])
-    return best, ranker(train.unionByName(held.select(*train.columns)), features, best, weight), recalls
-
-
 def text_counts(text: Column) -> dict[str, Column]:
     """Words, characters, exclamation and question marks, share of upper-case letters."""
     words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
@@ -172,9 +114,9 @@ def text_classifier(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 
 def hashed_text_vectors(texts: DataFrame, dim: int = 64) -> DataFrame:
-    """(item_id, embedding): hashed word counts at unit length, for items without a given embedding."""
-    from pyspark.ml.functions import vector_to_array
-
-    words = RegexTokenizer(inputCol="text", outputCol="w", pattern="[^\\p{L}\\p{N}]+").transform(texts)
-    hashed = Normalizer(inputCol="h", outputCol="e").transform(HashingTF(inputCol="w", outputCol="h", numFeatures=dim).transform(words))
-    return hashed.select("item_id", vector_to_array("e").alias("embedding"))
+    """(item_id, embedding): word counts in hashed buckets at unit length, for items without a given embedding; zeros for texts without words."""
+    words = texts.select("item_id", F.explode_outer(F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")).alias("w"))
+    bucket = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % dim
+    counts = words.groupBy("item_id").agg(*[F.sum(F.when(bucket == k, 1.0).otherwise(0.0)).alias(f"b{k}") for k in range(dim)])
+    cells = F.array(*[F.col(f"b{k}") for k in range(dim)])
+    return counts.select("item_id", cells.alias("v")).select("item_id", F.coalesce(unit(F.col("v")), F.col("v")).alias("embedding"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import helpful_bin
 
-
-def r6(x: Column) -> Column:
-    return F.round(x.cast("double"), 6)
+from .order import quantiles
+from .rounding import r6
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -30,7 +29,8 @@ def stream_stats(rows: DataFrame) -> DataFrame:
 def count_percentiles(rows: DataFrame, key: str, qs=(0.2, 0.5, 0.9, 0.99)) -> DataFrame:
     """Linear-interpolated percentiles of the rows per key."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.agg(*[F.percentile("n", F.lit(q)).alias(f"p{round(100 * q)}") for q in qs])
+    names = ", ".join(f"p{round(100 * q)} double" for q in qs)
+    return rows.sparkSession.createDataFrame([tuple(quantiles(counts, "n", list(qs)))], names)
 
 
 def filtering_table(rows: DataFrame, item_grid, user_grid) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import DAY_MS, decay
 
-from .profile import r6
+from .filtering import cut
+from .order import places
+from .rounding import r6
 
 BROADCAST_ROWS = 200_000
 
@@ -41,36 +43,30 @@ def seen(rows: DataFrame, users: DataFrame | None = None) -> DataFrame:
 
 
 def ranked_pool(scores: DataFrame, pool: DataFrame) -> DataFrame:
-    """(item_id, score, place): the pool by (score desc, item asc), items without a score at 0.
-
-    Only distinct scores are put in one order; places within a score come from its own partition.
-    """
+    """(item_id, score, place): the pool by (score desc, item asc), items without a score at 0."""
     full = pool.select("item_id").distinct().join(scores, "item_id", "left").select("item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    sizes = full.groupBy("score").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return full.join(before, "score").select("item_id", "score", (F.col("before") + F.row_number().over(Window.partitionBy("score").orderBy("item_id"))).alias("place"))
-
-
-def head(scores: DataFrame, pool: DataFrame, n: int) -> DataFrame:
-    """(item_id, score, place): the first n of the pool by (score desc, item asc); a top-n without a full sort."""
-    full = pool.select("item_id").distinct().join(scores, "item_id", "left").select("item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    first = full.orderBy(F.desc("score"), "item_id").limit(n)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")))  # n rows
+    return places(full, F.desc("score"), "item_id")
 
 
 def top_unseen(users: DataFrame, scores: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int) -> DataFrame:
     """Each user's first k unseen items of one global order.
 
     A user needs at most the first k + |seen| places. These are written out and
-    joined with the head by place, so no user meets the rest of the pool. Exact.
+    joined with the order by place, so no user meets the rest of the pool. Exact.
+    Of a pool above BROADCAST_ROWS only the head is broadcast, for users whose
+    places lie within it; the few with longer histories join the whole order.
     """
-    users = users.select("user_id").distinct()
+    order = cut(ranked_pool(scores, pool))
+    n = order.count()
     counts = seen_pairs.groupBy("user_id").agg(F.count("*").alias("n_seen"))
-    most = seen_pairs.join(users, "user_id", "left_semi").groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    order = head(scores, pool, k + most)
-    depth = users.join(counts, "user_id", "left").select("user_id", (F.coalesce("n_seen", F.lit(0)) + k).cast("int").alias("depth"))
-    places = depth.select("user_id", F.explode(F.sequence(F.lit(1), "depth")).alias("place"))
-    pairs = places.join(F.broadcast(order) if k + most <= BROADCAST_ROWS else order, "place")
+    depth = users.select("user_id").distinct().join(counts, "user_id", "left").select("user_id", F.least(F.coalesce("n_seen", F.lit(0)) + k, F.lit(n)).cast("int").alias("depth")).where("depth > 0")
+    wanted = lambda d: d.select("user_id", F.explode(F.sequence(F.lit(1), "depth")).alias("place"))
+    if n <= BROADCAST_ROWS:
+        pairs = wanted(depth).join(F.broadcast(order), "place")
+    else:
+        head = F.broadcast(order.where(F.col("place") <= BROADCAST_ROWS))
+        pairs = wanted(depth.where(F.col("depth") <= BROADCAST_ROWS)).join(head, "place")
+        pairs = pairs.unionByName(wanted(depth.where(F.col("depth") > BROADCAST_ROWS)).join(order, "place").select(*pairs.columns))
     fresh = pairs.join(seen_pairs, ["user_id", "item_id"], "left_anti")
     own = Window.partitionBy("user_id").orderBy("place")
     return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("user_id", "item_id", "score", "rank")
@@ -83,11 +79,10 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
 
 
 def numbered(pool: DataFrame) -> DataFrame:
-    """(item_id, idx): the pool's items from 0 in one fixed order; offsets come from 4096 buckets, so no task orders all items."""
-    items = pool.select("item_id").distinct().withColumn("b", F.substring(F.md5(F.col("item_id").cast("string")), 1, 3))
-    sizes = items.groupBy("b").agg(F.count("*").alias("c"))
-    before = sizes.select("b", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return items.join(F.broadcast(before), "b").select("item_id", (F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("item_id")) - 1).alias("idx"))
+    """(item_id, idx): the pool's items from 0 in one fixed order, that of a hash."""
+    items = pool.select("item_id").distinct()
+    lot = F.substring(F.md5(F.col("item_id").cast("string")), 1, 3)
+    return places(items.withColumn("lot", lot), "lot", "item_id").select("item_id", (F.col("place") - 1).alias("idx"))
 
 
 def next_prime(n: int) -> int:
@@ -96,25 +91,25 @@ def next_prime(n: int) -> int:
     return n
 
 
-def random_top_k(users: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k unseen items a user, the first of a permutation of the pool that is drawn from (seed, user).
+def random_top_k(users: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
+    """k unseen items a user, the first of a permutation of the pool that is drawn from (seed, user); without k as many as the user's `want`.
 
     Place i of a user holds item (a + b i) modulo the next prime of the pool's
     size, with a and b hashed from seed and user: a permutation of which only
     the first k + |seen| places, and those that the prime adds, are written out.
     """
-    items = numbered(pool)
+    items = cut(numbered(pool))
     n = items.count()
     prime = next_prime(max(n, 2))
     counts = seen_pairs.groupBy("user_id").agg(F.count("*").alias("n_seen"))
     lot = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(what), F.col("user_id").cast("string"))), 1, 12), 16, 10).cast("long")
-    asked = users.select("user_id").distinct().join(counts, "user_id", "left")
-    depth = F.least(F.coalesce("n_seen", F.lit(0)) + k + (prime - n), F.lit(prime)).cast("int")
-    places = asked.select("user_id", (lot("a") % prime).alias("a"), (1 + lot("b") % (prime - 1)).alias("s"), F.explode(F.sequence(F.lit(1), depth)).alias("i"))
-    drawn = places.select("user_id", "i", ((F.col("a") + F.col("s") * F.col("i")) % prime).alias("idx"))
+    asked = users.select("user_id", F.lit(k).alias("want") if k is not None else F.col("want")).distinct().join(counts, "user_id", "left")
+    depth = F.least(F.coalesce("n_seen", F.lit(0)) + F.col("want") + (prime - n), F.lit(prime)).cast("int")
+    spots = asked.select("user_id", "want", (lot("a") % prime).alias("a"), (1 + lot("b") % (prime - 1)).alias("s"), F.explode(F.sequence(F.lit(1), depth)).alias("i"))
+    drawn = spots.select("user_id", "want", "i", ((F.col("a") + F.col("s") * F.col("i")) % prime).alias("idx"))
     fresh = drawn.join(F.broadcast(items) if n <= BROADCAST_ROWS else items, "idx").join(seen_pairs, ["user_id", "item_id"], "left_anti")
     own = Window.partitionBy("user_id").orderBy("i")
-    return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("user_id", "item_id", (F.lit(0.0) - F.col("rank")).alias("score"), "rank")
+    return fresh.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= F.col("want")).select("user_id", "item_id", (F.lit(0.0) - F.col("rank")).alias("score"), "rank")
 
 
 def facet_affinity(rows: DataFrame, items: DataFrame, facet: str) -> DataFrame:
@@ -234,41 +229,44 @@ def content_profiles(rows: DataFrame, vectors: DataFrame, last: int = 30, recenc
     return whole.select("user_id", unit(F.col("v")).alias("profile")).where("profile is not null")
 
 
-def dense_top_k(profiles: DataFrame, vectors: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def dense_top_k(profiles: DataFrame, vectors: DataFrame, pool: DataFrame, seen_pairs: DataFrame, k: int, block: int = 4096, group: int = 512) -> DataFrame:
     """Cosine of profiles with the pool's unit vectors, best k unseen, by blocked matrix products.
 
-    Item blocks and user blocks meet in an equi-join over a grid, so neither
-    side has to fit in one place; each pair of blocks gives k + |seen| a user at most.
+    Blocks of items and groups of users meet in an equi-join over their grid,
+    each cell dealt by itself, so neither side has to fit in one place. A cell
+    gives k + |seen| items a user at most; seen ones go by an anti-join.
     """
     units = pool.select("item_id").distinct().join(vectors.select("item_id", unit(F.col("embedding")).alias("u")), "item_id").where("u is not null")
-    n_items = units.count()
-    n_blocks = max(1, -(-n_items // block))
+    n_blocks = max(1, -(-units.count() // block))
     blocks = units.withColumn("blk", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int")).groupBy("blk").agg(F.sort_array(F.collect_list(F.struct("item_id", "u"))).alias("items"))
-    asked = profiles.join(seen_pairs.groupBy("user_id").agg(F.collect_list("item_id").alias("seen")), "user_id", "left").select("user_id", "profile", F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
-    n_users = max(1, -(-asked.count() // block))
-    groups = asked.withColumn("grp", F.pmod(F.xxhash64("user_id"), F.lit(n_users)).cast("int")).groupBy("grp").agg(F.collect_list(F.struct("user_id", "profile", "seen")).alias("users"))
-    grid = groups.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "blk").select("users", "items")
+    known = seen_pairs.groupBy("user_id").agg(F.count("*").cast("int").alias("n_seen"))
+    asked = profiles.select("user_id", "profile").join(known, "user_id", "left").select("user_id", (F.coalesce("n_seen", F.lit(0)) + k).alias("most"), "profile")
+    n_groups = max(1, -(-asked.count() // group))
+    groups = asked.withColumn("grp", F.pmod(F.xxhash64("user_id"), F.lit(n_groups)).cast("int")).groupBy("grp").agg(F.collect_list(F.struct("user_id", "most", "profile")).alias("users"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(n_groups * n_blocks, 100_000)
+    left, right = groups.withColumn("blk", every(n_blocks)).repartition(tasks, "grp", "blk"), blocks.withColumn("grp", every(n_groups)).repartition(tasks, "grp", "blk")
+    grid = left.join(right, ["grp", "blk"]).select("users", "items")
 
     def score(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for users, items in zip(batch.column(0), batch.column(1)):
-                held, things = users.as_py(), items.as_py()
-                ids = np.array([t["item_id"] for t in things], dtype=np.int64)
-                a, b = np.array([u["profile"] for u in held]), np.array([t["u"] for t in things])
+            for users, things in zip(batch.column(0), batch.column(1)):
+                held, things = users.values, things.values
+                asked_ids, most = held.field("user_id").to_numpy(), held.field("most").to_numpy()
+                ids = things.field("item_id").to_numpy()  # in order, so that a stable sort leaves ties to the smaller id
+                a = np.asarray(held.field("profile").flatten()).reshape(len(asked_ids), -1)
+                b = np.asarray(things.field("u").flatten()).reshape(len(ids), -1)
                 cosines = np.round(a @ b.T, 6)
-                out: list[list] = [[], [], []]
-                for u, row in zip(held, cosines):
-                    order = np.lexsort((ids, -row))
-                    known = set(u["seen"])
-                    picks = [q for q in order[: k + len(known)] if ids[q] not in known][:k]
-                    out[0] += [u["user_id"]] * len(picks)
-                    out[1] += ids[picks].tolist()
-                    out[2] += row[picks].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["user_id", "item_id", "score"])
-
-    return top_k(grid.mapInArrow(score, "user_id bigint, item_id bigint, score double"), k)
+                deep = min(int(most.max()), len(ids))
+                best = np.argsort(-cosines, axis=1, kind="stable")[:, :deep]
+                row, place = np.nonzero(np.arange(deep)[None, :] < most[:, None])
+                pick = best[row, place]
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[row]), pa.array(ids[pick]), pa.array(cosines[row, pick])], names=["user_id", "item_id", "score"])
+
+    found = grid.mapInArrow(score, "user_id bigint, item_id bigint, score double")
+    return top_k(found.join(seen_pairs, ["user_id", "item_id"], "left_anti"), k)
 
 
 def pool(items: DataFrame, flag: str | None = None) -> DataFrame:

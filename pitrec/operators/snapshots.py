@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filtering import cut
-from .profile import r6
+from .rounding import r6
 
 BUCKETS, FEW = 2048, 20_000
 

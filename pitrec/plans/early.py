@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from pitrec.functions import expressions as X
 from pitrec.operators import features, filtering, identity, profile, snapshots
-from pitrec.operators.profile import r6
+from pitrec.operators.rounding import r6
 from pitrec.sources import adapters, io
 from pitrec.sources.adapters import clean, load, twin
 
 from .base import Register
-from .frames import SNAPSHOT, Snapshot
+from .frames import SNAPSHOT, Snapshot, lists_view
 
 Q = Register()
 
@@ -31,15 +31,14 @@ def _(spark, d):
     return io.sample_exact(load(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, "o_orderkey")
 
 
-@Q("io5_jsonl_scan")
+@Q("io5_jsonl_scan", "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def _(spark, d):
-    """Events written as JSON lines with broken ones among them, read back without these and for some users only."""
+    """Events written as JSON lines with broken lines among them, read back without these and for users with a purchase only."""
     e = load(spark, d, "events").select("event_id", "user_id", "event_type")
     place = f"{_scratch(spark)}/jsonl"
-    lines = e.select(F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("*"))).alias("value"))
-    lines.write.mode("overwrite").text(place)
-    ids = e.select("user_id").where("user_id % 2 = 0")
-    return io.read_jsonl(spark, place, e.schema, ids, "user_id")
+    lines = e.select(F.to_json(F.struct("*")).alias("value"))
+    lines.unionByName(lines.select(F.expr("substring(value, 1, length(value) - 9)").alias("value"))).write.text(place)
+    return io.read_jsonl(spark, place, e.schema, e.where("event_type = 'purchase'"), "user_id")
 
 
 @Q("io6_shard_concat", "SELECT s_suppkey AS item_id, s_name AS name, s_acctbal AS balance, CAST(NULL AS INTEGER) AS size FROM supplier WHERE s_suppkey IN (SELECT n_nationkey FROM nation) UNION ALL SELECT p_partkey, p_name, NULL, p_size FROM part WHERE p_partkey IN (SELECT n_nationkey FROM nation)")
@@ -87,11 +86,7 @@ def _(spark, d):
 
 
 def _scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pitrec-")
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4()}"
+    return io.scratch(spark)
 
 
 # --- profiling -------------------------------------------------------------
@@ -115,9 +110,9 @@ def _(spark, d):
 
 @Q("p3_filtering_table", twin("""
 SELECT mi AS min_item, mu AS min_user, (SELECT count(*) FROM ic WHERE c >= mi) AS n_items, (SELECT count(*) FROM uc WHERE c >= mu) AS n_users, CAST((SELECT coalesce(sum(c), 0) FROM ic WHERE c >= mi) AS BIGINT) AS est_reviews
-FROM (VALUES (3), (5), (10), (20)) a(mi), (VALUES (2), (3), (5), (10)) b(mu)""", "ic AS (SELECT item_id, count(*) AS c FROM clean GROUP BY 1), uc AS (SELECT user_id, count(*) AS c FROM clean GROUP BY 1)"))
+FROM (VALUES (5), (20), (30), (40)) a(mi), (VALUES (5), (20), (40), (60)) b(mu)""", "ic AS (SELECT item_id, count(*) AS c FROM clean GROUP BY 1), uc AS (SELECT user_id, count(*) AS c FROM clean GROUP BY 1)"))
 def _(spark, d):
-    return profile.filtering_table(clean(spark, d), (3, 5, 10, 20), (2, 3, 5, 10))
+    return profile.filtering_table(clean(spark, d), (5, 20, 30, 40), (5, 20, 40, 60))
 
 
 def _kcore_views(rounds: int, min_item: int, min_user: int, first: str) -> str:
@@ -131,18 +126,18 @@ def _kcore_views(rounds: int, min_item: int, min_user: int, first: str) -> str:
     return ", ".join(views)
 
 
-@Q("p4_filter_by_counts", twin("SELECT user_id, item_id, ts, rating FROM r12b", _kcore_views(12, 5, 3, "item")))
+@Q("p4_filter_by_counts", twin("SELECT user_id, item_id, ts, rating FROM r12b", _kcore_views(12, 24, 20, "item")))
 def _(spark, d):
-    return filtering.iterative_kcore(clean(spark, d), 3, 5, "item")[0].select("user_id", "item_id", "ts", "rating")
+    return filtering.iterative_kcore(clean(spark, d), 20, 24, "item")[0].select("user_id", "item_id", "ts", "rating")
 
 
 @Q("p5_bought_together", twin("""
 SELECT count(*) AS n_users, count(h.user_id) AS n_hit, count(a.user_id) AS n_able, round(count(h.user_id) / count(*), 6) AS rate, round(count(h.user_id) / nullif(count(a.user_id), 0), 6) AS conditional_rate
 FROM (SELECT DISTINCT user_id FROM own) u LEFT JOIN (SELECT DISTINCT o.user_id FROM own o JOIN pairs p USING (item_id) JOIN own z ON z.user_id = o.user_id AND z.item_id = p.other) h USING (user_id)
 LEFT JOIN (SELECT DISTINCT user_id FROM own WHERE item_id IN (SELECT item_id FROM pairs)) a USING (user_id)""", """
-own AS (SELECT DISTINCT user_id, item_id FROM clean), pairs AS (SELECT DISTINCT p_partkey AS item_id, unnest([p_partkey + 1, p_partkey * 3 % 2000]) AS other FROM part WHERE p_partkey % 5 = 0)"""))
+own AS (SELECT DISTINCT user_id, item_id FROM clean), pairs AS (SELECT DISTINCT p_partkey AS item_id, unnest([p_partkey + 1, p_partkey * 3]) AS other FROM part)"""))
 def _(spark, d):
-    lists = load(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("item_id"), F.array(F.col("p_partkey") + 1, F.col("p_partkey") * 3 % 2000).alias("others"))
+    lists = load(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.array(F.col("p_partkey") + 1, F.col("p_partkey") * 3).alias("others"))
     return profile.bought_together_rate(clean(spark, d), lists)
 
 
@@ -281,9 +276,10 @@ def _(spark, d):
     return identity.canonical_map(_titled(spark, d))
 
 
-_CANON = _TITLED + """, holed AS (
-  SELECT user_id, item_id, ts, CASE WHEN item_id % 50 = 1 THEN NULL ELSE rating END AS rating, helpful, l_extendedprice FROM raw WHERE item_id % 40 <> 2 OR item_id IS NULL
-), known AS (SELECT * FROM cmap WHERE raw_item_id % 29 <> 0
+_CANON = _TITLED + """, priced AS (SELECT p_partkey AS item_id FROM part WHERE round(p_retailprice, 2) < 1000
+), holed AS (
+  SELECT user_id, item_id, ts, CASE WHEN item_id % 50 = 1 THEN NULL ELSE rating END AS rating, helpful, l_extendedprice FROM raw
+), known AS (SELECT * FROM cmap WHERE raw_item_id IN (SELECT item_id FROM priced)
 ), moved AS (
   SELECT user_id, canonical_item_id AS item_id, ts, rating, helpful, l_extendedprice FROM holed JOIN known ON raw_item_id = item_id WHERE rating IS NOT NULL
 ), canon AS (
@@ -293,8 +289,9 @@ _CANON = _TITLED + """, holed AS (
 
 
 def _canon(spark, d):
-    rows = adapters.interactions(spark, d).select("user_id", "item_id", "ts", F.when(F.col("item_id") % 50 == 1, None).otherwise(F.col("rating")).alias("rating"), "helpful", "l_extendedprice").where("item_id % 40 <> 2")
-    mapping = identity.canonical_map(_titled(spark, d)).where("raw_item_id % 29 <> 0")
+    rows = adapters.interactions(spark, d).select("user_id", "item_id", "ts", F.when(F.col("item_id") % 50 == 1, None).otherwise(F.col("rating")).alias("rating"), "helpful", "l_extendedprice")
+    priced = adapters.catalog(spark, d).where(X.price(F.col("price")) < 1000).select(F.col("item_id").alias("raw_item_id"))
+    mapping = identity.canonical_map(_titled(spark, d)).join(priced, "raw_item_id", "left_semi")  # dearer items are orphans
     return rows, mapping, identity.canonicalize(rows, mapping)
 
 
@@ -401,13 +398,13 @@ def _(spark, d):
 
 @Q("n19_align_embeddings", twin("""
 SELECT k.item_id, coalesce(e.embedding, list_transform(range(0, 64), lambda x: 0.0::DOUBLE)) AS embedding, CASE WHEN e.item_id IS NULL THEN 'not_present' WHEN own THEN 'aligned' ELSE 'rebuilt' END AS status
-FROM (SELECT DISTINCT item_id FROM clean WHERE item_id % 3 < 2) k LEFT JOIN (
+FROM (SELECT DISTINCT item_id FROM clean) k LEFT JOIN (
   SELECT item_id, list(x ORDER BY pos) AS embedding FROM (SELECT c AS item_id, pos, round(avg(x), 6) AS x FROM (SELECT raw - raw % 3 AS c, unnest(range(0, 64)) AS pos, unnest(embedding) AS x FROM (SELECT vec_id AS raw, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)) GROUP BY 1, 2) GROUP BY 1) e USING (item_id)
 LEFT JOIN (SELECT vec_id - vec_id % 3 AS item_id, count(*) = 1 AND bool_and(vec_id % 3 = 0) AS own FROM embeddings GROUP BY 1) o USING (item_id)"""))
 def _(spark, d):
     vectors = adapters.item_embeddings(spark, d)
     mapping = vectors.select(F.col("item_id").alias("raw_item_id"), (F.col("item_id") - F.col("item_id") % 3).alias("canonical_item_id"))
-    out = identity.align_embeddings(vectors, mapping, clean(spark, d).where("item_id % 3 < 2").select("item_id"), 64)
+    out = identity.align_embeddings(vectors, mapping, clean(spark, d).select("item_id"), 64)
     return out.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
@@ -416,14 +413,14 @@ def _(spark, d):
 
 
 
-@Q("k1_kcore", twin("SELECT user_id, item_id, ts, rating FROM r12b", _kcore_views(12, 5, 3, "user")))
+@Q("k1_kcore", twin("SELECT user_id, item_id, ts, rating FROM r12b", _kcore_views(12, 24, 20, "user")))
 def _(spark, d):
-    return filtering.iterative_kcore(clean(spark, d), 3, 5, "user")[0].select("user_id", "item_id", "ts", "rating")
+    return filtering.iterative_kcore(clean(spark, d), 20, 24, "user")[0].select("user_id", "item_id", "ts", "rating")
 
 
-@Q("k1_kcore_report", twin("""SELECT * FROM (""" + " UNION ALL ".join(f"SELECT {k} AS round, (SELECT count(DISTINCT user_id) FROM r{k}b) AS n_users, (SELECT count(DISTINCT item_id) FROM r{k}b) AS n_items, (SELECT count(*) FROM r{k}b) AS n_rows, (SELECT count(*) FROM {'clean' if k == 1 else f'r{k - 1}b'}) - (SELECT count(*) FROM r{k}b) AS n_removed" for k in range(1, 13)) + """) x WHERE round <= (SELECT min(CASE WHEN n = 0 THEN k ELSE 99 END) FROM (""" + " UNION ALL ".join(f"SELECT {k} AS k, (SELECT count(*) FROM {'clean' if k == 1 else f'r{k - 1}b'}) - (SELECT count(*) FROM r{k}b) AS n" for k in range(1, 13)) + "))", _kcore_views(12, 5, 3, "user")))
+@Q("k1_kcore_report", twin("""SELECT * FROM (""" + " UNION ALL ".join(f"SELECT {k} AS round, (SELECT count(DISTINCT user_id) FROM r{k}b) AS n_users, (SELECT count(DISTINCT item_id) FROM r{k}b) AS n_items, (SELECT count(*) FROM r{k}b) AS n_rows, (SELECT count(*) FROM {'clean' if k == 1 else f'r{k - 1}b'}) - (SELECT count(*) FROM r{k}b) AS n_removed" for k in range(1, 13)) + """) x WHERE round <= (SELECT min(CASE WHEN n = 0 THEN k ELSE 99 END) FROM (""" + " UNION ALL ".join(f"SELECT {k} AS k, (SELECT count(*) FROM {'clean' if k == 1 else f'r{k - 1}b'}) - (SELECT count(*) FROM r{k}b) AS n" for k in range(1, 13)) + "))", _kcore_views(12, 24, 20, "user")))
 def _(spark, d):
-    return filtering.report_frame(spark, filtering.iterative_kcore(clean(spark, d), 3, 5, "user")[1])
+    return filtering.report_frame(spark, filtering.iterative_kcore(clean(spark, d), 20, 24, "user")[1])
 
 
 @Q("k2_frame_counts", twin("SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_rows FROM clean"))
@@ -451,9 +448,9 @@ def _(spark, d):
 @Q("k5_tie_rates", twin("""
 SELECT count(*) AS n_users, CAST(sum(a) AS BIGINT) AS n_any_tie, CAST(sum(e) AS BIGINT) AS n_edge_tie, round(avg(a), 6) AS any_tie_rate, round(avg(e), 6) AS edge_tie_rate FROM (
   SELECT user_id, max(CAST(coalesce(tied, false) AS INTEGER)) AS a, max(CASE WHEN back <= 2 AND coalesce(tied, false) THEN 1 ELSE 0 END) AS e FROM (
-    SELECT user_id, row_number() OVER w AS back, ts = lead(ts) OVER w AS tied FROM full_clean WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, item_id DESC)) GROUP BY 1)"""))
+    SELECT user_id, row_number() OVER w AS back, ts = lead(ts) OVER w AS tied FROM clean WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, item_id DESC)) GROUP BY 1)"""))
 def _(spark, d):
-    return filtering.tie_rates(adapters.clean_full(spark, d))
+    return filtering.tie_rates(clean(spark, d))
 
 
 @Q("k6_split_gate", twin("SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, count(*) AS n_rows FROM split", _SPLIT))
@@ -659,7 +656,7 @@ def _(spark, d):
     return features.scale(clean(spark, d).groupBy("user_id").agg(F.count("*").alias("n_interactions")), ["n_interactions"])
 
 
-@Q("f12_assembled")
+@Q("f12_assembled", twin("SELECT user_id, item_id, 11 AS width, round(num_sources + best_rank + source_popularity + source_recent + source_covisit + popularity_rank + recent_rank + covisit_rank + coalesce(popularity_score, 0) + coalesce(recent_score, 0) + coalesce(covisit_score, 0), 6) AS total FROM cands", lists_view(20)))
 def _(spark, d):
     s = Snapshot(spark, d)
     out, columns = features.assemble(s.candidates(20), ["num_sources", "best_rank"])

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrec.operators import retrieval, snapshots
+from pitrec.operators import candidates, retrieval, snapshots
 from pitrec.sources import adapters
 
 
 @dataclass
 class Snapshot:
-    """The thinned interactions cut at 80 % and 90 % of their times."""
+    """The clean interactions cut at 80 % and 90 % of their times.
+
+    The rows and the union of the sources are kept for the queries that read them again; `release` frees them.
+    """
 
     spark: SparkSession
     sf_dir: str
+    _unions: dict = field(default_factory=dict)
 
     @cached_property
     def rows(self) -> DataFrame:
-        return adapters.clean(self.spark, self.sf_dir)
+        return adapters.clean(self.spark, self.sf_dir).persist()
 
     @cached_property
     def cuts(self) -> list[int]:
@@ -79,10 +83,14 @@ class Snapshot:
     def sources(self, k: int) -> dict[str, DataFrame]:
         return {"popularity": self.popular(k), "recent": self.recent(k), "covisit": self.covisited(k)}
 
-    def candidates(self, k: int) -> DataFrame:
-        from pitrec.operators import candidates
+    def union(self, k: int) -> DataFrame:
+        """One row a candidate of any source; kept, as labels, features and metrics read it."""
+        if k not in self._unions:
+            self._unions[k] = candidates.union_sources(self.sources(k)).persist()
+        return self._unions[k]
 
-        return candidates.attach_labels(candidates.union_sources(self.sources(k)), self.truth)
+    def candidates(self, k: int) -> DataFrame:
+        return candidates.attach_labels(self.union(k), self.truth)
 
     def lists(self, k: int) -> DataFrame:
         """The sources' lists in one long frame with `source`."""
@@ -98,11 +106,18 @@ class Snapshot:
         return cands.join(support, "item_id", "left").select("user_id", "item_id", "label", logit.alias("logit"), logit.alias("score"), "n_history_events", F.coalesce("item_n_reviews", F.lit(0)).alias("item_n_reviews"))
 
 
+def release(spark: SparkSession) -> None:
+    """Frees what snapshots keep."""
+    spark.catalog.clearCache()
+
+
 # The views of a Snapshot.
-SNAPSHOT = """
+CUT = """
 cut AS (
   SELECT CAST(trunc(quantile_cont(ts, 0.8)) AS BIGINT) AS c1, CAST(trunc(quantile_cont(ts, 0.9)) AS BIGINT) AS c2, max(ts) + 1 AS c3 FROM clean
-), hist AS (
+)"""
+AFTER_CUT = """,
+hist AS (
   SELECT clean.* FROM clean, cut WHERE ts < c1
 ), win AS (
   SELECT clean.* FROM clean, cut WHERE ts >= c1 AND ts < c2
@@ -125,6 +140,7 @@ cut AS (
   SELECT DISTINCT user_id, item_id FROM hist
 )
 """
+SNAPSHOT = CUT + AFTER_CUT
 
 
 def global_list(name: str, scores: str, k: int) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitrec.functions import expressions as X
 from pitrec.operators import calibration, candidates, features, metrics, models, retrieval
-from pitrec.operators.profile import r6
+from pitrec.operators.rounding import r6
 from pitrec.sources import adapters
 from pitrec.sources.adapters import clean, load, twin
 
@@ -61,7 +61,7 @@ def _random_sql(k: int, seed: int) -> str:
     lot = lambda what: f"CAST('0x' || substr(md5('{seed}:{what}:' || u.user_id), 1, 12) AS BIGINT)"
     return f"""SELECT user_id, item_id, -CAST(rank AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS rank FROM (
-    SELECT u.user_id, i, ({lot('a')} % q + (1 + {lot('b')} % (q - 1)) * i) % q AS idx FROM tusers u, prime, range(1, 100000) r(i) WHERE i <= q) p JOIN numbered USING (idx)
+    SELECT u.user_id, i, ({lot('a')} % q + (1 + {lot('b')} % (q - 1)) * i) % q AS idx FROM tusers u, prime, unnest(range(1, q + 1)) r(i)) p JOIN numbered USING (idx)
   WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.item_id = numbered.item_id)) WHERE rank <= {k}"""
 
 
@@ -203,31 +203,13 @@ def _factors(spark, d):
     return s, users.join(s.users, "user_id", "left_semi"), items
 
 
-@Q("r18_factor_top_k")
+@Q("x1_factor_lists")
 def _(spark, d):
-    """Lists from learned factors."""
+    """Lists from factors by alternating least squares, a cheaper source than the towers."""
     s, users, items = _factors(spark, d)
     return models.factor_top_k(users, items, s.pool, s.seen, 20)
 
 
-@Q("r19_encoded_vectors")
-def _(spark, d):
-    _, users, items = _factors(spark, d)
-    return users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "embedding").unionByName(items.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "embedding"))
-
-
-@Q("r20_frozen_inference")
-def _(spark, d):
-    """Saved factors read back, and a shorter list from them."""
-    from .early import _scratch
-
-    s, users, items = _factors(spark, d)
-    place = _scratch(spark)
-    users.write.parquet(f"{place}/users")
-    items.write.parquet(f"{place}/items")
-    return models.factor_top_k(spark.read.parquet(f"{place}/users"), spark.read.parquet(f"{place}/items"), s.pool, s.seen, 5)
-
-
 @Q("r21_pools", twin("SELECT 'eligible' AS pool, count(*) AS n FROM pool UNION ALL SELECT 'history', count(*) FROM items_h UNION ALL SELECT 'catalog', count(*) FROM catalog", SNAPSHOT))
 def _(spark, d):
     s = Snapshot(spark, d)
@@ -236,9 +218,9 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, [retrieval.pool(f, c).agg(F.count("*").alias("n")).select(F.lit(p).alias("pool"), "n") for p, c in flags.items()])
 
 
-@Q("r22_eligibility_override", twin("SELECT item_id FROM items_h WHERE n_item >= 8", SNAPSHOT))
+@Q("r22_eligibility_override", twin("SELECT item_id FROM items_h WHERE n_item >= 25", SNAPSHOT))
 def _(spark, d):
-    return retrieval.eligible(Snapshot(spark, d).hist, 8)
+    return retrieval.eligible(Snapshot(spark, d).hist, 25)
 
 
 @Q("r23_ranked_pool", twin("SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS BIGINT) AS place FROM (SELECT item_id, coalesce(score, 0.0) AS score FROM pool LEFT JOIN (" + RECENT + ") USING (item_id))", SNAPSHOT))
@@ -259,26 +241,26 @@ _UNION = "user_id, item_id, popularity_score, recent_score, covisit_score, sourc
 
 @Q("c1_source_union", lists_twin(f"SELECT {_UNION} FROM cands", 30))
 def _(spark, d):
-    return candidates.union_sources(Snapshot(spark, d).sources(30)).select(*_UNION.split(", "))
+    return Snapshot(spark, d).union(30).select(*_UNION.split(", "))
 
 
 @Q("c2_flags_and_ranks", lists_twin("SELECT num_sources, best_rank, count(*) AS n FROM cands GROUP BY 1, 2", 30))
 def _(spark, d):
-    return candidates.union_sources(Snapshot(spark, d).sources(30)).groupBy("num_sources", "best_rank").agg(F.count("*").alias("n"))
+    return Snapshot(spark, d).union(30).groupBy("num_sources", "best_rank").agg(F.count("*").alias("n"))
 
 
 @Q("c3_filled_scores", lists_twin(f"SELECT user_id, c.item_id, coalesce(p.score, 0.0) AS popularity_score, coalesce(covisit_score, (SELECT min(covisit_score) - 1 FROM cands)) AS covisit_score, coalesce(recent_score, 0.0) AS recent_score FROM cands c LEFT JOIN (SELECT item_id, coalesce(score, 0.0) AS score FROM pool LEFT JOIN ({POPULARITY}) USING (item_id)) p ON p.item_id = c.item_id", 20))
 def _(spark, d):
     s = Snapshot(spark, d)
     counts = s.pool.join(retrieval.popularity(s.hist), "item_id", "left").fillna(0.0, subset=["score"])
-    return candidates.fill_scores(candidates.union_sources(s.sources(20)), counts, "covisit_score", ["recent_score"]).select("user_id", "item_id", "popularity_score", "covisit_score", "recent_score")
+    return candidates.fill_scores(s.union(20), counts, "covisit_score", ["recent_score"]).select("user_id", "item_id", "popularity_score", "covisit_score", "recent_score")
 
 
 @Q("c4_content_fill", lists_twin("SELECT c.user_id, c.item_id, CASE WHEN p.user_id IS NOT NULL AND v.item_id IS NOT NULL THEN round(least(greatest(1 + coalesce(s.dot, 0), 0), 2), 6) ELSE 0.0 END AS content_score FROM cands c LEFT JOIN (SELECT DISTINCT user_id FROM profile) p USING (user_id) LEFT JOIN (SELECT DISTINCT item_id FROM vec) v USING (item_id) LEFT JOIN (SELECT c.user_id, c.item_id, sum(p.x * v.x) AS dot FROM cands c JOIN profile p USING (user_id) JOIN vec v ON v.item_id = c.item_id AND v.pos = p.pos GROUP BY 1, 2) s ON s.user_id = c.user_id AND s.item_id = c.item_id", 20, _PROFILE))
 def _(spark, d):
     s = Snapshot(spark, d)
     units = s.vectors.select("item_id", retrieval.unit(F.col("embedding")).alias("u")).where("u is not null")
-    return candidates.fill_content(candidates.union_sources(s.sources(20)), retrieval.content_profiles(s.hist, s.vectors), units).select("user_id", "item_id", "content_score")
+    return candidates.fill_content(s.union(20), retrieval.content_profiles(s.hist, s.vectors), units).select("user_id", "item_id", "content_score")
 
 
 @Q("c5_cross_features", lists_twin("""
@@ -286,14 +268,14 @@ SELECT c.user_id, c.item_id, k.store, round(coalesce(a.affinity, 0), 6) AS store
 LEFT JOIN (SELECT user_id, facet AS top FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity DESC, facet) AS rn FROM aff) WHERE rn = 1) t ON t.user_id = c.user_id""", 20, f"aff AS ({_AFFINITY.format(f='store')})"))
 def _(spark, d):
     s = Snapshot(spark, d)
-    out = candidates.cross_features(candidates.union_sources(s.sources(20)), s.items, {"store": retrieval.facet_affinity(s.hist, s.items, "store")}, {"store": features.top_facet(s.hist, s.items, "store")})
+    out = candidates.cross_features(s.union(20), s.items, {"store": retrieval.facet_affinity(s.hist, s.items, "store")}, {"store": features.top_facet(s.hist, s.items, "store")})
     return out.select("user_id", "item_id", "store", "store_affinity", "same_top_store")
 
 
 @Q("c6_feature_blocks", lists_twin("SELECT c.user_id, c.item_id, coalesce(u.n, 0) AS user_n_interactions, CAST(u.n IS NOT NULL AS INTEGER) AS user_has_history, coalesce(i.n_item, 0) AS item_n_reviews_hist, k.rating_number AS item_rating_number FROM cands c LEFT JOIN (SELECT user_id, count(*) AS n FROM hist GROUP BY 1) u ON u.user_id = c.user_id LEFT JOIN items_h i ON i.item_id = c.item_id JOIN catalog k ON k.item_id = c.item_id", 20))
 def _(spark, d):
     s = Snapshot(spark, d)
-    out = candidates.attach_features(candidates.union_sources(s.sources(20)), features.user_features_at(s.hist, s.cuts[0]), features.item_features_at(s.items, s.hist))
+    out = candidates.attach_features(s.union(20), features.user_features_at(s.hist, s.cuts[0]), features.item_features_at(s.items, s.hist))
     return out.select("user_id", "item_id", "user_n_interactions", "user_has_history", "item_n_reviews_hist", "item_rating_number")
 
 
@@ -306,7 +288,7 @@ def build_snapshot(spark, d: str, k: int = 50) -> DataFrame:
     """The whole candidate table: sources, fills, cross features, feature blocks, labels."""
     s = Snapshot(spark, d)
     counts = s.pool.join(retrieval.popularity(s.hist), "item_id", "left").fillna(0.0, subset=["score"])
-    out = candidates.fill_scores(candidates.union_sources(s.sources(k)), counts, None, ["recent_score", "covisit_score"])
+    out = candidates.fill_scores(s.union(k), counts, None, ["recent_score", "covisit_score"])
     units = s.vectors.select("item_id", retrieval.unit(F.col("embedding")).alias("u")).where("u is not null")
     out = candidates.fill_content(out, retrieval.content_profiles(s.hist, s.vectors), units)
     facets = {f: retrieval.facet_affinity(s.hist, s.items, f) for f in ("store", "main_category")}
@@ -316,19 +298,50 @@ def build_snapshot(spark, d: str, k: int = 50) -> DataFrame:
     return candidates.attach_labels(out, s.truth)
 
 
-@Q("c8_snapshot_build", lists_twin("SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, CAST(sum(label) AS BIGINT) AS n_positive, CAST(sum(num_sources) AS BIGINT) AS n_listed, round(avg(item_n_reviews), 6) AS mean_reviews FROM labelled JOIN scored USING (user_id, item_id, label)", 50))
+_UFEATS = ["n_interactions", "mean_rating", "std_rating", "n_items", "span_days", "verified_sum", "verified_rate", "helpful_mean", "helpful_sum", "days_since_last", "recent_interactions", "recent_positives"]
+_IFEATS = ["rating_number", "n_categories", "n_reviews_hist", "avg_rating_hist", "n_positive_hist", "n_users_hist", "in_history", "in_eligible_pool"]
+
+
+def _top(aff: str) -> str:
+    return f"(SELECT user_id, facet AS top FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity DESC, facet) AS rn FROM {aff}) WHERE rn = 1)"
+
+
+_BUILD = _PROFILE + f""", aff_s AS ({_AFFINITY.format(f='store')}), aff_m AS ({_AFFINITY.format(f='main_category')}), pcount AS (
+  SELECT item_id, coalesce(score, 0.0) AS score FROM pool LEFT JOIN ({POPULARITY}) USING (item_id)
+), dots AS (
+  SELECT c.user_id, c.item_id, sum(p.x * v.x) AS dot FROM cands c JOIN profile p USING (user_id) JOIN vec v ON v.item_id = c.item_id AND v.pos = p.pos GROUP BY 1, 2
+), content AS (
+  SELECT c.user_id, c.item_id, CASE WHEN p.user_id IS NOT NULL AND v.item_id IS NOT NULL THEN round(least(greatest(1 + coalesce(s.dot, 0), 0), 2), 6) ELSE 0.0 END AS content_score
+  FROM cands c LEFT JOIN (SELECT DISTINCT user_id FROM profile) p USING (user_id) LEFT JOIN (SELECT DISTINCT item_id FROM vec) v USING (item_id) LEFT JOIN dots s ON s.user_id = c.user_id AND s.item_id = c.item_id
+), ublock AS (
+  SELECT user_id, count(*) AS n_interactions, round(avg(rating), 6) AS mean_rating, round(coalesce(stddev_samp(rating), 0), 6) AS std_rating, count(DISTINCT item_id) AS n_items, round(CAST(max(ts) - min(ts) AS DOUBLE) / 86400000.0, 6) AS span_days,
+         CAST(sum(CAST(verified AS INTEGER)) AS BIGINT) AS verified_sum, round(avg(CAST(verified AS INTEGER)), 6) AS verified_rate, round(avg(helpful), 6) AS helpful_mean, CAST(sum(helpful) AS BIGINT) AS helpful_sum,
+         round(CAST(any_value(c1) - max(ts) AS DOUBLE) / 86400000.0, 6) AS days_since_last, count(*) FILTER (ts >= c1 - 2592000000) AS recent_interactions, count(*) FILTER (ts >= c1 - 2592000000 AND label = 1) AS recent_positives FROM hist, cut GROUP BY 1
+), iblock AS (
+  SELECT p.item_id, store, main_category, rating_number, CAST(len(categories) AS INTEGER) AS n_categories, coalesce(n, 0) AS n_reviews_hist, coalesce(a, 0.0) AS avg_rating_hist, CAST(coalesce(pos, 0) AS BIGINT) AS n_positive_hist, coalesce(u, 0) AS n_users_hist, CAST(n IS NOT NULL AS INTEGER) AS in_history, CAST(coalesce(n, 0) >= 5 AS INTEGER) AS in_eligible_pool
+  FROM catalog p LEFT JOIN (SELECT item_id, count(*) AS n, round(avg(rating), 6) AS a, sum(label) AS pos, count(DISTINCT user_id) AS u FROM hist GROUP BY 1) h USING (item_id)
+)"""
+
+
+@Q("c8_snapshot_build", lists_twin(f"""
+SELECT l.user_id, l.item_id, coalesce(pc.score, 0.0) AS popularity_score, coalesce(l.recent_score, 0.0) AS recent_score, coalesce(l.covisit_score, 0.0) AS covisit_score, content_score,
+  source_popularity, source_recent, source_covisit, popularity_rank, recent_rank, covisit_rank, num_sources, best_rank, i.store, i.main_category, round(coalesce(s.affinity, 0), 6) AS store_affinity, round(coalesce(m.affinity, 0), 6) AS main_category_affinity,
+  CAST(coalesce(i.store = ts.top, false) AS INTEGER) AS same_top_store, CAST(coalesce(i.main_category = tm.top, false) AS INTEGER) AS same_top_main_category,
+  {', '.join(f'coalesce(u.{c}, 0) AS user_{c}' for c in _UFEATS)}, CAST(u.user_id IS NOT NULL AS INTEGER) AS user_has_history, {', '.join(f'i.{c} AS item_{c}' for c in _IFEATS)}, label, n_history_events
+FROM labelled l LEFT JOIN pcount pc USING (item_id) JOIN content c ON c.user_id = l.user_id AND c.item_id = l.item_id JOIN iblock i ON i.item_id = l.item_id LEFT JOIN ublock u ON u.user_id = l.user_id
+LEFT JOIN aff_s s ON s.user_id = l.user_id AND s.facet = i.store LEFT JOIN aff_m m ON m.user_id = l.user_id AND m.facet = i.main_category LEFT JOIN {_top('aff_s')} ts ON ts.user_id = l.user_id LEFT JOIN {_top('aff_m')} tm ON tm.user_id = l.user_id""", 50, _BUILD))
 def _(spark, d):
-    return build_snapshot(spark, d).agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users"), F.sum("label").alias("n_positive"), F.sum("num_sources").alias("n_listed"), r6(F.avg("item_n_reviews_hist")).alias("mean_reviews"))
+    return build_snapshot(spark, d)
 
 
 @Q("c11_split_duplicates", lists_twin("SELECT split, count(*) AS n FROM cands, (VALUES ('val'), ('test')) v(split) GROUP BY 1", 20))
 def _(spark, d):
-    return candidates.duplicate_over_splits(candidates.union_sources(Snapshot(spark, d).sources(20)), ["val", "test"]).groupBy("split").agg(F.count("*").alias("n"))
+    return candidates.duplicate_over_splits(Snapshot(spark, d).union(20), ["val", "test"]).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @Q("c12_source_overlap", lists_twin("SELECT concat_ws('+', CASE WHEN source_popularity = 1 THEN 'popularity' END, CASE WHEN source_recent = 1 THEN 'recent' END, CASE WHEN source_covisit = 1 THEN 'covisit' END) AS sources, count(*) AS n FROM cands GROUP BY 1", 30))
 def _(spark, d):
-    return candidates.source_overlap(candidates.union_sources(Snapshot(spark, d).sources(30)), ["popularity", "recent", "covisit"])
+    return candidates.source_overlap(Snapshot(spark, d).union(30), ["popularity", "recent", "covisit"])
 
 
 @Q("c13_coverage_report", lists_twin("""
@@ -337,13 +350,13 @@ SELECT count(*) AS n_users, CAST(sum(n) AS BIGINT) AS n_pairs, round(avg(h / n),
 FROM (SELECT t.user_id, count(*) AS n, count(c.user_id) AS h, sum(item_in_history) AS hs, sum(item_in_eligible_pool) AS p, max(n_history_events) AS k FROM truth t LEFT JOIN cands c ON c.user_id = t.user_id AND c.item_id = t.item_id GROUP BY 1)""", 100))
 def _(spark, d):
     s = Snapshot(spark, d)
-    return candidates.coverage_report(candidates.union_sources(s.sources(100)), s.truth)
+    return candidates.coverage_report(s.union(100), s.truth)
 
 
 @Q("c13_source_recall", lists_twin(" UNION ALL ".join(f"SELECT '{s}' AS source, k, recall, precision FROM ({_recall_sql(s, [10, 50])})" for s in ("popularity", "recent", "covisit")), 50))
 def _(spark, d):
     s = Snapshot(spark, d)
-    return candidates.source_recall(candidates.union_sources(s.sources(50)), s.truth, ["popularity", "recent", "covisit"], [10, 50])
+    return candidates.source_recall(s.union(50), s.truth, ["popularity", "recent", "covisit"], [10, 50])
 
 
 @Q("c14_relabel", lists_twin("SELECT count(*) AS n_rows, CAST(sum(a) AS BIGINT) AS n_before, CAST(sum(b) AS BIGINT) AS n_after, count(*) FILTER (a = 1 AND b = 0) AS n_lost, round((count(*) - sum(a)) / greatest(sum(a), 1), 6) AS weight_before, round((count(*) - sum(b)) / greatest(sum(b), 1), 6) AS weight_after FROM (SELECT CAST(f.user_id IS NOT NULL AS INTEGER) AS a, label AS b FROM labelled l LEFT JOIN (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS rn FROM truth) WHERE rn = 1) f ON f.user_id = l.user_id AND f.item_id = l.item_id)", 100))
@@ -352,7 +365,7 @@ def _(spark, d):
 
     s = Snapshot(spark, d)
     first = snapshots.ground_truth(s.rows, s.bounds, "first")
-    return candidates.relabel(candidates.attach_labels(candidates.union_sources(s.sources(100)), first), s.truth)
+    return candidates.relabel(candidates.attach_labels(s.union(100), first), s.truth)
 
 
 @Q("c15_label_gate", "SELECT 0::BIGINT AS not_in_truth, 0::BIGINT AS not_labelled")
@@ -364,7 +377,7 @@ def _(spark, d):
 @Q("c16_target_status", lists_twin("SELECT CASE WHEN c.user_id IS NOT NULL THEN 'retrieved' WHEN n_item >= 5 THEN 'eligible_not_retrieved' WHEN n_item > 0 THEN 'low_support' ELSE 'cold' END AS status, count(*) AS n FROM targets t LEFT JOIN cands c ON c.user_id = t.user_id AND c.item_id = t.item_id LEFT JOIN items_h i ON i.item_id = t.item_id GROUP BY 1", 100))
 def _(spark, d):
     s = Snapshot(spark, d)
-    return candidates.target_status(s.truth, candidates.union_sources(s.sources(100)), s.hist)
+    return candidates.target_status(s.truth, s.union(100), s.hist)
 
 
 # --- metrics ---------------------------------------------------------------
@@ -415,13 +428,13 @@ def _(spark, d):
 @Q("e6_ceiling", lists_twin("SELECT count(*) AS n_users, round(avg(h / n), 6) AS macro, round(avg(CAST(h > 0 AS INTEGER)), 6) AS any_hit, round(sum(h) / sum(n), 6) AS per_positive FROM (SELECT t.user_id, count(*) AS n, count(c.user_id) AS h FROM targets t LEFT JOIN cands c ON c.user_id = t.user_id AND c.item_id = t.item_id GROUP BY 1)", 100))
 def _(spark, d):
     s = Snapshot(spark, d)
-    return metrics.ceiling(s.targets, candidates.union_sources(s.sources(100)))
+    return metrics.ceiling(s.targets, s.union(100))
 
 
 @Q("e7_conditional_recall", lists_twin(_recall_sql("popularity", [10, 50], "(SELECT * FROM targets WHERE user_id IN (SELECT t.user_id FROM targets t JOIN cands c ON c.user_id = t.user_id AND c.item_id = t.item_id))"), 100))
 def _(spark, d):
     s = Snapshot(spark, d)
-    return metrics.conditional_recall(s.targets, candidates.union_sources(s.sources(100)), s.popular(100), [10, 50])
+    return metrics.conditional_recall(s.targets, s.union(100), s.popular(100), [10, 50])
 
 
 @Q("e8_cohorts", twin(_wide_sql("popularity", [10, 100], "truth", "cohort", "CAST(least(k0, 3) AS VARCHAR)"), _POP))
@@ -588,28 +601,45 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, [metrics.recall_precision(s.targets, s.recent(100, h), [100]).select(F.lit(h).alias("half_life"), "k", "recall") for h in (30.0, 180.0, 720.0)])
 
 
-@Q("e26_eligibility_grid", twin(" UNION ALL ".join(f"SELECT {m} AS least, count(*) AS n_items, round((SELECT avg(CAST(item_id IN (SELECT item_id FROM items_h WHERE n_item >= {m}) AS INTEGER)) FROM targets), 6) AS coverage FROM items_h WHERE n_item >= {m}" for m in (2, 5, 8)), SNAPSHOT))
+@Q("e26_eligibility_grid", twin(" UNION ALL ".join(f"SELECT {m} AS least, count(*) AS n_items, round((SELECT avg(CAST(item_id IN (SELECT item_id FROM items_h WHERE n_item >= {m}) AS INTEGER)) FROM targets), 6) AS coverage FROM items_h WHERE n_item >= {m}" for m in (5, 20, 25)), SNAPSHOT))
 def _(spark, d):
     s = Snapshot(spark, d)
     out = []
-    for m in (2, 5, 8):
+    for m in (5, 20, 25):
         pool = retrieval.eligible(s.hist, m)
         out.append(pool.agg(F.count("*").alias("n_items")).crossJoin(metrics.pool_coverage(s.targets, pool).select("coverage")).select(F.lit(m).alias("least"), "n_items", "coverage"))
     return reduce(DataFrame.unionByName, out)
 
 
-_ARMS = """SELECT 'A0' AS arm, 0.0266::DOUBLE AS r10, 0.0453::DOUBLE AS r100, 0.1443::DOUBLE AS recall, 37040842 AS n_rows UNION ALL SELECT 'A1', 0.0310, 0.0560, 0.1700, 47975729 UNION ALL SELECT 'A3', 0.0325, 0.0561, 0.1740, 59398608 UNION ALL SELECT 'A5', 0.0250, 0.0700, 0.1800, 64659416"""
+_ARM_SOURCES = [("A0", "popularity"), ("A1", "popularity"), ("A1", "recent"), ("A3", "popularity"), ("A3", "recent"), ("A3", "covisit"), ("A5", "covisit")]
+_ARMS = f"""arm_source(arm, source) AS (VALUES {', '.join(f"('{a}', '{s}')" for a, s in _ARM_SOURCES)}),
+arm_pairs AS (SELECT arm, user_id, item_id, min(rank) AS best FROM lists JOIN arm_source USING (source) GROUP BY 1, 2, 3),
+arm_ranks AS (SELECT *, row_number() OVER (PARTITION BY arm, user_id ORDER BY best, item_id) AS rank FROM arm_pairs),
+arms AS (
+  SELECT arm, round(avg(h10 / n), 6) AS r10, round(avg(h100 / n), 6) AS r100, round(avg(h / n), 6) AS recall, any_value(n_rows) AS n_rows FROM (
+    SELECT a.arm, t.user_id, count(*) AS n, count(r.user_id) AS h, count(*) FILTER (r.rank <= 10) AS h10, count(*) FILTER (r.rank <= 100) AS h100, any_value(a.n_rows) AS n_rows
+    FROM targets t CROSS JOIN (SELECT arm, count(*) AS n_rows FROM arm_pairs GROUP BY 1) a LEFT JOIN arm_ranks r ON r.arm = a.arm AND r.user_id = t.user_id AND r.item_id = t.item_id GROUP BY 1, 2) GROUP BY 1
+)"""
 
 
-def _arms(spark) -> DataFrame:
-    return spark.createDataFrame([("A0", 0.0266, 0.0453, 0.1443, 37040842), ("A1", 0.0310, 0.0560, 0.1700, 47975729), ("A3", 0.0325, 0.0561, 0.1740, 59398608), ("A5", 0.0250, 0.0700, 0.1800, 64659416)], "arm string, r10 double, r100 double, recall double, n_rows long")
+def _arms(spark, d) -> DataFrame:
+    """(arm, r10, r100, recall, n_rows): unions of some sources, their rows ordered by the best rank, against the targets."""
+    s = Snapshot(spark, d)
+    which = F.broadcast(spark.createDataFrame(_ARM_SOURCES, "arm string, source string"))
+    pairs = s.lists(100).join(which, "source").groupBy("arm", "user_id", "item_id").agg(F.min("rank").alias("best")).persist()
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("arm", "user_id").orderBy("best", "item_id")))
+    truth = s.targets.crossJoin(F.broadcast(which.select("arm").distinct()))  # a row an arm
+    users = metrics.user_hits(truth, ranked, [10, 100, 1 << 30], ["arm"])
+    mean = lambda c: r6(F.avg(F.col(c) / F.col("n")))
+    out = users.groupBy("arm").agg(mean("h10").alias("r10"), mean("h100").alias("r100"), mean(f"h{1 << 30}").alias("recall"))
+    return out.join(pairs.groupBy("arm").agg(F.count("*").alias("n_rows")), "arm")
 
 
-@Q("e27_stage_gate", f"""
+@Q("e27_stage_gate", lists_twin("""
 SELECT arm, recall, n_rows, ratio, gib, allowed, CAST(place AS INTEGER) AS place, allowed AND place <= 2 AS shortlisted FROM (SELECT *, row_number() OVER (ORDER BY allowed DESC, recall DESC, arm) AS place FROM (
-  SELECT arm, recall, CAST(n_rows AS BIGINT) AS n_rows, round(n_rows / 37040842, 6) AS ratio, round(n_rows * 1100.0 / 1073741824.0, 6) AS gib, round(n_rows / 37040842, 6) <= 1.6 AND round(n_rows * 1100.0 / 1073741824.0, 6) <= 120 AS allowed FROM ({_ARMS})))""")
+  SELECT *, ratio <= 1.6 AND gib <= 120 AS allowed FROM (SELECT arm, recall, n_rows, round(n_rows / (SELECT n_rows FROM arms WHERE arm = 'A0'), 6) AS ratio, round(n_rows * 1100.0 / 1073741824.0, 6) AS gib FROM arms)))""", 100, _ARMS))
 def _(spark, d):
-    a = _arms(spark)
+    a = _arms(spark, d).persist()
     return metrics.stage_gate(a.select("arm", "recall"), a.select("arm", "n_rows"), "A0")
 
 
@@ -636,9 +666,11 @@ def _(spark, d):
     return metrics.recall_precision(s.targets.crossJoin(F.broadcast(models_)), lists, [10, 50], ["model"]).select("model", "k", "recall")  # two rows
 
 
-@Q("e30_freeze_choice", f"SELECT arm, arm = 'A3' AS chosen FROM ({_ARMS})")
+@Q("e30_freeze_choice", lists_twin("""
+SELECT arm, place = 1 AND (near OR arm = 'A0') AS chosen FROM (SELECT *, row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN r10 END DESC NULLS LAST, CASE WHEN near THEN n_rows END NULLS FIRST, CASE WHEN arm = 'A0' THEN 0 ELSE 1 END, arm) AS place FROM (
+  SELECT *, able AND r100 >= max(CASE WHEN able THEN r100 END) OVER () - 0.0005 AS near FROM (SELECT a.*, a.arm <> 'A0' AND a.r10 >= z.r10 AND a.r100 > z.r100 AS able FROM arms a, arms z WHERE z.arm = 'A0')))""", 100, _ARMS))
 def _(spark, d):
-    return metrics.freeze_choice(_arms(spark).select("arm", "r10", "r100", "n_rows"), "A0")
+    return metrics.freeze_choice(_arms(spark, d).select("arm", "r10", "r100", "n_rows"), "A0")
 
 
 _ANCHOR = """split AS (
@@ -738,11 +770,32 @@ def _(spark, d):
     return calibration.ece_quantile(_probs(Snapshot(spark, d)))
 
 
-@Q("b6_platt")
+_NEWTON = """g AS (
+  SELECT list(struct_pack(x := logit, n := CAST(n AS DOUBLE), y := CAST(y AS DOUBLE))) AS v, CAST(sum(n) AS DOUBLE) AS total FROM (SELECT logit, count(*) AS n, sum(label) AS y FROM scored GROUP BY 1)
+), newton AS (
+  SELECT 0 AS k, 1.0::DOUBLE AS a, -ln(20.0::DOUBLE) AS b, NULL::DOUBLE AS loss, false AS done
+  UNION ALL
+  SELECT k + 1, a - least(1.0, 2.0 / greatest(size, 1e-300)) * da, b - least(1.0, 2.0 / greatest(size, 1e-300)) * db, loss, size < 1e-9 FROM (
+    SELECT *, greatest(abs(da), abs(db)) AS size FROM (
+      SELECT k, a, b, loss, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db FROM (
+        SELECT k, a, b, list_sum(list_transform(w, lambda s: s.n * (greatest(s.z, 0) + ln(1 + exp(-abs(s.z)))) - s.y * s.z)) / total AS loss,
+          list_sum(list_transform(w, lambda s: (s.n * s.p - s.y) * s.x)) / total AS ga, list_sum(list_transform(w, lambda s: s.n * s.p - s.y)) / total AS gb,
+          list_sum(list_transform(w, lambda s: s.n * s.p * (1 - s.p) * s.x * s.x)) / total + 1e-6 AS haa, list_sum(list_transform(w, lambda s: s.n * s.p * (1 - s.p) * s.x)) / total AS hab, list_sum(list_transform(w, lambda s: s.n * s.p * (1 - s.p))) / total + 1e-6 AS hbb
+        FROM (SELECT k, a, b, total, list_transform(v, lambda s: struct_pack(x := s.x, n := s.n, y := s.y, z := a * s.x + b, p := 1 / (1 + exp(-(a * s.x + b))))) AS w FROM newton, g WHERE k < 40 AND NOT done))))
+), platt AS (
+  SELECT (SELECT a FROM newton ORDER BY k DESC LIMIT 1) AS a, (SELECT b FROM newton ORDER BY k DESC LIMIT 1) AS b, (SELECT loss FROM newton WHERE k = 1) AS first_loss, (SELECT loss FROM newton ORDER BY k DESC LIMIT 1) AS last_loss
+)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@Q("b6_platt", _recursive(lists_twin("SELECT round(a, 5) AS a, round(b, 5) AS b, round(first_loss, 6) AS first_loss, round(last_loss, 6) AS last_loss FROM platt", 50, _NEWTON)))
 def _(spark, d):
     """Slope, intercept and losses of the logistic fit."""
     a, b, losses = calibration.platt(Snapshot(spark, d).scored(50).persist(), 20.0)
-    return spark.createDataFrame([(a, b, losses[0], losses[-1])], "a double, b double, first_loss double, last_loss double")
+    return spark.createDataFrame([(round(a, 5), round(b, 5), round(losses[0], 6), round(losses[-1], 6))], "a double, b double, first_loss double, last_loss double")
 
 
 @Q("b7_prior_correction", lists_twin("SELECT user_id, item_id, round(p, 6) AS p FROM probs", 20, _P))
@@ -750,12 +803,18 @@ def _(spark, d):
     return _probs(Snapshot(spark, d), 20).select("user_id", "item_id", r6(F.col("p")).alias("p"))
 
 
-_CHOICE = [(0.85, 0.01, 0.02), (-0.1, 0.01, 0.02), (0.9, 0.03, 0.02)]
+def _ece_sql(p: str) -> str:
+    return f"(SELECT round(sum(abs(sp - sy)) / sum(n), 6) FROM (SELECT least(floor(q * 15), 14) AS b, count(*) AS n, sum(q) AS sp, sum(label) AS sy FROM (SELECT label, {p} AS q FROM scored, platt) GROUP BY 1))"
 
 
-@Q("b8_calibrator_choice", "SELECT a::DOUBLE AS a, pe::DOUBLE AS platt_ece, re::DOUBLE AS prior_ece, CASE WHEN a > 0 AND pe <= re THEN 'platt' ELSE 'prior' END AS chosen FROM (VALUES (0.85, 0.01, 0.02), (-0.1, 0.01, 0.02), (0.9, 0.03, 0.02)) t(a, pe, re)")
+@Q("b8_calibrator_choice", _recursive(lists_twin(f"SELECT round(a, 5) AS a, platt_ece, prior_ece, CASE WHEN a > 0 AND platt_ece <= prior_ece THEN 'platt' ELSE 'prior' END AS chosen FROM (SELECT a, {_ece_sql('1 / (1 + exp(-(a * logit + b)))')} AS platt_ece, {_ece_sql('1 / (1 + exp(-(logit - ln(20.0::DOUBLE))))')} AS prior_ece FROM platt)", 50, _NEWTON)))
 def _(spark, d):
-    return calibration.choose_calibrator(spark.createDataFrame(_CHOICE, "a double, platt_ece double, prior_ece double"))
+    """The calibrator that the fit and both errors call for."""
+    rows = Snapshot(spark, d).scored(50).persist()
+    a, b, _ = calibration.platt(rows, 20.0)
+    ece = lambda p: calibration.ece_equal(rows.withColumn("p", p)).first()["ece"]
+    scores = [(round(a, 5), ece(X.sigmoid(F.col("logit") * a + b)), ece(calibration.prior_correction(F.col("logit"), 20.0)))]
+    return calibration.choose_calibrator(spark.createDataFrame(scores, "a double, platt_ece double, prior_ece double"))
 
 
 @Q("b9_cohort_thresholds", lists_twin("SELECT cohort, count(*) FILTER (p < CASE cohort WHEN 0 THEN 0.01 WHEN 3 THEN 0.05 ELSE 0.0 END) AS n_zeroed, count(*) AS n FROM probs GROUP BY 1", 50, _P))
@@ -802,61 +861,39 @@ def _(spark, d):
     return calibration.locked_stage(dump, _sizes(s), fitted, [10])
 
 
-@Q("b14_category_summary", lists_twin(" UNION ALL ".join(f"SELECT '{c}' AS category, CAST(sum(n) AS BIGINT) AS n, round(sum(abs(sp - sy)) / sum(n), 6) AS ece FROM (SELECT least(floor(p * 15), 14) AS b, count(*) AS n, sum(p) AS sp, sum(label) AS sy FROM probs JOIN catalog USING (item_id) WHERE main_category = '{c}' GROUP BY 1)" for c in ("ECONOMY", "PROMO")), 30, _P))
+@Q("b14_category_summary", lists_twin("SELECT main_category AS category, CAST(sum(n) AS BIGINT) AS n, round(sum(abs(sp - sy)) / sum(n), 6) AS ece FROM (SELECT main_category, least(floor(p * 15), 14) AS b, count(*) AS n, sum(p) AS sp, sum(label) AS sy FROM probs JOIN catalog USING (item_id) GROUP BY 1, 2) GROUP BY 1", 30, _P))
 def _(spark, d):
     s = Snapshot(spark, d)
-    rows = _probs(s, 30).join(s.items.select("item_id", "main_category"), "item_id")
-    return calibration.summary({c: calibration.ece_equal(rows.where(F.col("main_category") == c)) for c in ("ECONOMY", "PROMO")})
+    rows = _probs(s, 30).join(s.items.select("item_id", F.col("main_category").alias("category")), "item_id")
+    return calibration.ece_equal(rows, by=["category"])
 
 
 # --- models ----------------------------------------------------------------
 
 
-@Q("m1_sampled_pairs")
-def _(spark, d):
-    s = Snapshot(spark, d)
-    return models.sample_pairs(s.hist, s.pool).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
+_SOFT = f"""SELECT user_id, item_id, 0 AS label, 'soft_negative' AS kind FROM (
+  SELECT p.user_id, item_id, want, row_number() OVER (PARTITION BY p.user_id ORDER BY i) AS rank FROM (
+    SELECT u.user_id, want, i, (CAST('0x' || substr(md5('0:a:' || u.user_id), 1, 12) AS BIGINT) % q + (1 + CAST('0x' || substr(md5('0:b:' || u.user_id), 1, 12) AS BIGINT) % (q - 1)) * i) % q AS idx
+    FROM (SELECT user_id, 2 * count(*) AS want FROM hist WHERE label = 1 GROUP BY 1) u, prime, unnest(range(1, q + 1)) r(i)) p JOIN numbered USING (idx)
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.item_id = numbered.item_id)) WHERE rank <= want"""
 
 
-@Q("m4_log_q", twin("SELECT item_id, round(ln(CAST(c AS DOUBLE) / sum(c) OVER ()), 6) AS log_q FROM (SELECT item_id, count(*) AS c FROM hist WHERE label = 1 GROUP BY 1)", SNAPSHOT))
+@Q("m1_sampled_pairs", twin(f"SELECT DISTINCT user_id, item_id, label, CASE label WHEN 1 THEN 'positive' ELSE 'hard_negative' END AS kind FROM hist UNION ALL {_SOFT}", SNAPSHOT + "," + _NUMBERED))
 def _(spark, d):
-    return models.log_q(Snapshot(spark, d).hist)
-
-
-_FEATURES = ["num_sources", "best_rank", "popularity_score", "recent_score", "covisit_score", "item_n_reviews"]
-
-
-def _trained(spark, d, kind: str) -> DataFrame:
-    """A ranker fitted on 80 % of the users, scored on the rest."""
-    from pitrec.operators import filtering
-
     s = Snapshot(spark, d)
-    support = s.hist.groupBy("item_id").agg(F.count("*").alias("item_n_reviews"))
-    table = s.candidates(50).join(support, "item_id", "left").fillna(0).persist()
-    parts = filtering.user_holdout(table.select("user_id"))
-    train, held = (table.join(parts.where(F.col("part") == p), "user_id").drop("part") for p in ("train", "held"))
-    n, pos = train.agg(F.count("*"), F.sum("label")).first()
-    scored = models.rank_scores(models.ranker(train, _FEATURES, kind, (n - pos) / max(1, pos)), held, _FEATURES)
-    lists = retrieval.top_k(scored, 50)
-    return metrics.recall_precision(s.targets.join(parts.where("part = 'held'"), "user_id", "left_semi"), lists, [10, 50])
+    return models.sample_pairs(s.hist, s.pool)
 
 
-@Q("m7_mlp_ranker")
-def _(spark, d):
-    return _trained(spark, d, "mlp")
-
-
-@Q("m8_cross_ranker")
-def _(spark, d):
-    return _trained(spark, d, "cross")
-
-
-@Q("m9_weighted_ranker")
+@Q("m4_log_q", twin("SELECT item_id, round(ln(CAST(c AS DOUBLE) / sum(c) OVER ()), 6) AS log_q FROM (SELECT item_id, count(*) AS c FROM hist WHERE label = 1 GROUP BY 1)", SNAPSHOT))
 def _(spark, d):
-    return _trained(spark, d, "logistic")
+    return models.log_q(Snapshot(spark, d).hist)
 
 
-@Q("m12_hashed_text_vectors")
+@Q("m12_hashed_text_vectors", twin(r"""
+SELECT item_id, list(coalesce(n / len, 0.0) ORDER BY k) AS embedding FROM (
+  SELECT i.item_id, g.k, n, sqrt(sum(n * n) OVER (PARTITION BY i.item_id)) AS len FROM (SELECT DISTINCT item_id FROM texts) i CROSS JOIN (SELECT unnest(range(0, 64)) AS k) g
+  LEFT JOIN (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS k, CAST(count(*) AS DOUBLE) AS n FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM texts) GROUP BY 1, 2) c ON c.item_id = i.item_id AND c.k = g.k) GROUP BY 1""", """
+texts AS (SELECT item_id, array_to_string(list_filter([trim(title), trim(store)] || categories[1:2], lambda x: x <> ''), ' | ') AS text FROM catalog)"""))
 def _(spark, d):
     from pitrec.operators import identity
 
@@ -932,14 +969,7 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@Q("m2_two_tower_lists")
-def _(spark, d):
-    """The learned source in the contract of the others: (user_id, item_id, score, rank)."""
-    s, users, items = _factors(spark, d)
-    return models.factor_top_k(users, items, s.pool, s.seen, 50)
-
-
-@Q("m6_walk_forward_factors")
+@Q("x2_walk_forward_factors")
 def _(spark, d):
     """Factors refitted at each snapshot with one frozen configuration; recall of their lists, and the configuration's hash."""
     from pitrec.operators import snapshots
@@ -958,35 +988,6 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@Q("m10_ranker_run")
-def _(spark, d):
-    """Selection on held users of the first snapshot, a refit, and one evaluation on the next."""
-    from pitrec.operators import filtering, snapshots
-
-    rows = clean(spark, d)
-    t = snapshots.resolve_four_cutoffs(rows)
-
-    def table(cut: int, end: int):
-        hist, window = rows.where(F.col("ts") < cut), rows.where((F.col("ts") >= cut) & (F.col("ts") < end))
-        truth = metrics.truth_sets(window)
-        users, pool, seen = truth.select("user_id").distinct(), retrieval.eligible(hist, 5), retrieval.seen(hist, truth)
-        sources = {"popularity": retrieval.top_unseen(users, retrieval.popularity(hist), pool, seen, 50), "recent": retrieval.top_unseen(users, retrieval.decayed_popularity(hist, cut, 180.0), pool, seen, 50)}
-        support = hist.groupBy("item_id").agg(F.count("*").alias("item_n_reviews"))
-        pairs = truth.withColumn("label", F.lit(1))
-        out = candidates.union_sources(sources).join(support, "item_id", "left").join(pairs, ["user_id", "item_id"], "left").fillna(0)
-        return truth, out
-
-    features_ = ["num_sources", "best_rank", "popularity_score", "recent_score", "item_n_reviews"]
-    truth, first = table(t[1], t[2])
-    first = first.persist()
-    parts = filtering.user_holdout(first.select("user_id"))
-    train, held = (first.join(parts.where(F.col("part") == p), "user_id").drop("part") for p in ("train", "held"))
-    kind, model, _ = models.select_ranker(train, held, truth.join(parts.where("part = 'held'"), "user_id", "left_semi"), features_, ("logistic", "cross"), 50)
-    test_truth, last = table(t[2], t[3])
-    lists = retrieval.top_k(models.rank_scores(model, last, features_), 50)
-    return metrics.recall_precision(test_truth, lists, [10, 50]).withColumn("kind", F.lit(kind))
-
-
 # --- runners ---------------------------------------------------------------
 
 

@@ -8,7 +8,6 @@ from pitrec.sources import adapters
 
 VIEWS = {
     "interactions": adapters.interactions,
-    "interactions_thin": lambda spark, d: adapters.thinned(adapters.interactions(spark, d)),
     "interactions_clean": adapters.clean,
     "interactions_events": adapters.interactions_ev,
     "catalog": adapters.catalog,

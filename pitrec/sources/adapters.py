@@ -36,12 +36,6 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def thinned(rows: DataFrame) -> DataFrame:
-    """A sparse view with cold users and items below any threshold."""
-    share = F.when(F.col("user_id") % 4 == 0, 3).when(F.col("user_id") % 4 == 1, 10).when(F.col("user_id") % 4 == 2, 30).otherwise(90)
-    return rows.where((F.col("user_id") * 7919 + F.col("item_id") * 104729) % 100 < share)
-
-
 def first_per_pair(rows: DataFrame) -> DataFrame:
     """The earliest row of each (user, item), in a total order, with its label."""
     order = Window.partitionBy("user_id", "item_id").orderBy("ts", "rating", *SAME_TIME)
@@ -50,11 +44,7 @@ def first_per_pair(rows: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique (user, item) rows of the thinned view."""
-    return first_per_pair(thinned(interactions(spark, sf_dir)))
-
-
-def clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique (user, item) rows of all interactions."""
     return first_per_pair(interactions(spark, sf_dir))
 
 
@@ -88,14 +78,9 @@ raw AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, epoch_ms(o_orderdate) AS ts, CAST(1 + CAST(l_quantity AS INTEGER) % 5 AS INTEGER) AS rating,
          l_returnflag <> 'R' AS verified, l_linenumber AS helpful, l_quantity, l_extendedprice, l_discount, l_shipdate
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-), thin AS (
-  SELECT * FROM raw WHERE (user_id * 7919 + item_id * 104729) % 100 < CASE user_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 10 WHEN 2 THEN 30 ELSE 90 END
-), full_clean AS (
-  SELECT user_id, item_id, ts, rating, verified, helpful, CAST(rating >= 3 AS INTEGER) AS label FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, rating, l_quantity, l_extendedprice, l_discount, l_shipdate) AS rn FROM raw) WHERE rn = 1
 ), clean AS (
   SELECT user_id, item_id, ts, rating, verified, helpful, CAST(rating >= 3 AS INTEGER) AS label FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, rating, l_quantity, l_extendedprice, l_discount, l_shipdate) AS rn FROM thin) WHERE rn = 1
+    SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, rating, l_quantity, l_extendedprice, l_discount, l_shipdate) AS rn FROM raw) WHERE rn = 1
 ), catalog AS (
   SELECT p_partkey AS item_id, p_name AS title, p_brand AS store, p_type AS main_category, '$' || printf('%.2f', p_retailprice) AS price, p_size AS rating_number, [p_type, p_brand] AS categories FROM part
 )

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +17,52 @@ REVIEWS = T.StructType(
 )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def store(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of any store that Spark reaches."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends."""
+    place = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
+    fs, path = store(spark, place)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = store(spark, path)
+    return fs.exists(hadoop)
+
+
+def outputs(spark: SparkSession, folder: str) -> list[str]:
+    """The names below a folder; none if it is not there."""
+    fs, path = store(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def remove_outputs(spark: SparkSession, folder: str, names: set[str]) -> list[str]:
+    """Deletes the outputs of these names and nothing else; the names that were there."""
+    found = [n for n in outputs(spark, folder) if n in names]
+    for name in found:
+        fs, path = store(spark, f"{folder.rstrip('/')}/{name}")
+        fs.delete(path, True)
+    return found
 
 
 def jsonl_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType = REVIEWS, max_rows: int | None = None, overwrite: bool = False) -> DataFrame:
@@ -66,6 +115,73 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Puts a new table in the place of an old one, which may be what it is made from; readers never see a part of it."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4()}"
+    df.write.parquet(aside)
+    fs, target = store(spark, path)
+    fs.delete(target, True)
+    if not fs.rename(store(spark, aside)[1], target):
+        raise OSError(f"{aside} could not take the place of {path}")
+
+
+def npz_blobs(vectors: DataFrame, key: str = "item_id", vector: str = "embedding", rows: int = 100_000) -> DataFrame:
+    """(name, content): NPZ archives with `ids` and `vectors` (32-bit), of about `rows` vectors each."""
+    src = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                lists = part.column(1)
+                held = io.BytesIO()
+                np.savez(held, ids=part.column(0).to_numpy(), vectors=np.asarray(lists.flatten(), dtype=np.float32).reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4()}.npz"]), pa.array([held.getvalue()], pa.binary())], names=["name", "content"])
+
+    return src.mapInArrow(pack, "name string, content binary")
+
+
+def npz_rows(blobs: DataFrame, ids: str = "ids", vectors: str = "vectors") -> DataFrame:
+    """(item_id, embedding) of NPZ archives in a column `content`; raises if ids and vectors differ in number."""
+
+    def unpack(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as held:
+                    keys, rows = held[ids].astype(np.int64), held[vectors].astype(np.float64)
+                if len(keys) != len(rows):
+                    raise ValueError(f"{len(keys)} ids, {len(rows)} vectors")
+                for at in range(0, len(keys), 4096):
+                    few = rows[at : at + 4096]
+                    ends = np.arange(len(few) + 1, dtype=np.int32) * few.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 4096]), pa.ListArray.from_arrays(pa.array(ends), pa.array(few.ravel()))], names=["item_id", "embedding"])
+
+    return blobs.select("content").mapInArrow(unpack, "item_id bigint, embedding array<double>")
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """NPZ files, each read whole by one task."""
+    return npz_rows(spark.read.format("binaryFile").load(path))
+
+
+def digests(spark: SparkSession, path: str) -> dict[str, str]:
+    """SHA-256 of a file, or of the data files of a folder, by name."""
+    fs, root = store(spark, path)
+    if not fs.exists(root):
+        raise FileNotFoundError(path)
+    files = [root] if fs.getFileStatus(root).isFile() else sorted((x.getPath() for x in fs.listStatus(root) if not x.getPath().getName().startswith(("_", "."))), key=lambda p: p.getName())
+    sha = spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils
+    out = {}
+    for f in files:
+        stream = fs.open(f)
+        try:
+            out[f.getName()] = sha.sha256Hex(stream)
+        finally:
+            stream.close()
+    return out
+
+
 def write_report(df: DataFrame, path: str, key: str) -> None:
     """Replaces only the partitions of the keys present."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
