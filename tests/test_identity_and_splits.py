@@ -172,3 +172,9 @@ def test_alignment_statuses(spark):
     keys = spark.createDataFrame([(2,), (3,), (4,)], "item_id long")
     got = {r["item_id"]: (r["embedding"], r["status"]) for r in identity.align_embeddings(vectors, mapping, keys, 2).collect()}
     assert got == {2: ([0.5, 0.5], "rebuilt"), 3: ([2.0, 2.0], "aligned"), 4: ([0.0, 0.0], "not_present")}
+
+
+def test_kcore_without_a_fixed_point_raises(spark):
+    chain = [(k, k, 1, 5) for k in range(30)] + [(k, k + 1, 1, 5) for k in range(30)]  # a path loses one end a round
+    with pytest.raises(RuntimeError):
+        filtering.iterative_kcore(rows(spark, chain), 2, 2, max_iter=3)

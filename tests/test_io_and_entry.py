@@ -43,6 +43,33 @@ def test_reports_replace_only_their_partitions(spark, tmp_path):
     assert sorted((r["name"], r["value"]) for r in spark.read.parquet(str(tmp_path / "rep")).collect()) == [("a", 1), ("b", 3)]
 
 
+def test_npz_files(spark, tmp_path):
+    import numpy as np
+
+    for k in range(2):
+        np.savez(tmp_path / f"{k}.npz", ids=np.arange(3) + 10 * k, vectors=np.full((3, 4), k, dtype=np.float32))
+    got = {r["item_id"]: r["embedding"] for r in io.read_npz(spark, str(tmp_path)).collect()}
+    assert got == {i + 10 * k: [float(k)] * 4 for k in range(2) for i in range(3)}
+    again = io.npz_rows(io.npz_blobs(io.read_npz(spark, str(tmp_path)), rows=2))
+    assert {r["item_id"]: r["embedding"] for r in again.collect()} == got
+    np.savez(tmp_path / "bad.npz", ids=np.arange(2), vectors=np.zeros((3, 4)))
+    with pytest.raises(Exception):
+        io.read_npz(spark, str(tmp_path / "bad.npz")).collect()
+
+
+def test_tables_are_replaced_whole_and_outputs_removed_by_name(spark, tmp_path):
+    path = str(tmp_path / "t")
+    io.replace_table(spark.range(5).toDF("v"), path)
+    io.replace_table(spark.read.parquet(path).where("v > 2"), path)
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    (tmp_path / "notes.txt").write_text("abc")
+    assert io.digests(spark, str(tmp_path / "notes.txt")) == {"notes.txt": "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"}
+    assert io.remove_outputs(spark, str(tmp_path), {"t", "u"}) == ["t"] and io.outputs(spark, str(tmp_path)) == ["notes.txt"]
+    with pytest.raises(FileNotFoundError):
+        io.digests(spark, path)
+    assert io.outputs(spark, str(tmp_path / "none")) == []
+
+
 def test_prefixes(spark):
     rows = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, 9, 3), (2, 7, 1)], "user_id long, item_id long, ts long")
     got = sorted((r["user_id"], r["target"], r["items"]) for r in io.prefix_sequences(rows, 1).collect())
@@ -103,7 +130,7 @@ def test_twins_agree_on_the_smallest_tables(spark, sf):
     c = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
         c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    for name in ("p2_count_percentiles", "n12_merge_options", "k1_kcore", "t7_snapshot_stats", "f3_item_features", "r10_rule_top_k", "r15_covisitation_top_k", "c16_target_status", "e19_full_evaluation", "b12_view_blocks"):
+    for name in ("p2_count_percentiles", "n12_merge_options", "t7_snapshot_stats", "f3_item_features", "r10_rule_top_k", "r15_covisitation_top_k", "e19_full_evaluation", "b10_threshold_sweep", "c10_frozen_guard"):
         got = E.queries()[name](spark, sf)
         want = c.execute(E.oracle_sql()[name])
         names = [x[0] for x in want.description]

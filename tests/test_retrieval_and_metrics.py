@@ -37,6 +37,15 @@ def test_popularity_lists_skip_all_seen_items(spark):
     assert 1 not in everything and everything[99] == [10, 11]
 
 
+def test_long_histories_go_beyond_the_broadcast_head(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 6)
+    h = rows(spark, [(1, i, i, 5) for i in range(30)] + [(2, 3, 1, 5), (3, 40, 1, 2)])
+    users, pool = ids(spark, [1, 2, 9], "user_id"), ids(spark, range(45))
+    order = sorted(range(45), key=lambda i: (-sum(1 for u, x in [(1, i) for i in range(30)] + [(2, 3)] if x == i), i))
+    got = lists(retrieval.top_unseen(users, retrieval.popularity(h), pool, retrieval.seen(h), 4))
+    assert got == {1: [i for i in order if i >= 30][:4], 2: [i for i in order if i != 3][:4], 9: order[:4]}
+
+
 def test_head_order_and_row_order(spark):
     scores = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 5.0)], "item_id long, score double")
     got = retrieval.ranked_pool(scores, ids(spark, [1, 2, 3, 4])).collect()
@@ -207,7 +216,9 @@ def test_sampler_never_draws_seen_items(spark):
     h = rows(spark, [(u, i, i, 1 + (u + i) % 5) for u in range(6) for i in range(5)])
     out = models.sample_pairs(h, ids(spark, range(30)), 2)
     soft = out.where("kind = 'soft_negative'")
-    assert soft.count() > 0 and soft.join(h, ["user_id", "item_id"], "left_semi").count() == 0
+    want = {r["user_id"]: 2 * r["n"] for r in h.where("label = 1").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    assert {r["user_id"]: r["count"] for r in soft.groupBy("user_id").count().collect()} == want
+    assert soft.join(h, ["user_id", "item_id"], "left_semi").count() == 0
     a, b = (sorted((r[0], r[1]) for r in models.sample_pairs(h, ids(spark, range(30)), 2, epoch=e).where("kind = 'soft_negative'").collect()) for e in (0, 1))
     assert a != b
 
