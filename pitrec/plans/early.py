@@ -357,10 +357,13 @@ def _(spark, d):
     return identity.genuineness(_titled(spark, d))
 
 
-@Q("n13_store_conflicts", twin("SELECT canonical_item_id, count(DISTINCT nullif(sk, '')) AS n_stores FROM cmap JOIN keyed ON item_id = raw_item_id GROUP BY 1 HAVING count(DISTINCT nullif(sk, '')) > 1", _TITLED))
+@Q("n13_store_conflicts", twin(f"SELECT canonical_item_id, count(DISTINCT nullif(sk, '')) AS n_stores FROM {_map_sql('nt')} m JOIN keyed ON item_id = raw_item_id GROUP BY 1 HAVING count(DISTINCT nullif(sk, '')) > 1", _TITLED))
 def _(spark, d):
+    """What a map by titles alone would unite; that by title and store has none."""
     t = _titled(spark, d)
-    return identity.store_conflicts(t, identity.canonical_map(t))
+    if identity.store_conflicts(t, identity.canonical_map(t)).limit(1).count():
+        raise AssertionError("a canonical id unites two stores")
+    return identity.store_conflicts(t, identity.canonical_map(t, [X.normalize_title(F.col("title"))]))
 
 
 @Q("n14_group_samples", twin("""

@@ -197,19 +197,6 @@ def _(spark, d):
     return _dense(Snapshot(spark, d))
 
 
-def _factors(spark, d):
-    s = Snapshot(spark, d)
-    users, items = models.factors(s.hist, rank=8, iterations=3)
-    return s, users.join(s.users, "user_id", "left_semi"), items
-
-
-@Q("x1_factor_lists")
-def _(spark, d):
-    """Lists from factors by alternating least squares, a cheaper source than the towers."""
-    s, users, items = _factors(spark, d)
-    return models.factor_top_k(users, items, s.pool, s.seen, 20)
-
-
 @Q("r21_pools", twin("SELECT 'eligible' AS pool, count(*) AS n FROM pool UNION ALL SELECT 'history', count(*) FROM items_h UNION ALL SELECT 'catalog', count(*) FROM catalog", SNAPSHOT))
 def _(spark, d):
     s = Snapshot(spark, d)
@@ -852,13 +839,19 @@ def _(spark, d):
     return calibration.view_blocks(_probs(Snapshot(spark, d)))
 
 
-@Q("b13_locked_test")
+@Q("b13_locked_test", lists_twin("SELECT count(DISTINCT user_id) AS n_listed, count(DISTINCT user_id) FILTER (label = 1) AS n_with_positive, (SELECT count(*) FROM tusers) AS n_truth_users, true AS in_range, true AS changed_refused FROM scored", 50))
 def _(spark, d):
-    """Calibration fitted on the selection rows, then one evaluation with the parameters frozen."""
+    """Calibration fitted on the selection rows, then one evaluation with the parameters frozen; changed ones are refused."""
     s = Snapshot(spark, d)
     dump = s.scored(50).persist()
     fitted = calibration.fit_stage(dump, 20.0)
-    return calibration.locked_stage(dump, _sizes(s), fitted, [10])
+    try:
+        calibration.locked_stage(dump, _sizes(s), fitted | {"a": fitted["a"] + 1}, [10])
+        refused = False
+    except ValueError:
+        refused = True
+    in_range = (F.col("ece") >= 0) & (F.col("ece") <= 1) & (F.col("auc") > 0) & (F.col("auc") < 1) & (F.col("recall_overall_10") <= 1)
+    return calibration.locked_stage(dump, _sizes(s), fitted, [10]).select("n_listed", "n_with_positive", "n_truth_users", in_range.alias("in_range"), F.lit(refused).alias("changed_refused"))
 
 
 @Q("b14_category_summary", lists_twin("SELECT main_category AS category, CAST(sum(n) AS BIGINT) AS n, round(sum(abs(sp - sy)) / sum(n), 6) AS ece FROM (SELECT main_category, least(floor(p * 15), 14) AS b, count(*) AS n, sum(p) AS sp, sum(label) AS sy FROM probs JOIN catalog USING (item_id) GROUP BY 1, 2) GROUP BY 1", 30, _P))
@@ -969,25 +962,6 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@Q("x2_walk_forward_factors")
-def _(spark, d):
-    """Factors refitted at each snapshot with one frozen configuration; recall of their lists, and the configuration's hash."""
-    from pitrec.operators import snapshots
-
-    rows = clean(spark, d)
-    t = snapshots.resolve_four_cutoffs(rows)
-    config = {"rank": 8, "iterations": 3, "seed": 7}
-    out = []
-    for k in (0, 1, 2):
-        hist, window = rows.where(F.col("ts") < t[k]), rows.where((F.col("ts") >= t[k]) & (F.col("ts") < t[k + 1]))
-        truth = metrics.truth_sets(window)
-        users, items = models.factors(hist, config["rank"], config["iterations"], config["seed"])
-        asked = users.join(truth.select("user_id").distinct(), "user_id", "left_semi")
-        lists = models.factor_top_k(asked, items, retrieval.eligible(hist, 5), retrieval.seen(hist, truth), 50)
-        out.append(metrics.recall_precision(truth, lists, [50]).select(F.lit(f"T{k}").alias("snapshot"), F.lit(models.config_hash(config)).alias("config"), "k", "recall", "n_users"))
-    return reduce(DataFrame.unionByName, out)
-
-
 # --- runners ---------------------------------------------------------------
 
 
