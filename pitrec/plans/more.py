@@ -343,13 +343,14 @@ def _(spark, d):
     return short.agg(F.countDistinct("user_id").alias("n_users")).crossJoin(differ.crossJoin(short.agg(F.count("*").alias("m"))).select((F.col("n") - F.col("m")).alias("n_differ")))  # one row each
 
 
-@Q("x1_factor_contract", twin(_CONTRACT.format(""), SNAPSHOT))
+@Q("x1_factor_contract", twin(_CONTRACT.format("") + " WHERE user_id IN (SELECT user_id FROM hist WHERE label = 1)", SNAPSHOT))
 def _(spark, d):
-    """Lists from factors by alternating least squares, a cheaper source than the towers, in the same contract."""
+    """Lists from factors by alternating least squares, a cheaper source than the towers, in the same contract; users without a positive have no factors."""
     rows = clean(spark, d).persist()
     t = snapshots.resolve_four_cutoffs(rows)
     now = orchestrate.Built(rows, t[1], t[2])
     users, vectors = models.factors(now.hist, rank=8, iterations=3)
+    now.users = now.users.join(users.select("user_id"), "user_id", "left_semi")
     return _list_contract(models.factor_top_k(users.join(now.users, "user_id", "left_semi"), vectors, now.pool, now.seen, 20), now, 20)
 
 
