@@ -37,7 +37,7 @@ STEM = (4, 6)
 CHANCE = 5.0  # standard errors between the labels' rates at which half of the log odds is believed
 RARE, DECAY = 8.0, 2e-4  # rows with a word at which its steps are half as long; part of an embedding that a step takes
 STRATA = 64  # languages told apart when the training sample is drawn
-BINS, CLIP = 256, 30.0  # bins a unit of the logit, which is clipped
+BINS, CLIP = 64, 30.0  # bins a unit of the logit, which is clipped
 PRIME = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 19  # bytes at a time
 _IS_LETTER = np.zeros(256, dtype=bool)
