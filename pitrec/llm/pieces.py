@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_in_worker, table
+from .common import bounded_batches, kept_in_worker, table
 from .prefix_bpe import START, Memo, PrefixRule
 
 MEMO = 250_000  # stretches in a generation of a worker's memo
@@ -144,6 +144,7 @@ class Pieces:
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the piece ids of each text."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -180,6 +181,7 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     ids_sha256 is over the ids as little-endian 32-bit integers; `same` tells
     whether decoding gives the text back (the space mark itself reads as a space).
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, forget_kept, spanning_forest, table
+from .common import bounded_batches, connected_components, cut, forget_kept, spanning_forest, table
 
 PARTS = 4  # of 16 bits: at most 17 ** 4 cells, whatever the input
 
@@ -51,6 +51,7 @@ def _xxh64(shingle: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): one row per input row; fp is the fingerprint's 64 bits as a signed long."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget_kept, share, slices, table
+from .common import bounded_batches, cut, forget_kept, share, slices, table
 
 LENGTH, GRAM = 200, 48
 PRIME = 0x9E3779B97F4A7C15 | 1
@@ -378,6 +378,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     dig: the first 16 bytes of the text's SHA-256. whole: all of it, since it has copies. ranges: (s, e) in bytes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(src.dtypes)["id"]
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, forget_kept, share, table
+from .common import bounded_batches, bounded_broadcast, cut, forget_kept, share, slices, table
 
 WORDS, STEMS, DIM, WIDTHS, FILTERS, PAD = 1 << 17, 1 << 15, 12, (1, 2, 3), 8, 3
 STEM = (4, 6)
@@ -220,12 +220,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, s
 
 def binned(texts: DataFrame, labels: DataFrame, model: TextCnn, n_labels: int) -> DataFrame:
     """(lang, bin, n, hits, low, high): counts of all rows of `texts` with a label, by language and bin of the logit; a row a bin that is not empty."""
+    bounded_batches(texts.sparkSession)
     shared = share(texts.sparkSession, model)
 
     def run(batches):
         forget_kept()
         known, tok = shared(), Tokenizer()
-        for batch in batches:
+        for batch in (few for batch in batches for few in slices(batch, 1)):
             logit = np.clip(known.logits(tok, [t or "" for t in batch.column(1).to_pylist()]).astype(np.float64), -CLIP, CLIP)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(logit, pa.float64())], names=["key", "lang", "logit"])
 
@@ -313,16 +314,19 @@ def classify(docs: DataFrame, model: TextCnn | None, text_col: str = "text", lan
     """
     added = ["score", "predicted", "threshold", "rejected"]
     own = [c for c in docs.columns if c not in added]
-    src = docs.select(*own, F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
+    bounded_batches(docs.sparkSession)
+    as_it_is = text_col in own and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
+    at_text = own.index(text_col) if as_it_is else len(own)
+    src = docs.select(*own, *([] if as_it_is else [F.col(text_col).cast("string").alias("__text")]), F.col(lang_col).cast("string").alias("__lang"))
     shared = share(docs.sparkSession, model)  # a few MB whatever the input
 
     def run(batches):
         forget_kept()
         known, tok = shared(), Tokenizer()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(len(own)).to_pylist()]
+        for batch in (few for batch in batches for few in slices(batch, at_text)):
+            texts = [t or "" for t in batch.column(at_text).to_pylist()]
             score = known.scores(tok, texts) if known is not None and texts else np.zeros(len(texts))
-            cut = np.array([known.thresholds.get(x or "", 0.5) if known is not None else 0.5 for x in batch.column(len(own) + 1).to_pylist()], dtype=np.float64)
+            cut = np.array([known.thresholds.get(x or "", 0.5) if known is not None else 0.5 for x in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.float64)
             columns = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(cut, pa.float64()), pa.array(score >= cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *columns], names=[*own, *added])
 
