@@ -98,6 +98,24 @@ def tile_pairs(distinct: DataFrame, radius: int, tile_rows: int, task_comparison
     return pairs.select(F.expr(f"off = {zero} and salt_a = salt_b").alias("own"), "fps_a", "fps_b")
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, own: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links between two tiles, thinned to a forest. `own`: b holds a's values, but in any order, as each side of the pairs gathers its tiles anew."""
+    if own:
+        b = a
+    ii, jj = [], []
+    step = max(1, (1 << 20) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
+        i += at
+        if own:
+            i, j = i[i < j], j[i < j]
+        ii.append(i)
+        jj.append(j)
+    i, j = np.concatenate(ii), np.concatenate(jj)
+    keep = spanning_forest(i, j, len(a)) if own else spanning_forest(i, j + len(a), len(a) + len(b))
+    return a[i[keep]], b[j[keep]]
+
+
 def links_within(distinct: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:
     """(a, b): links between distinct fingerprints at most `radius` bits apart, thinned to forests inside each tile pair."""
     pairs = tile_pairs(distinct, radius, tile_rows)
@@ -106,25 +124,9 @@ def links_within(distinct: DataFrame, radius: int = 3, tile_rows: int = 8192) ->
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
             (xa, oa), (xb, ob) = ((np.asarray(c.values).view(np.uint64), np.asarray(c.offsets)) for c in (batch.column(1), batch.column(2)))
-            out_a, out_b = [], []
-            for k in range(batch.num_rows):
-                a, b = xa[oa[k] : oa[k + 1]], xb[ob[k] : ob[k + 1]]
-                ii, jj = [], []
-                step = max(1, (1 << 20) // max(1, len(b)))
-                for at in range(0, len(a), step):
-                    i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
-                    i += at
-                    if own[k]:
-                        i, j = i[i < j], j[i < j]
-                    ii.append(i)
-                    jj.append(j)
-                i, j = np.concatenate(ii), np.concatenate(jj)
-                if len(i):
-                    keep = spanning_forest(i, j, len(a)) if own[k] else spanning_forest(i, j + len(a), len(a) + len(b))
-                    out_a.append(a[i[keep]])
-                    out_b.append(b[j[keep]])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
+            found = [near_pairs(xa[oa[k] : oa[k + 1]], xb[ob[k] : ob[k + 1]], own[k], radius) for k in range(batch.num_rows)]
+            if any(len(a) for a, _ in found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found)], names=["a", "b"])
 
     return pairs.mapInArrow(compare, "a bigint, b bigint")
 

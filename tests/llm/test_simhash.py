@@ -75,6 +75,28 @@ def test_salted_tiles_lose_no_link(spark):
     assert sorted(map(sorted, by_want.values())) == sorted(map(sorted, by_got.values()))
 
 
+def test_own_tile_in_two_orders():
+    """The two sides gather a tile in orders of their own: no link may depend on them."""
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)))
+    fps = [int(x) for x in a]
+    want = groups(fps, fps)
+    assert len(set(want.values())) < len(fps)
+    for _ in range(20):
+        x, y = simhash.near_pairs(rng.permutation(a), rng.permutation(a), True, 3)
+        up = {f: f for f in fps}
+
+        def find(f):
+            while up[f] != f:
+                f = up[f]
+            return f
+
+        for p, q in zip(x.tolist(), y.tolist()):
+            p, q = find(p), find(q)
+            up[max(p, q)] = min(p, q)
+        assert {f: find(f) for f in fps} == want
+
+
 def test_pairs_of_one_large_cell_are_spread(spark):
     """Fingerprints of one cell: its tile pairs are dealt over many tasks."""
     rng = random.Random(6)
