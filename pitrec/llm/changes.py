@@ -244,6 +244,7 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     session = spark.newSession()  # the state store's setting is the stream's alone
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # a start has one batch; else stores of earlier starts keep their local files
     columns = [c.split() for c in FEED.split(", ")]
     filled = {"tick": F.lit(True), "client": F.lit(""), "n": F.lit(0), "first": F.lit(False), "day": F.lit(0), "row": F.lit(-1), "op": F.lit(""), "city": F.lit(None), "balance": F.lit(None)}
     fed, before = f"{place}/fed", -(1 << 40)
