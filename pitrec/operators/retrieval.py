@@ -176,13 +176,6 @@ def rule_scores(users: DataFrame, rows: DataFrame, items: DataFrame, pool: DataF
     return top_k(every.select("user_id", "item_id", r6(F.col("score")).alias("score")), k)
 
 
-def weight_grid(names: list[str], values=(0.0, 0.5, 1.0)) -> list[dict[str, float]]:
-    out: list[dict[str, float]] = [{}]
-    for n in names:
-        out = [o | {n: v} for o in out for v in values]
-    return out
-
-
 def covisitation(rows: DataFrame, basket: int = 30, least: int = 2, neighbours: int = 100, cosine: bool = True) -> DataFrame:
     """(a, b, support, score, place): items that users' last positives hold together.
 

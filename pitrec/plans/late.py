@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitrec.functions import expressions as X
-from pitrec.operators import calibration, candidates, features, metrics, models, retrieval
+from pitrec.operators import calibration, candidates, features, metrics, models, retrieval, tuning
 from pitrec.operators.rounding import r6
 from pitrec.sources import adapters
 from pitrec.sources.adapters import clean, load, twin
@@ -125,32 +125,50 @@ def _(spark, d):
     return retrieval.rule_scores(s.users, s.hist, s.items, s.pool, s.seen, {"store": 1.0, "main_category": 0.0, "prior": 0.0}, 50)
 
 
-_GRID = [{"store": a, "main_category": b, "prior": c} for a in (0.0, 1.0) for b in (0.0, 0.5) for c in (0.0, 1.0)]
+def _grid_sql(grid, ks: list[int], best_by: int, groups: list[str] | None = None) -> str:
+    """Recall and precision of each weight vector: all pool items of all users under all vectors, ranked."""
+    facets = tuning.facets_of(grid)
+    rows = ", ".join(f"({i}, '{(groups or ['all'] * len(grid))[i]}', {', '.join(f'{w.get(f, 0.0)}::DOUBLE' for f in [*facets, 'prior'])})" for i, w in enumerate(grid))
+    names = ", ".join(f"w_{f}" for f in [*facets, "prior"])
+    score = " + ".join(["0.0::DOUBLE", *(f"w_{f} * a_{f}" for f in facets)]) + " + w_prior * prior"
+    affinities = ", ".join(f"coalesce(x_{f}.affinity, 0) AS a_{f}" for f in facets)
+    joins = " ".join(f"LEFT JOIN a_{f} x_{f} ON x_{f}.user_id = u.user_id AND x_{f}.facet = c.{f}" for f in facets)
+    hits = ", ".join(f"count(*) FILTER (rank <= {k}) AS h{k}" for k in ks)
+    means = ", ".join(f"round(coalesce(sum(h{k} / n), 0) / (SELECT count(*) FROM sizes), 6) AS recall_{k}, round(coalesce(sum(h{k} / {float(k)}::DOUBLE), 0) / (SELECT count(*) FROM sizes), 6) AS precision_{k}" for k in ks)
+    return f"""SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY recall_{best_by} DESC, grid_index) = 1 AS best FROM (
+  WITH grid(grid_index, "group", {names}) AS (VALUES {rows}),
+  base AS (SELECT u.user_id, p.item_id, {affinities}, p.prior FROM tusers u CROSS JOIN prior p JOIN catalog c ON c.item_id = p.item_id {joins}
+    WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)),
+  ranked AS (SELECT user_id, item_id, grid_index, row_number() OVER (PARTITION BY user_id, grid_index ORDER BY round({score}, 6) DESC, item_id) AS rank FROM base, grid),
+  sizes AS (SELECT user_id, count(*) AS n FROM targets GROUP BY 1),
+  hits AS (SELECT r.user_id, grid_index, {hits} FROM ranked r JOIN targets t ON t.user_id = r.user_id AND t.item_id = r.item_id WHERE rank <= {max(ks)} GROUP BY 1, 2)
+  SELECT g.*, (SELECT count(*) FROM sizes) AS n_users, {means} FROM grid g LEFT JOIN hits h ON h.grid_index = g.grid_index LEFT JOIN sizes z ON z.user_id = h.user_id GROUP BY ALL)"""
 
 
-def _tuned_sql(grid) -> str:
-    each = " UNION ALL ".join(f"SELECT {i} AS grid_index, recall FROM ({_recall_sql(f'({_rule_sql(w, 100)})', [100])})" for i, w in enumerate(grid))
-    return f"SELECT grid_index, recall, row_number() OVER (ORDER BY recall DESC, grid_index) = 1 AS best FROM ({each})"
+_GRID = tuning.weight_grid(["store", "main_category"])
 
 
-def _tune(spark, d, grid) -> DataFrame:
-    """Recall at 100 of each weight vector; the first of the best is marked."""
+@Q("r12_tuned_weights", twin(_grid_sql(_GRID, [100], 100), _RULE))
+def _(spark, d):
+    """Recall at 100 of the 27 weight vectors; the first of the best is marked."""
     s = Snapshot(spark, d)
-    each = [metrics.recall_precision(s.targets, retrieval.rule_scores(s.users, s.hist, s.items, s.pool, s.seen, w, 100), [100]).select(F.lit(i).alias("grid_index"), "recall") for i, w in enumerate(grid)]
-    return reduce(DataFrame.unionByName, each).withColumn("best", F.row_number().over(Window.orderBy(F.desc("recall"), "grid_index")) == 1)  # a row a grid point
+    return tuning.tune(s.users, s.hist, s.items, s.pool, s.seen, s.targets, _GRID, [100], 100)
 
 
-@Q("r12_tuned_weights", twin(_tuned_sql(_GRID), _RULE))
-def _(spark, d):
-    return _tune(spark, d, _GRID)
+_VARIANTS = {"A": ["store", "main_category"], "B": ["main_category"], "C": ["deeper_category"]}
+_ABLATION = [(name, w) for name, facets in _VARIANTS.items() for w in tuning.weight_grid(facets)]
 
 
-_VARIANTS = [{"store": 1.0, "prior": 0.5}, {"main_category": 1.0, "prior": 0.5}, {"store": 0.5, "main_category": 0.5, "prior": 0.5}]
+def _ablation_sql() -> str:
+    return _grid_sql([w for _, w in _ABLATION], KS, 100, [name for name, _ in _ABLATION])
 
 
-@Q("r13_ablation_variants", twin(_tuned_sql(_VARIANTS), _RULE))
+@Q("r13_ablation_variants", twin(_ablation_sql(), _RULE.replace("a_store AS", f"deep AS (SELECT * REPLACE (array_to_string(categories, ' | ') AS main_category) FROM catalog), a_deeper_category AS ({_AFFINITY.format(f='main_category').replace('JOIN catalog', 'JOIN deep')}), a_store AS", 1)).replace("x_deeper_category.facet = c.deeper_category", "x_deeper_category.facet = array_to_string(c.categories, ' | ')"))
 def _(spark, d):
-    return _tune(spark, d, _VARIANTS)
+    """Three variants of facets, 27 + 9 + 9 weight vectors, all evaluated at three depths in one pass; each variant's best is marked."""
+    s = Snapshot(spark, d)
+    items = s.items.withColumn("deeper_category", F.array_join("categories", " | "))
+    return tuning.tune(s.users, s.hist, items, s.pool, s.seen, s.targets, [w for _, w in _ABLATION], KS, 100, [name for name, _ in _ABLATION])
 
 
 @Q("r14_covisitation", twin("SELECT a, b, support, score, place FROM edges", SNAPSHOT + "," + COVISIT))
