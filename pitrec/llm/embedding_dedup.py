@@ -9,13 +9,18 @@ Vectors that share a bucket are compared exactly, in double precision. A pair
 counts in the first table that holds it, so nothing is counted twice and pairs
 are never listed: a bucket gives counts by vector and a spanning forest.
 
-Equal vectors form one class beforehand, linked among themselves. Buckets
+Equal vectors form one class beforehand, linked among themselves. Classes have
+numbers of their own, fixed by a checkpoint; ids are looked up at the end, so rows
+that share an id, or have none, are vectors like any other. Buckets
 above `block` are salted into blocks and all pairs of blocks are compared. A
 vector travels once a table, beside its place and nothing else: which earlier table
 held a pair is found by hashing those vectors again that have a link.
 Null vectors, zero vectors and those with null or non-finite components link
-with nothing, nor do vectors of another length. Repeated ids stay repeated.
-An empty table gives no rows; extra columns are ignored.
+with nothing, nor do vectors of another length. Vectors are scaled by powers of
+two before squares are taken, so that large and tiny magnitudes link as others do.
+Repeated ids stay repeated, each row with the links of its own vector. Null ids
+never name a component: one that has no id at all gets null, and its rows keep
+themselves. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,14 +78,16 @@ def _unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     values, ends = np.asarray(batch.values, dtype=np.float64), np.asarray(batch.offsets)
     dim = int(ends[1] - ends[0]) if len(ends) > 1 else 0
     x = values[ends[0] : ends[-1]].reshape(-1, dim)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])  # exact
     return x, x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec, cls, size): equal usable vectors once, under their smallest id."""
+    """(vec, cls, size, least): equal usable vectors once, with a number, the rows that hold it and their smallest id."""
     usable = f"vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)"
-    src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(usable).where("id is not null")
-    return src.groupBy("vec").agg(F.min("id").alias("cls"), F.count("*").alias("size"))
+    src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(usable)
+    distinct = src.groupBy("vec").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    return cut(distinct.select("vec", F.monotonically_increasing_id().alias("cls"), "size", "least"))
 
 
 def bucketed(distinct: DataFrame, hashes: Hashes, tables: int) -> DataFrame:
@@ -189,10 +196,9 @@ def compare(rows: DataFrame, hashes: Hashes, cosine: float, block: int) -> DataF
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, bucket: int = 256, recall: float = 0.985, block: int = 384) -> DataFrame:
-    """(id, n_links, component): other vectors linked directly, and the smallest id reachable, itself included."""
-    distinct = cut(classes(vectors, id_col, vector_col))
+    """(id, n_links, component): other vectors linked directly, and the smallest id reachable, itself included; a row a vector."""
+    distinct = classes(vectors, id_col, vector_col)
     shape = distinct.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()
-    kind = dict(distinct.dtypes)["cls"]
     found = None
     for row in shape:  # vectors of different lengths do not link
         k, tables, width = plan(row["n"], cosine, bucket=bucket, recall=recall)
@@ -203,20 +209,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         found = distinct.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0).cast("bigint").alias("n")).limit(0)
     found = cut(found)
     counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
-    groups = connected_components(found.where("b is not null").select("a", "b"))
+    groups = cut(connected_components(found.where("b is not null").select("a", "b")))
+    named = groups.join(distinct.select(F.col("cls").alias("node"), "least"), "node")
+    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     known = (
-        distinct.select(F.col("vec").alias("__vec"), "cls", "size")
+        distinct.select(F.col("vec").alias("__vec"), "cls", "size", "least")
         .join(counts, "cls", "left")
-        .join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("__vec", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+        .join(groups.join(smallest, "component").select(F.col("node").alias("cls"), "smallest", F.lit(True).alias("grouped")), "cls", "left")
+        .select("__vec", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.when(F.col("grouped"), F.col("smallest")).otherwise(F.col("least")).alias("component"), F.lit(True).alias("usable"))
     )
     src = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__vec"))
-    return src.join(known, "__vec", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    return src.join(known, "__vec", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("usable"), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def op9_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 # All pairs of the small table, by brute force.
