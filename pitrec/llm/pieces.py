@@ -8,10 +8,11 @@ these; once all run through one boundary, the ids up to it are committed and
 forgotten, and the window begins there. All texts go this way, block by block,
 and memory does not grow with a text but by its ids.
 
-Between two characters that no piece holds side by side every path meets. These
-boundaries are found ahead, and as the ids between two of them depend on nothing
-else, a bounded memo has those of the stretches seen lately. Longer stretches
-look for the meeting of their paths as they go.
+The forward pass goes stretch by stretch: between two characters that no piece
+holds side by side the scan starts anew, so its back pointers inside a stretch do
+not depend on what is before. A bounded memo has those of the stretches seen
+lately, which saves their scan and nothing else; ids are committed by meetings of
+paths alone, looked for every `step` characters.
 
 Unknown characters become byte pieces. Null and empty texts encode to no ids and
 decode to "". Rows repeat as given; extra columns are ignored.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept_in_worker, table
+from .common import kept_in_worker, slices, table
 from .prefix_bpe import START, Memo, PrefixRule
 
 MEMO = 250_000  # stretches in a generation of a worker's memo
@@ -50,6 +52,61 @@ class Codes(dict):
         return value
 
 
+class Scan:
+    """The forward pass over a stretch that comes in parts; it holds the last `longest` positions."""
+
+    def __init__(self, rule: PrefixRule):
+        self.rule, self.tail, self.last, self.back = rule, "", [START], [0]
+
+    def __call__(self, more: str) -> tuple[array, array]:
+        """(last piece, its length) of each prefix that ends in `more`."""
+        text, known = self.tail + more, len(self.last)
+        self.rule.scan(text, 0, self.last, self.back, len(text))
+        out = array("i", self.last[known:]), array("i", [end - k for end, k in enumerate(self.back[known:], known)])
+        drop = max(0, len(text) - self.rule.longest)  # no piece to come starts before
+        self.tail, self.last, self.back = text[drop:], self.last[drop:], [k - drop for k in self.back[drop:]]
+        return out
+
+
+class Window:
+    """Back pointers from the last committed boundary on: last piece and its length at each position."""
+
+    def __init__(self, rule: PrefixRule, code: Codes):
+        self.rule, self.code, self.n_commits = rule, code, 0
+        self.last, self.size = array("i", [START]), array("i", [0])
+
+    def add(self, last: array, size: array) -> bytes:
+        self.last.extend(last)
+        self.size.extend(size)
+        return self.commit()
+
+    def commit(self, final: bool = False) -> bytes:
+        """The ids up to the last boundary that all surviving paths share, or all of them at the end of the text; they are forgotten here.
+
+        Pieces to come start at one of the last `longest` positions, so the surviving paths are those back from these.
+        """
+        last, size = self.last, self.size
+        meet = at = end = len(size) - 1
+        path = []  # from the last position, latest first
+        while at:
+            path.append(at)
+            at -= size[at]
+        if not final:
+            there = {0, *path}
+            for other in range(max(0, end - self.rule.longest + 1), end):
+                while other not in there:
+                    other -= size[other]
+                if other < meet:
+                    meet = other
+            if not meet:
+                return b""
+            self.n_commits += 1
+        code = self.code
+        out = b"".join([code[last[at]] for at in reversed(path) if at <= meet])
+        del last[:meet], size[:meet]
+        return out
+
+
 class Pieces:
     """A SentencePiece BPE model with identity normalisation, a dummy leading space and byte fallback."""
 
@@ -83,7 +140,8 @@ class Pieces:
         self.rule = PrefixRule({p: -s for p, s in score.items() if len(p) > 1})
         self.step = 4 * self.rule.longest  # positions between two looks for a meeting
         self.code = Codes(self._code)
-        self._memo = Memo(lambda part: self.window(part)[0], MEMO, SHORT)
+        self.n_commits = 0  # made by meetings of paths
+        self._memo = Memo(self.scanned, MEMO, SHORT)
 
     def _code(self, number: int) -> bytes:
         piece = self.rule.names[number]
@@ -91,40 +149,43 @@ class Pieces:
         ids = [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def window(self, text: str, left: int = START, final: bool = True) -> tuple[bytes, int, int]:
-        """(ids committed, characters they stand for, last piece among them); `left` is the piece before the text.
-
-        With `final` the text ends here and all of it is committed.
-        """
-        out, base, last, back, stop = [], 0, [left], [0], 0
-        while stop < len(text):
-            stop = min(len(text), stop + self.step)
-            self.rule.scan(text, base, last, back, stop)
-            meet = stop if final and stop == len(text) else self.rule.meeting(back, base, stop)
-            if meet > base:
-                path, end = [], meet
-                while end > base:
-                    path.append(last[end - base])
-                    end = back[end - base]
-                out += map(self.code.__getitem__, reversed(path))
-                last, back, base = last[meet - base :], back[meet - base :], meet
-        return b"".join(out), base, last[0]
+    def scanned(self, part: str) -> tuple[array, array]:
+        """(last piece, its length) of each prefix of a stretch."""
+        return Scan(self.rule)(part)
 
     def commits(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """The ids of a text that comes in blocks, given out as soon as all surviving paths agree on them."""
-        held, left = "", START  # text not committed, and the piece before it if paths met inside a stretch
+        held, scan, window = "", None, Window(self.rule, self.code)
+        memo, step = self._memo, self.step
         for block in chain(blocks, (None,)):
-            parts = self.stretch.findall(held if block is None else held + block)
+            text = held + (block or "")
+            if scan is not None:  # a long stretch is open
+                goes = self.stretch.match(scan.tail[-1] + text).end() - 1
+                for at in range(0, goes, step):
+                    yield window.add(*scan(text[at : min(goes, at + step)]))
+                if goes == len(text) and block is not None:
+                    continue
+                text, scan = text[goes:], None
+            parts = self.stretch.findall(text)
             held = parts.pop() if parts and block is not None else ""  # the last stretch may go on
-            if parts and left != START:
-                yield self.window(parts.pop(0), left)[0]
-                left = START
-            if parts:
-                yield b"".join(map(self._memo.__getitem__, parts))
-            if len(held) > self.step:
-                done, used, left = self.window(held, left, final=False)
-                yield done
-                held = held[used:]
+            for part in parts:
+                if len(part) <= SHORT:
+                    last, size = memo[part]
+                    window.last.extend(last)
+                    window.size.extend(size)
+                    if len(window.last) > step:
+                        yield window.commit()
+                else:
+                    one = Scan(self.rule)
+                    for at in range(0, len(part), step):
+                        yield window.add(*one(part[at : at + step]))
+            if len(held) > SHORT:
+                scan = Scan(self.rule)
+                for at in range(0, len(held), step):
+                    yield window.add(*scan(held[at : at + step]))
+                held = ""
+        self.n_commits += window.n_commits
+        yield window.commit(final=True)
 
     def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
@@ -144,14 +205,12 @@ class Pieces:
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the piece ids of each text."""
-    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         model = kept_in_worker(("pieces", path), lambda: Pieces(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 lists = [model.encode_array(t.as_py()).astype(np.int32) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
@@ -181,12 +240,11 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     ids_sha256 is over the ids as little-endian 32-bit integers; `same` tells
     whether decoding gives the text back (the space mark itself reads as a space).
     """
-    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         model = kept_in_worker(("pieces", path), lambda: Pieces(path))
-        for batch in batches:
+        for batch in (few for batch in batches for few in slices(batch, 1)):
             rows = []
             for value in batch.column(1):
                 text = value.as_py() or ""

@@ -131,3 +131,14 @@ def test_repeated_rows_null_ids_and_clashing_names(spark):
     assert sorted(got, key=str) == sorted([(None, 3), (None, 3), (7, 1), (7, 2)], key=str)
     assert sorted((r["id"], r["same"]) for r in round_trips(df, P.path(SP)).collect() if r["id"]) == [(7, True), (7, True)]
     assert encode_texts(df, P.path(SP)).where("id is null").count() == 2 and prefix_tables(df, P.path(BPE)).count() == 4
+
+
+def test_meetings_of_paths_commit_on_documents(spark, sf):
+    """Every text of some length has ids committed by a meeting, also when all its words are known."""
+    own = Pieces(P.path(SP))
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").where("length(text) > 100").collect()]
+    for _ in range(2):
+        for t in texts:
+            before = own.n_commits
+            own.encode(t)
+            assert own.n_commits - before >= len(t) // 400 + 1
