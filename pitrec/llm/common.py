@@ -48,13 +48,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return place
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, as rows are whole texts; a value set by the user stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) == 10_000:
-        spark.conf.set(name, str(rows))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive a lost executor and the plan starts anew."""
     checkpoint_dir(df.sparkSession)

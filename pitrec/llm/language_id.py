@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget_kept, share, slices, table
@@ -112,18 +112,22 @@ def fit(seen: np.ndarray, labels: list[str], landmarks: int = 24, penalty: float
     return model
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_class: int = 250, landmarks: int = 24) -> KernelModel | None:
-    """Learns from at most `per_class` rows a language, those of the lowest key hash."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = 250, landmarks: int = 24) -> KernelModel | None:
+    """Learns from at most `per_class` distinct texts a language, those of the lowest hash; 8 KB of each reach the driver.
+
+    The hash is the text's, so rows that share an id, or have none, are drawn one by one, and copies of a text once.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = rows.where(F.col("text").rlike("\\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()}
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.where(F.col("text").rlike("\\p{L}")).withColumn("lot", F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 40)))
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "lot").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()}
     if not sizes:
         return None
     per_class, landmarks = max(1, min(per_class, MOST_ROWS // len(sizes))), max(1, min(landmarks, MOST_MARKS // len(sizes)))
     shares = spark.createDataFrame([(c, min(1.0, (1.25 * per_class + 25) / n)) for c, n in sizes.items()], "lang string, share double")
-    lot = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30))
-    drawn = rows.join(F.broadcast(shares), "lang").withColumn("lot", lot).where(F.col("lot") < F.col("share") * float(1 << 30))  # a row a language
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.col("lot") < F.col("share") * float(1 << 40))  # a row a language
+    single = drawn.groupBy("lang", "lot").agg(F.min("text").alias("text"))  # about 1.25 * per_class + 25 a language
+    kept = single.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("lot"))).where(F.col("place") <= per_class)
 
     def pack(batches):
         for batch in batches:
@@ -131,17 +135,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
                 bits = [np.packbits(presence([t])).tobytes() for t in few.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([few.column(1), few.column(2), pa.array(bits, pa.binary())], names=["lang", "lot", "bits"])
 
-    found = drawn.select("text", "lang", "lot").mapInArrow(pack, "lang string, lot bigint, bits binary").collect()
-    found = sorted(found, key=lambda r: (r["lot"], bytes(r["bits"])))
-    kept, taken = [], dict.fromkeys(sizes, 0)
-    for r in found:
-        if taken[r["lang"]] < per_class:
-            taken[r["lang"]] += 1
-            kept.append(r)
-    if not kept:
+    found = kept.select("text", "lang", "lot").mapInArrow(pack, "lang string, lot bigint, bits binary").collect()
+    found = sorted(found, key=lambda r: (r["lot"], r["lang"]))
+    if not found:
         return None
-    seen = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in kept])
-    return fit(seen, [r["lang"] for r in kept], landmarks)
+    seen = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in found])
+    return fit(seen, [r["lang"] for r in found], landmarks)
 
 
 def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +151,7 @@ def predict(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     def run(batches):
         forget_kept()
         known = shared()
-        for batch in batches:
+        for batch in (few for batch in batches for few in slices(batch, 1)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             use = [k for k, t in enumerate(texts) if known is not None and LETTER.search(t)]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, cut, table
 
+LEVEL = 1024  # copies of a row written out together
 DIRECT = 64.0  # rates up to this sum their probabilities from zero copies on
 SPREAD = 12.0  # standard deviations about the mean that hold every uniform number
 
@@ -62,11 +63,25 @@ def cumulative(rate: Column) -> Column:
     """
     last = F.when(rate > DIRECT, F.ceil(rate + SPREAD * F.sqrt(rate)).cast("int")).otherwise(int(DIRECT + SPREAD * DIRECT**0.5))
     first = F.when(rate > DIRECT, 1.0).otherwise(F.exp(-rate))
+    begin = least_count(rate)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt((last - begin).cast("double"))).cast("int"))  # counts of a block: each append copies no more than a block, or the list of blocks
+
+    def block(s: Column, k0: Column) -> Column:
+        return F.aggregate(
+            F.sequence(k0, F.least(k0 + width - 1, last)),
+            F.struct(s["p"].alias("p"), s["t"].alias("t"), F.array().cast("array<double>").alias("c")),
+            lambda q, k: F.struct((q["p"] * rate / k).alias("p"), (q["t"] + q["p"] * rate / k).alias("t"), F.concat(q["c"], F.array(q["t"] + q["p"] * rate / k)).alias("c")),
+        )
+
+    def appended(s: Column, k0: Column) -> Column:
+        # a lambda's variable stands for the block, which is evaluated once
+        return F.element_at(F.transform(F.array(block(s, k0)), lambda b: F.struct(b["p"].alias("p"), b["t"].alias("t"), F.concat(s["c"], F.array(b["c"])).alias("c"))), 1)
+
     every = F.aggregate(
-        F.sequence(least_count(rate) + 1, last),
-        F.struct(first.alias("p"), F.array(first).alias("c")),
-        lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c")),
-        lambda s: F.transform(s["c"], lambda c: c / F.when(rate > DIRECT, F.element_at(s["c"], -1)).otherwise(1.0)),
+        F.sequence(begin + 1, last, width),
+        F.struct(first.alias("p"), first.alias("t"), F.array(F.array(first)).alias("c")),
+        appended,
+        lambda s: F.transform(F.flatten(s["c"]), lambda c: c / F.when(rate > DIRECT, s["t"]).otherwise(1.0)),
     )
     return F.filter(every, lambda c: c < 1 - 2.0**-53)
 
@@ -114,7 +129,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     rated = src.join(bounded_broadcast(table_, table_.count(), 10_000), "__mix_source")
     row = F.concat_ws(":", "__mix_key", F.col("__mix_nth").cast("string"))
     counted = rated.withColumn("__mix_n", F.col("__mix_from") + poisson(uniform(row, seed), F.col("__mix_cdf"))).where("__mix_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+    level = counted.withColumn("__mix_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("__mix_n") - 1) / LEVEL).cast("int"))))
+    copies = level.withColumn("copy", F.explode(F.sequence(F.col("__mix_k") * LEVEL, F.least(F.col("__mix_k") * LEVEL + LEVEL, F.col("__mix_n")) - 1)))
     keyed = copies.withColumn("shuffle_key", _long(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), row, F.col("copy").cast("string"))), 15))
     return keyed.select(*own, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

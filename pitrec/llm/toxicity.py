@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounded_broadcast, cut, forget_kept, share, slices, table
+from .common import bounded_broadcast, cut, forget_kept, share, slices, table
 
 WORDS, STEMS, DIM, WIDTHS, FILTERS, PAD = 1 << 17, 1 << 15, 12, (1, 2, 3), 8, 3
 STEM = (4, 6)
@@ -180,13 +180,26 @@ def started(coded: list[tuple], labels: list[int], size: int, part: int, rng) ->
     return e, (rows / (rows + RARE)).astype(np.float32)[:, None]
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, seed: int = 7, least_steps: int = 500) -> TextCnn:
-    epochs = max(epochs, -(-least_steps * batch // len(texts)))
-    rng, tok = np.random.default_rng(seed), Tokenizer()
-    coded = []
-    for t in texts:
-        word, stem, _, end = tok([t])
-        coded.append((word, stem, int(end[0])))
+def coded_text(tokenizer: Tokenizer, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(word ids, stem ids, words) of a text, padded."""
+    word, stem, _, end = tokenizer([text])
+    return word, stem, int(end[0])
+
+
+def padded(words: bytes, stems: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """The same from the ids as they travel."""
+    word, stem = np.frombuffer(words, np.uint32).astype(np.int64), np.frombuffer(stems, np.uint16).astype(np.int64).reshape(-1, len(STEM))
+    return np.r_[word, np.zeros(PAD, np.int64)], np.r_[stem, np.zeros((PAD, len(STEM)), np.int64)], len(word)
+
+
+def fit(texts: list[str], labels: list[int], **settings) -> TextCnn:
+    tok = Tokenizer()
+    return fit_coded([coded_text(tok, t) for t in texts], labels, **settings)
+
+
+def fit_coded(coded: list[tuple], labels: list[int], epochs: int = 8, batch: int = 32, seed: int = 7, least_steps: int = 500) -> TextCnn:
+    epochs = max(epochs, -(-least_steps * batch // len(coded)))
+    rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.float32)
     (words, word_steps), (stems, stem_steps) = started(coded, labels, WORDS, 0, rng), started(coded, labels, STEMS, 1, rng)
     model = TextCnn(words, stems, [rng.normal(0, 0.15, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros((len(WIDTHS), FILTERS), np.float32), np.r_[np.full(len(WIDTHS) * FILTERS, 0.3), -0.5].astype(np.float32))
@@ -197,7 +210,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, s
     sums = [np.full((WORDS, 1), 1e-3, np.float32), np.full((STEMS, 1), 1e-3, np.float32)]
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(coded))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             step += 1
@@ -218,9 +231,30 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, s
     return model
 
 
+def encoded(texts: DataFrame, most_words: int) -> DataFrame:
+    """(key, y, lot, stratum, code): word and stem numbers of one text a key, that of the lowest hash among those that are short enough."""
+
+    def run(batches):
+        forget_kept()
+        tok = Tokenizer()
+        for batch in (few for batch in batches for few in slices(batch, 4)):
+            keep, words, stems = [], [], []
+            for k, text in enumerate(batch.column(4).to_pylist()):
+                word, stem, n = coded_text(tok, text or "")
+                if n <= most_words:
+                    keep.append(k)
+                    words.append(word[:n].astype(np.uint32).tobytes())
+                    stems.append(stem[:n].astype(np.uint16).tobytes())
+            own = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(words, pa.binary()), pa.array(stems, pa.binary())], names=["key", "y", "lot", "stratum", "words", "stems"])
+
+    src = texts.select("key", "y", "lot", "stratum", "text")
+    codes = src.mapInArrow(run, f"key {dict(src.dtypes)['key']}, y int, lot bigint, stratum string, words binary, stems binary")
+    return codes.groupBy("key", "y", "lot", "stratum").agg(F.min(F.struct(F.xxhash64("words", "stems").alias("h"), "words", "stems")).alias("code"))
+
+
 def binned(texts: DataFrame, labels: DataFrame, model: TextCnn, n_labels: int) -> DataFrame:
     """(lang, bin, n, hits, low, high): counts of all rows of `texts` with a label, by language and bin of the logit; a row a bin that is not empty."""
-    bounded_batches(texts.sparkSession)
     shared = share(texts.sparkSession, model)
 
     def run(batches):
@@ -261,12 +295,15 @@ def level(sizes: list[int], total: int) -> int:
     return max(1, *sizes)
 
 
-def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 2500, min_positives: int = 20) -> TextCnn | None:
-    """Learns from the labelled rows given; one part in five is kept for the thresholds."""
+def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", per_class: int = 2500, min_positives: int = 20, most_words: int = 4096) -> TextCnn | None:
+    """Learns from the labelled rows given; one part in five is kept for the thresholds.
+
+    What reaches the driver are word numbers, 8 bytes each, of one text a sampled id. Texts of more than `most_words` words are not learned from.
+    """
     rows = labels.select(F.col(key_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     rows = rows.withColumn("lot", F.pmod(F.xxhash64("key", F.lit("toxicity")), F.lit(1 << 30))).withColumn("part", F.expr("lot % 5 = 0"))
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    named = rows.join(texts.select("key", "lang"), "key")
+    named = rows.join(texts.select("key", "lang"), "key").distinct()
     sizes = named.groupBy("part", "lang", "y").agg(F.count("*").alias("n"))
     total = {(r["part"], r["y"]): r["n"] for r in sizes.groupBy("part", "y").agg(F.sum("n").alias("n")).collect()}
     if not total.get((False, 0)) or not total.get((False, 1)):
@@ -280,8 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     drawn = named.where("not part").withColumn("stratum", stratum).join(F.broadcast(shares), ["stratum", "y"])  # a row a stratum and label
     drawn = drawn.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
     chosen = drawn.groupBy("key", "y", "lot").agg(F.min("stratum").alias("stratum"))  # bounded by the parameters
-    found = texts.join(F.broadcast(chosen), "key").collect()
-    found = sorted(found, key=lambda r: (r["lot"], r["key"], r["text"] or ""))
+    found = sorted(encoded(texts.join(F.broadcast(chosen), "key"), most_words).collect(), key=lambda r: (r["lot"], r["key"]))
     learn, taken = [], {}
     for c in (0, 1):
         for r in found:
@@ -290,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
                 learn.append(r)
     if len({r["y"] for r in learn}) < 2:
         return None
-    model = fit([r["text"] or "" for r in learn], [r["y"] for r in learn])
+    model = fit_coded([padded(r["code"]["words"], r["code"]["stems"]) for r in learn], [r["y"] for r in learn])
     held = texts.where("key is not null")
     if dict(texts.dtypes)["key"] == dict(rows.dtypes)["key"]:  # then equal keys have equal hashes
         held = held.where("pmod(xxhash64(key, 'toxicity'), 1073741824) % 5 = 0")
@@ -314,7 +350,6 @@ def classify(docs: DataFrame, model: TextCnn | None, text_col: str = "text", lan
     """
     added = ["score", "predicted", "threshold", "rejected"]
     own = [c for c in docs.columns if c not in added]
-    bounded_batches(docs.sparkSession)
     as_it_is = text_col in own and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
     at_text = own.index(text_col) if as_it_is else len(own)
     src = docs.select(*own, *([] if as_it_is else [F.col(text_col).cast("string").alias("__text")]), F.col(lang_col).cast("string").alias("__lang"))

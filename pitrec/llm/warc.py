@@ -101,9 +101,10 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 class ArchiveWriter:
     """Collects records; `close` gives the archive's bytes."""
 
-    def __init__(self, level: int = 6, dictionary_bytes: int = 16_384, sample: int = 64):
-        self.level, self.dictionary_bytes, self.sample = level, dictionary_bytes, sample
-        self.waiting: list[bytes] = []
+    def __init__(self, level: int = 6, dictionary_bytes: int = 16_384, sample: int = 64, sample_bytes: int = 4 << 20):
+        self.level, self.dictionary_bytes, self.sample, self.sample_bytes = level, dictionary_bytes, sample, sample_bytes
+        self.waiting: list[bytes] = []  # `sample` records, or `sample_bytes` and the one that goes beyond
+        self.held = 0
         self.frames: list[bytes] | None = None
         self.size = 0
 
@@ -132,7 +133,8 @@ class ArchiveWriter:
             self._frame(record)
             return
         self.waiting.append(record)
-        if len(self.waiting) >= self.sample:
+        self.held += len(record)
+        if len(self.waiting) >= self.sample or self.held >= self.sample_bytes:
             self._start()
 
     def close(self) -> bytes:
