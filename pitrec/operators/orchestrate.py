@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitrec.sources.io import exists, replace_table
+from pitrec.sources import versions
 
 from . import candidates, metrics, retrieval, snapshots, tuning
 
@@ -15,14 +15,14 @@ from . import candidates, metrics, retrieval, snapshots, tuning
 def freeze(spark: SparkSession, path: str, cutoffs: list[int], weights: dict[str, float]) -> None:
     """Stores weights with the digest that binds them to the cutoffs they were tuned on."""
     row = (json.dumps(weights, sort_keys=True), cutoffs, candidates.weight_fingerprint(cutoffs, weights))
-    replace_table(spark.createDataFrame([row], "weights string, cutoffs array<long>, fingerprint string"), path)
+    versions.write(spark.createDataFrame([row], "weights string, cutoffs array<long>, fingerprint string"), path)
 
 
 def frozen(spark: SparkSession, path: str, cutoffs: list[int]) -> dict[str, float]:
     """The stored weights; raises if there are none or if they belong to other cutoffs."""
-    if not exists(spark, path):
+    if versions.current(spark, path) is None:
         raise FileNotFoundError(f"{path}: build the first snapshot before the others")
-    row = spark.read.parquet(path).first()
+    row = versions.read(spark, path).first()
     weights = json.loads(row["weights"])
     candidates.check_fingerprint(row["fingerprint"], cutoffs, weights)
     return weights
@@ -68,6 +68,6 @@ def build_all(rows: DataFrame, items: DataFrame, folder: str, grid: list[dict[st
             best = max(recalls, key=lambda x: (x[1], -x[0]))[0]
             freeze(spark, f"{folder}/weights", cuts, grid[best])
         weights = frozen(spark, f"{folder}/weights", cuts)
-        replace_table(build(now, items, weights, k).withColumn("snapshot", F.lit(name)), f"{folder}/{name}")
-        out[name] = spark.read.parquet(f"{folder}/{name}")
+        versions.write(build(now, items, weights, k).withColumn("snapshot", F.lit(name)), f"{folder}/{name}")
+        out[name] = versions.read(spark, f"{folder}/{name}")
     return out

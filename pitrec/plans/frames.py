@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitrec.operators import candidates, retrieval, snapshots
-from pitrec.sources import adapters
+from pitrec.sources import adapters, kept
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean interactions, written once a session for all queries that read them."""
+    return kept.stored(spark, "clean", {}, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], lambda: adapters.clean(spark, sf_dir))
 
 
 @dataclass
 class Snapshot:
     """The clean interactions cut at 80 % and 90 % of their times.
 
-    The rows and the union of the sources are kept for the queries that read them again; `release` frees them.
+    The rows and the union of the sources are tables of the session, built by the first query that asks for them.
     """
 
     spark: SparkSession
@@ -25,7 +30,7 @@ class Snapshot:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return adapters.clean(self.spark, self.sf_dir).persist()
+        return interactions(self.spark, self.sf_dir)
 
     @cached_property
     def cuts(self) -> list[int]:
@@ -84,9 +89,10 @@ class Snapshot:
         return {"popularity": self.popular(k), "recent": self.recent(k), "covisit": self.covisited(k)}
 
     def union(self, k: int) -> DataFrame:
-        """One row a candidate of any source; kept, as labels, features and metrics read it."""
+        """One row a candidate of any source; labels, features and metrics of many queries read it."""
         if k not in self._unions:
-            self._unions[k] = candidates.union_sources(self.sources(k)).persist()
+            inputs = [f"{self.sf_dir}/{t}.parquet" for t in ("lineitem", "orders")]
+            self._unions[k] = kept.stored(self.spark, "union", {"k": k}, inputs, lambda: candidates.union_sources(self.sources(k)))
         return self._unions[k]
 
     def candidates(self, k: int) -> DataFrame:
@@ -106,11 +112,6 @@ class Snapshot:
         return cands.join(support, "item_id", "left").select("user_id", "item_id", "label", logit.alias("logit"), logit.alias("score"), "n_history_events", F.coalesce("item_n_reviews", F.lit(0)).alias("item_n_reviews"))
 
 
-def release(spark: SparkSession) -> None:
-    """Frees what snapshots keep."""
-    spark.catalog.clearCache()
-
-
 # The views of a Snapshot.
 CUT = """
 cut AS (

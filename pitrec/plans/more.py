@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from pitrec.operators import calibration, candidates, features, filtering, metrics, models, orchestrate, profile, rankers, retrieval, snapshots, towers
 from pitrec.operators.rounding import r6
-from pitrec.sources import adapters, io
+from pitrec.sources import adapters, io, versions
 from pitrec.sources.adapters import clean, load, twin
 
 from .base import Register
 from .early import _nulled
-from .frames import AFTER_CUT, POPULARITY, SNAPSHOT, Snapshot, global_list
+from .frames import AFTER_CUT, POPULARITY, SNAPSHOT, Snapshot, global_list, interactions
 from .late import _RULE, _recall_sql, _rule_sql, lists_twin
 
 Q = Register()
@@ -61,9 +61,9 @@ def _(spark, d):
 def _(spark, d):
     """A table replaced by one that is made from it."""
     path = f"{io.scratch(spark)}/orders"
-    io.replace_table(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), path)
-    io.replace_table(spark.read.parquet(path).withColumn("o_totalprice", 2 * F.col("o_totalprice")), path)
-    return spark.read.parquet(path)
+    versions.write(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), path)
+    versions.write(versions.read(spark, path).withColumn("o_totalprice", 2 * F.col("o_totalprice")), path)
+    return versions.read(spark, path)
 
 
 @Q("io13_typed_csv", "SELECT o_orderkey, o_custkey, o_orderpriority, false AS refused FROM orders UNION ALL SELECT NULL, NULL, NULL, true")
@@ -209,7 +209,7 @@ def _built_sql(name: str) -> str:
 @Q("c9_frozen_snapshots", twin(" UNION ALL ".join(f"SELECT * FROM {_built_sql(n)}" for n in _AT), f"tuned AS {_TUNED}"))
 def _(spark, d):
     """Three snapshots' candidates with rule weights tuned on the first alone."""
-    rows = clean(spark, d).persist()
+    rows = interactions(spark, d)
     built = orchestrate.build_all(rows, adapters.catalog(spark, d), io.scratch(spark), _FROZEN_GRID, 30)
     return reduce(DataFrame.unionByName, built.values()).select("snapshot", "user_id", "item_id", "popularity_rank", "rule_rank", "rule_score", "label")
 
@@ -219,7 +219,7 @@ def _(spark, d):
 
 def _fitted(spark, d):
     """Towers of the first 80 %, with the epoch chosen on users of the window before it."""
-    rows = clean(spark, d).persist()
+    rows = interactions(spark, d)
     items, t = adapters.catalog(spark, d), snapshots.resolve_four_cutoffs(rows)
     first = orchestrate.Built(rows, t[0], t[1])
     sample = towers.gather(first.hist, items, first.pool, t[0])
@@ -294,7 +294,7 @@ def _(spark, d):
 @Q("m6_frozen_refits", twin(" UNION ALL ".join(f"SELECT '{n}' AS snapshot, true AS same_config, true AS in_range, (SELECT * FROM {_at_sql(n, 'SELECT count(*) FROM tusers')}) AS n_users" for n in _AT)))
 def _(spark, d):
     """Epochs chosen on the first snapshot and frozen with the configuration; the others are refitted with both, and each has its recall."""
-    rows = clean(spark, d).persist()
+    rows = interactions(spark, d)
     items, t = adapters.catalog(spark, d), snapshots.resolve_four_cutoffs(rows)
     epochs, prints, out = None, [], []
     for k, name in enumerate(_AT):
@@ -346,7 +346,7 @@ def _(spark, d):
 @Q("x1_factor_contract", twin(_CONTRACT.format("") + " WHERE user_id IN (SELECT user_id FROM hist WHERE label = 1)", SNAPSHOT))
 def _(spark, d):
     """Lists from factors by alternating least squares, a cheaper source than the towers, in the same contract; users without a positive have no factors."""
-    rows = clean(spark, d).persist()
+    rows = interactions(spark, d)
     t = snapshots.resolve_four_cutoffs(rows)
     now = orchestrate.Built(rows, t[1], t[2])
     users, vectors = models.factors(now.hist, rank=8, iterations=3)
@@ -382,7 +382,7 @@ def _parts(now, table: DataFrame):
 
 def _ranked(spark, d, kind: str, events: bool = False, max_rows: int = 100_000) -> DataFrame:
     """A ranker of one kind fitted on 80 % of the users; recall of all held users, with its losses falling or not."""
-    rows, items = clean(spark, d).persist(), adapters.catalog(spark, d)
+    rows, items = interactions(spark, d), adapters.catalog(spark, d)
     t = snapshots.resolve_four_cutoffs(rows)
     now, table = _table(rows, items, t[1], t[2], events=events)
     train, held, truth = _parts(now, table)
@@ -412,7 +412,7 @@ def _(spark, d):
 @Q("m9_ranker_grid", "SELECT * FROM (VALUES ('mlp', 0.003::DOUBLE), ('mlp', 0.01), ('cross', 0.003), ('cross', 0.01)) t(kind, rate), (SELECT true AS epochs_in_range, true AS recall_in_range)")
 def _(spark, d):
     """Two kinds by two rates with the epoch that the held users' recall at 100 chooses."""
-    rows, items = clean(spark, d).persist(), adapters.catalog(spark, d)
+    rows, items = interactions(spark, d), adapters.catalog(spark, d)
     t = snapshots.resolve_four_cutoffs(rows)
     table = rankers.select(*_parts(*_table(rows, items, t[1], t[2])), _FEATURES, epochs=3)[0]
     return spark.createDataFrame([(kind, rate, 1 <= n <= 3, 0.0 < recall <= 1.0) for kind, rate, n, recall in table], "kind string, rate double, epochs_in_range boolean, recall_in_range boolean")
@@ -426,7 +426,7 @@ FROM (SELECT user_id, item_id FROM long_pop UNION SELECT user_id, item_id FROM l
 @Q("m10_ranker_dump", twin("SELECT * FROM " + _at_sql("test", _DUMP, global_list("long_pop", POPULARITY, 50) + "," + global_list("long_recent", _RECENT, 50))))
 def _(spark, d):
     """Selection on held users of one snapshot, a refit on all of them, one evaluation on the next, and its dump."""
-    rows, items = clean(spark, d).persist(), adapters.catalog(spark, d)
+    rows, items = interactions(spark, d), adapters.catalog(spark, d)
     t = snapshots.resolve_four_cutoffs(rows)
     now, table = _table(rows, items, t[1], t[2])
     _, (kind, rate, epochs, _), pos_weight, scale = rankers.select(*_parts(now, table), _FEATURES, epochs=3)

@@ -99,7 +99,7 @@ def concat_shards(shards: list[DataFrame], ids: DataFrame | None = None, key: st
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: str = "sample") -> DataFrame:
-    """Exactly n rows (or all), the same for a seed: those of the lowest hash. Planned as a top-n without a full sort."""
+    """Exactly n rows (or all), the same for a seed: those of the lowest hash. Planned as a top-n without a full sort; one task holds n rows at the end."""
     lot = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     return df.withColumn("lot", lot).orderBy("lot", key).limit(n).drop("lot")
 
@@ -115,17 +115,6 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Puts a new table in the place of an old one, which may be what it is made from; readers never see a part of it."""
-    spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.new-{uuid.uuid4()}"
-    df.write.parquet(aside)
-    fs, target = store(spark, path)
-    fs.delete(target, True)
-    if not fs.rename(store(spark, aside)[1], target):
-        raise OSError(f"{aside} could not take the place of {path}")
-
-
 def npz_blobs(vectors: DataFrame, key: str = "item_id", vector: str = "embedding", rows: int = 100_000) -> DataFrame:
     """(name, content): NPZ archives with `ids` and `vectors` (32-bit), of about `rows` vectors each."""
     src = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
