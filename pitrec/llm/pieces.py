@@ -11,8 +11,9 @@ and memory does not grow with a text but by its ids.
 The forward pass goes stretch by stretch: between two characters that no piece
 holds side by side the scan starts anew, so its back pointers inside a stretch do
 not depend on what is before. A bounded memo has those of the stretches seen
-lately, which saves their scan and nothing else; ids are committed by meetings of
-paths alone, looked for every `step` characters.
+lately, with the ids of their own path, which saves their scan and nothing else: ids
+are committed by meetings of paths alone, looked for every LOOK stretches, and every
+`step` characters inside long ones.
 
 Unknown characters become byte pieces. Null and empty texts encode to no ids and
 decode to "". Rows repeat as given; extra columns are ignored.
@@ -35,6 +36,7 @@ from .common import kept_in_worker, slices, table
 from .prefix_bpe import START, Memo, PrefixRule
 
 MEMO = 250_000  # stretches in a generation of a worker's memo
+LOOK = 16  # stretches between two looks for a meeting
 SHORT = 48  # characters of stretches that the memo keeps
 BLOCK = 1 << 16  # characters of a text taken at a time
 SPACE = "▁"  # fixed value: the mark that stands for a space
@@ -57,55 +59,76 @@ class Scan:
 
     def __init__(self, rule: PrefixRule):
         self.rule, self.tail, self.last, self.back = rule, "", [START], [0]
+        self.at = 0  # characters before the tail
+        self.open = False  # True if the last entry of a window is this stretch's
 
     def __call__(self, more: str) -> tuple[array, array]:
-        """(last piece, its length) of each prefix that ends in `more`."""
+        """(last piece, its start from the begin of the stretch) of each prefix that ends in `more`."""
         text, known = self.tail + more, len(self.last)
         self.rule.scan(text, 0, self.last, self.back, len(text))
-        out = array("i", self.last[known:]), array("i", [end - k for end, k in enumerate(self.back[known:], known)])
+        out = array("i", self.last[known:]), array("i", [self.at + k for k in self.back[known:]])
         drop = max(0, len(text) - self.rule.longest)  # no piece to come starts before
         self.tail, self.last, self.back = text[drop:], self.last[drop:], [k - drop for k in self.back[drop:]]
+        self.at += drop
         return out
 
 
 class Window:
-    """Back pointers from the last committed boundary on: last piece and its length at each position."""
+    """What is scanned and not committed: entries (ids, last pieces, where they start) of stretches, in order.
 
-    def __init__(self, rule: PrefixRule, code: Codes):
-        self.rule, self.code, self.n_commits = rule, code, 0
-        self.last, self.size = array("i", [START]), array("i", [0])
+    An entry's back pointers lead to its begin; of the first one, `given` bytes of ids are committed already.
+    """
 
-    def add(self, last: array, size: array) -> bytes:
-        self.last.extend(last)
-        self.size.extend(size)
-        return self.commit()
+    def __init__(self, longest: int, ids):
+        self.longest, self.ids, self.n_commits = longest, ids, 0
+        self.entries: list[tuple[bytes, array, array]] = []
+        self.given = 0
 
-    def commit(self, final: bool = False) -> bytes:
-        """The ids up to the last boundary that all surviving paths share, or all of them at the end of the text; they are forgotten here.
+    def commit(self) -> bytes:
+        """The ids up to the last boundary that all surviving paths share; they are forgotten here.
 
         Pieces to come start at one of the last `longest` positions, so the surviving paths are those back from these.
         """
-        last, size = self.last, self.size
-        meet = at = end = len(size) - 1
-        path = []  # from the last position, latest first
-        while at:
-            path.append(at)
-            at -= size[at]
-        if not final:
-            there = {0, *path}
-            for other in range(max(0, end - self.rule.longest + 1), end):
+        entries, longest = self.entries, self.longest
+        first, n = len(entries), 0
+        while first and n < longest:
+            first -= 1
+            n += len(entries[first][2])
+        low, meet, given = n - longest + 1, 0, self.given
+        if low > 0:  # paths end to end run through the end of this entry, those of its own last positions join them
+            whole, last, back = entries[first]
+            meet = at = len(back)
+            there = {0}
+            while at:
+                there.add(at)
+                at = back[at - 1]
+            for other in range(low, len(back)):
                 while other not in there:
-                    other -= size[other]
+                    other = back[other - 1]
                 if other < meet:
                     meet = other
-            if not meet:
-                return b""
-            self.n_commits += 1
-        code = self.code
-        out = b"".join([code[last[at]] for at in reversed(path) if at <= meet])
-        del last[:meet], size[:meet]
+        out = b"".join([e[0] for e in entries[:first]])
+        if first:
+            out, given = out[given:], 0
+        if meet == 0:
+            del entries[:first]
+        elif meet == len(back):
+            out += whole[given:]
+            del entries[: first + 1]
+            given = 0
+        else:  # inside the entry, of which the rest stays
+            part = self.ids(last, back, meet)
+            out += part[given:]
+            del entries[:first]
+            given = max(given, len(part))
+        self.given = given
+        self.n_commits += bool(out)
         return out
 
+    def rest(self) -> bytes:
+        """All of it, at the end of the text."""
+        return b"".join([e[0] for e in self.entries])[self.given :]
+
 
 class Pieces:
     """A SentencePiece BPE model with identity normalisation, a dummy leading space and byte fallback."""
@@ -149,43 +172,82 @@ class Pieces:
         ids = [known] if known is not None else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def scanned(self, part: str) -> tuple[array, array]:
-        """(last piece, its length) of each prefix of a stretch."""
-        return Scan(self.rule)(part)
+    def path_ids(self, last, back, end: int) -> bytes:
+        """The ids of the path from a position back to the begin of its entry."""
+        path = []
+        while end:
+            path.append(last[end - 1])
+            end = back[end - 1]
+        path.reverse()
+        return b"".join(map(self.code.__getitem__, path))
+
+    def scanned(self, part: str) -> tuple[bytes, array, array]:
+        """An entry of a window for a whole stretch."""
+        last, back = [START], [0]
+        self.rule.scan(part, 0, last, back, len(part))
+        last, back = array("i", last[1:]), array("i", back[1:])
+        return self.path_ids(last, back, len(back)), last, back
+
+    def _long(self, scan: Scan, text: str, window: Window) -> Iterator[bytes]:
+        """Goes on in a long stretch, whose positions that are not committed are the window's last entry."""
+        for at in range(0, len(text), self.step):
+            last, back = scan(text[at : at + self.step])
+            if scan.open and window.entries:
+                _, before, starts = window.entries.pop()
+                last, back = before + last, starts + array("i", [k - scan.base for k in back])
+            else:
+                scan.base = scan.at + len(scan.tail) - len(last)
+                back = array("i", [k - scan.base for k in back])
+            scan.open = True
+            window.entries.append((self.path_ids(last, back, len(back)), last, back))
+            yield window.commit()
+            if len(window.entries) == 1 and window.given:  # the entry begins anew at the boundary that was committed
+                (_, last, back), path = window.entries[0], []
+                end = len(back)
+                while end:
+                    path.append(end)
+                    end = back[end - 1]
+                left = window.given
+                while left > 0:
+                    end = path.pop()
+                    left -= len(self.code[last[end - 1]])
+                last, back = last[end:], array("i", [k - end for k in back[end:]])
+                window.entries[0], window.given = (self.path_ids(last, back, len(back)), last, back), 0
+                scan.base += end
 
     def commits(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """The ids of a text that comes in blocks, given out as soon as all surviving paths agree on them."""
-        held, scan, window = "", None, Window(self.rule, self.code)
-        memo, step = self._memo, self.step
+        held, scan, window, entry_of = "", None, Window(self.rule.longest, self.path_ids), self._memo.__getitem__
         for block in chain(blocks, (None,)):
             text = held + (block or "")
             if scan is not None:  # a long stretch is open
                 goes = self.stretch.match(scan.tail[-1] + text).end() - 1
-                for at in range(0, goes, step):
-                    yield window.add(*scan(text[at : min(goes, at + step)]))
+                yield from self._long(scan, text[:goes], window)
                 if goes == len(text) and block is not None:
                     continue
                 text, scan = text[goes:], None
             parts = self.stretch.findall(text)
             held = parts.pop() if parts and block is not None else ""  # the last stretch may go on
-            for part in parts:
-                if len(part) <= SHORT:
-                    last, size = memo[part]
-                    window.last.extend(last)
-                    window.size.extend(size)
-                    if len(window.last) > step:
-                        yield window.commit()
+            at = 0
+            while at < len(parts):
+                some = parts[at : at + LOOK]
+                at += LOOK
+                if len(max(some, key=len)) <= SHORT:
+                    window.entries += map(entry_of, some)
                 else:
-                    one = Scan(self.rule)
-                    for at in range(0, len(part), step):
-                        yield window.add(*one(part[at : at + step]))
+                    for part in some:
+                        if len(part) <= SHORT:
+                            window.entries.append(entry_of(part))
+                        else:
+                            yield from self._long(Scan(self.rule), part, window)
+                if len(some) == LOOK:
+                    yield window.commit()
             if len(held) > SHORT:
                 scan = Scan(self.rule)
-                for at in range(0, len(held), step):
-                    yield window.add(*scan(held[at : at + step]))
+                yield from self._long(scan, held, window)
                 held = ""
         self.n_commits += window.n_commits
-        yield window.commit(final=True)
+        yield window.rest()
 
     def encode_array(self, text: str | None) -> np.ndarray:
         if not text:
