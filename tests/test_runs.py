@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitrec.functions.expressions import DAY_MS
-from pitrec.operators import digest, features, gates, itemknn, metrics, retrieval, segments, snapshots, tuning
+from pitrec.operators import anchor, digest, features, gates, itemknn, metrics, models, retrieval, segments, snapshots, tuning
 from pitrec.sources import versions
 
 ROWS = "user_id long, item_id long, ts long, rating int, label int, verified boolean, helpful long"
@@ -157,3 +157,50 @@ def test_calibrations_are_bound_to_their_dump(spark, tmp_path):
     number = gates.write_dump(dump, table)
     versions.write(dump.union(dump.limit(1)), f"{table}/rows")  # rows without a meta row are not read
     assert gates.read_dump(spark, table)[0].count() == 3 and versions.entries(spark, f"{table}/rows")[-1][0] == number + 1
+
+
+def test_dumps_are_found_scored_and_compared(spark, tmp_path):
+    folder = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        anchor.read_legs(spark, folder)
+    lists = lambda *rows: spark.createDataFrame(list(rows), "user_id long, item_id long, rank int")
+    anchor.write_leg(lists((1, 7, 1), (1, 5, 2), (2, 6, 1), (2, 8, 2)), folder, "a")  # 7 is user 1's validation item
+    anchor.write_leg(lists((1, 9, 1), (2, 8, 1), (2, 6, 2)), folder, "b")
+    (tmp_path / "leg=half").mkdir()  # a dump whose writer died
+    assert anchor.discover(spark, folder) == ["a", "b"]
+    with pytest.raises(FileNotFoundError, match="half"):
+        anchor.read_legs(spark, folder, ["a", "half"])
+    val, tests = (spark.createDataFrame(x, "user_id long, item_id long") for x in ([(1, 7)], [(1, 5), (2, 6), (3, 1)]))
+    table = anchor.comparison(anchor.score(anchor.read_legs(spark, folder), val, tests, [1, 2]), ["b", "a", "c"])
+    got = {(r["metric"], r["k"]): (r["a"], r["b"], r["c"]) for r in table.collect()}
+    assert table.columns == ["metric", "k", "b", "a", "c"]
+    assert got["recall", 1] == (round(2 / 3, 6), 0.0, None) and got["recall", 2] == (round(2 / 3, 6), round(1 / 3, 6), None)
+    assert got["ndcg", 2] == (round(2 / 3, 6), round(1 / math.log2(3) / 3, 6), None)
+
+
+def test_text_models_find_a_planted_signal(spark):
+    """The three learned text models beat the majority class by far on words that tell the classes apart."""
+    rng = random.Random(6)
+    common = [f"word{k}" for k in range(30)]
+    mark = {0: ["plain", "usual"], 1: ["splendid", "brilliant"], 2: ["dreadful", "broken"]}
+    rows = []
+    for k in range(400):
+        y = rng.choices([0, 1, 2], [0.7, 0.2, 0.1])[0]
+        rows.append((k, " ".join([rng.choice(common) for _ in range(8)] + [rng.choice(mark[y])]), y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    train, held = docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0")
+
+    def f1(df):
+        pairs = [(int(r["rating"]), int(round(r["pred"]))) for r in df.collect()]
+        assert len(pairs) == 100
+        score = lambda c: 2 * sum(a == b == c for a, b in pairs) / max(1, sum((a == c) + (b == c) for a, b in pairs))
+        return sum(map(score, (0, 1, 2))) / 3
+
+    assert f1(models.text_classifier(train, held, "y")) > 0.9
+    assert f1(models.text_network(train, held, "y", hidden=6, iterations=40)) > 0.9
+    majority = held.select("doc_id", F.col("y").alias("rating"), F.lit(0.0).alias("pred"))
+    assert f1(majority) < 0.35
+    near = models.text_regression(train, held, "y").agg(F.corr("rating", "pred")).first()[0]
+    assert near > 0.8
+    with pytest.raises(Exception):
+        models.text_network(train.limit(0), held, "y")
