@@ -11,7 +11,9 @@ two cells and salts over as many tasks as its comparisons ask for, so that one
 large cell is no task's alone.
 
 Null and empty texts get fingerprint zero and link like any other. An empty
-table gives no rows. Repeated rows stay repeated. Extra columns are ignored.
+table gives no rows. Repeated rows stay repeated. Null ids never name a component:
+one that has no id at all gets null. A very long text is taken whole, in one task.
+Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -22,8 +22,10 @@ ranges of its windows, by the bytes that all windows of a range share, and short
 to what the range needs, which makes those inside a common passage alike; from
 `exact_from` places on, each window by itself under its digest. The limits
 rise with the corpus, which keeps the list of such k-grams below 2 MB.
-Null texts count as empty. Repeated rows are copies of each other. An empty
-table gives no rows; extra columns are kept by `remove_repeats`.
+Null texts count as empty. Repeated rows are copies of each other, and so are rows
+of one text whatever their ids; rows without an id lose what their text loses. A
+very long text is taken whole, in one task. An empty table gives no rows; extra
+columns are kept by `remove_repeats`.
 """
 
 from __future__ import annotations
