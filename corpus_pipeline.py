@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents. Rows that a stage keeps are passed on whole; ids may be null or repeat.
 Null and empty texts pass the first stage, are near copies of each other in the
-second, and empty in the third. An empty table gives no rows.
+second, and empty in the third. Very long texts go through each stage whole. Of
+near copies that tie, equal ids included, the contents' hash decides which stays.
+Columns beside those of documents go in the first stage, also where their names
+clash with a stage's own. An empty table gives no rows.
 """
 
 from __future__ import annotations
