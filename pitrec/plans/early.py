@@ -563,7 +563,12 @@ def _(spark, d):
     return snapshots.ground_truth(rows, _bounds(spark, rows)).select("snapshot", "user_id", "item_id", "n_history_events", "item_in_eligible_pool")
 
 
-@Q("t11_label_checks", "SELECT 0::BIGINT AS first_not_in_all, 0::BIGINT AS repeated_pairs, 0::BIGINT AS users_differ")
+_FIRST_LABELS = "(SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS rn FROM win WHERE label = 1) WHERE rn = 1)"
+
+
+@Q("t11_label_checks", twin(f"""SELECT (SELECT count(*) FROM {_FIRST_LABELS} f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.user_id = f.user_id AND t.item_id = f.item_id)) AS first_not_in_all,
+  (SELECT count(*) FROM (SELECT user_id, item_id FROM truth GROUP BY 1, 2 HAVING count(*) > 1)) AS repeated_pairs,
+  (SELECT count(*) FROM (SELECT DISTINCT user_id FROM truth) a FULL JOIN (SELECT DISTINCT user_id FROM {_FIRST_LABELS}) b ON a.user_id = b.user_id WHERE a.user_id IS NULL OR b.user_id IS NULL) AS users_differ""", SNAPSHOT))
 def _(spark, d):
     rows = clean(spark, d)
     b = _bounds(spark, rows)

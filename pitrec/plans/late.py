@@ -373,7 +373,8 @@ def _(spark, d):
     return candidates.relabel(candidates.attach_labels(s.union(100), first), s.truth)
 
 
-@Q("c15_label_gate", "SELECT 0::BIGINT AS not_in_truth, 0::BIGINT AS not_labelled")
+@Q("c15_label_gate", lists_twin("""SELECT count(*) FILTER (label = 1 AND NOT known) AS not_in_truth, count(*) FILTER (label = 0 AND known) AS not_labelled FROM (
+  SELECT l.label, EXISTS (SELECT 1 FROM targets t WHERE t.user_id = l.user_id AND t.item_id = l.item_id) AS known FROM labelled l)""", 50))
 def _(spark, d):
     s = Snapshot(spark, d)
     return candidates.label_gate(s.candidates(50), s.truth)
