@@ -10,7 +10,8 @@ and memory does not grow with a text but by its ids.
 
 The forward pass goes stretch by stretch: between two characters that no piece
 holds side by side the scan starts anew, so its back pointers inside a stretch do
-not depend on what is before. A bounded memo has those of the stretches seen
+not depend on what is before; an automaton names the pieces that end at each of its
+places. A bounded memo has those of the stretches seen
 lately, with the ids of their own path, which saves their scan and nothing else: ids
 are committed by meetings of paths alone, looked for every LOOK stretches, and every
 `step` characters inside long ones.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -81,7 +82,7 @@ class Window:
 
     def __init__(self, longest: int, ids):
         self.longest, self.ids, self.n_commits = longest, ids, 0
-        self.entries: list[tuple[bytes, array, array]] = []
+        self.entries: list[tuple[bytes, Sequence[int], Sequence[int]]] = []
         self.given = 0
 
     def commit(self) -> bytes:
@@ -161,11 +162,25 @@ class Pieces:
         parts += [f"{SPACE}*[^{SPACE}{alone}{apart}]+"] + ([f"{SPACE}*[{apart}]+"] if apart else []) + [f"{SPACE}+"]
         self.stretch = re.compile("|".join(parts))
         self.rule = PrefixRule({p: -s for p, s in score.items() if len(p) > 1})
+        self.ends = self._ends(score)
         self.step = 4 * self.rule.longest  # positions between two looks for a meeting
         self.code = Codes(self._code)
         self.n_commits = 0  # made by meetings of paths
         self._memo = Memo(self.scanned, MEMO, SHORT)
 
+    def _ends(self, pieces):
+        """An automaton that names the pieces which end at each place of a stretch, as (length, number), longest first."""
+        import ahocorasick
+
+        ends, rule = ahocorasick.Automaton(), self.rule
+        for piece in pieces:
+            if piece in rule.number:
+                ends.add_word(piece, (len(piece), rule.number[piece]))
+            elif len(piece) == 1:
+                ends.add_word(piece, (1, rule.unit(piece)))
+        ends.make_automaton()
+        return ends
+
     def _code(self, number: int) -> bytes:
         piece = self.rule.names[number]
         known = self.id.get(piece)
@@ -181,12 +196,21 @@ class Pieces:
         path.reverse()
         return b"".join(map(self.code.__getitem__, path))
 
-    def scanned(self, part: str) -> tuple[bytes, array, array]:
+    def scanned(self, part: str) -> tuple[bytes, tuple, tuple]:
         """An entry of a window for a whole stretch."""
-        last, back = [START], [0]
-        self.rule.scan(part, 0, last, back, len(part))
-        last, back = array("i", last[1:]), array("i", back[1:])
-        return self.path_ids(last, back, len(back)), last, back
+        last, back, fit, fits, end = [], [], self.rule.fit, self.rule.fits, 1
+        for at, (size, number) in self.ends.iter(part):
+            if at + 1 == end:
+                start = end - size
+                if start == 0 or (good := fit.get(last[start - 1] << 32 | number)) or good is None and fits(last[start - 1], number):
+                    last.append(number)
+                    back.append(start)
+                    end += 1
+        if end <= len(part):  # from the first character that is no piece on
+            last, back = [START, *last], [0, *back]
+            self.rule.scan(part, 0, last, back, len(part))
+            last, back = last[1:], back[1:]
+        return self.path_ids(last, back, len(back)), tuple(last), tuple(back)
 
     def _long(self, scan: Scan, text: str, window: Window) -> Iterator[bytes]:
         """Goes on in a long stretch, whose positions that are not committed are the window's last entry."""

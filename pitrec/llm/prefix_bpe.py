@@ -36,7 +36,7 @@ class PrefixRule:
     def __init__(self, rank: dict):
         self.rank = dict(rank)
         self._parts: dict = {}
-        self._fit: dict = {}
+        self.fit: dict = {}
         self.rank = {t: r for t, r in rank.items() if self.parts(t)}
         self.longest = max(map(len, self.rank), default=1)
         self.names = list(self.rank)
@@ -77,7 +77,7 @@ class PrefixRule:
         ranks the left pair merges first.
         """
         key = left << 32 | right
-        if (known := self._fit.get(key)) is not None:
+        if (known := self.fit.get(key)) is not None:
             return known
         rank, get, limit, equal, known = self.rank, self.rank.get, None, False, True
         left, right = self.names[left], self.names[right]
@@ -93,12 +93,12 @@ class PrefixRule:
                 limit, equal, right = of_right, True, self.parts(right)[0]
             else:
                 break
-        if len(self._fit) >= FITS:
-            self._fit.clear()
-        self._fit[key] = known
+        if len(self.fit) >= FITS:
+            self.fit.clear()
+        self.fit[key] = known
         return known
 
-    def _new(self, unit) -> int:
+    def unit(self, unit) -> int:
         self.names.append(unit)
         return self.number.setdefault(unit, len(self.names) - 1)
 
@@ -109,7 +109,7 @@ class PrefixRule:
         is scanned anew from a meeting, prefixes right behind it may have had tokens across it; no
         path to come uses these, and they are marked DEAD.
         """
-        number, sizes, fit, fits, few = self.number, self.sizes, self._fit, self.fits, (2, 1)
+        number, sizes, fit, fits, few = self.number, self.sizes, self.fit, self.fits, (2, 1)
         for end in range(base + len(last), stop + 1):
             for size in sizes.get(text[end - 3 : end], few) if end > 2 else few:
                 k = end - size
@@ -119,7 +119,7 @@ class PrefixRule:
                 if token is None:
                     if size > 1:
                         continue
-                    token = self._new(text[k:end])
+                    token = self.unit(text[k:end])
                 left = last[k - base]
                 if left < 0:
                     if left == START:
