@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from pitrec.operators import candidates, metrics, retrieval
 
 
@@ -49,3 +52,22 @@ def test_lists_of_several_sources_meet_without_a_shuffle_of_rows(spark):
     seen = spark.createDataFrame([(u, u) for u in range(20)], "user_id long, item_id long")
     union = candidates.union_sources({n: retrieval.top_unseen(users, scores(m), pool, seen, 5) for n, m in (("a", 3), ("b", 7))})
     assert "hashpartitioning(user_id" in plan(union) and "item_id" not in "".join(x.split("hashpartitioning(")[1].split(")")[0] for x in plan(union).split("\n") if "hashpartitioning(" in x and "user_id" in x.split("hashpartitioning(")[1].split(")")[0])
+
+
+@pytest.mark.parametrize("band, grid", [(65_536, 24), (3, 4)])
+def test_dense_lists_equal_the_whole_product(spark, monkeypatch, band, grid):
+    monkeypatch.setattr(retrieval, "BAND", band)
+    monkeypatch.setattr(retrieval, "GRID", grid)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties, some without a direction
+    p = rng.normal(size=(11, 4))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, embedding array<double>")
+    users = spark.createDataFrame([(u, x.tolist()) for u, x in enumerate(p)], "user_id long, profile array<double>")
+    seen = {(u, int(i)) for u in range(9) for i in rng.integers(0, 60, 3 * u)} | {(10, i) for i in range(57)}
+    pairs = spark.createDataFrame(list(seen), "user_id long, item_id long")
+    got = retrieval.dense_top_k(users, items, ids(spark, range(2, 70), "item_id"), pairs, 7, block=5, group=2)
+    with np.errstate(invalid="ignore"):
+        cos = np.round(p @ (v / np.linalg.norm(v, axis=1)[:, None]).T, 6)
+    want = {(u, i, n, cos[u, i] + 0.0) for u in range(11) for n, i in enumerate(sorted((i for i in range(2, 60) if v[i].any() and (u, i) not in seen), key=lambda i: (-cos[u, i], i))[:7], 1)}
+    assert {(r["user_id"], r["item_id"], r["rank"], r["score"] + 0.0) for r in got.collect()} == want
+    assert "LeftAnti" not in plan(got)
