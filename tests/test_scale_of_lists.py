@@ -1,9 +1,10 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
-from pitrec.operators import candidates, metrics, retrieval
+from pitrec.operators import candidates, itemknn, metrics, retrieval
 
 
 def plan(df):
@@ -71,3 +72,19 @@ def test_dense_lists_equal_the_whole_product(spark, monkeypatch, band, grid):
     want = {(u, i, n, cos[u, i] + 0.0) for u in range(11) for n, i in enumerate(sorted((i for i in range(2, 60) if v[i].any() and (u, i) not in seen), key=lambda i: (-cos[u, i], i))[:7], 1)}
     assert {(r["user_id"], r["item_id"], r["rank"], r["score"] + 0.0) for r in got.collect()} == want
     assert "LeftAnti" not in plan(got)
+
+
+@pytest.mark.parametrize("users, block", [(65_536, 256), (3, 4)])
+def test_item_neighbours_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch, users, block):
+    monkeypatch.setattr(itemknn, "USERS", users)
+    rng = random.Random(8)
+    held = {u: rng.sample(range(25), rng.randint(1, 12)) for u in range(14)}
+    rows = spark.createDataFrame([(u, i) for u, x in held.items() for i in x], "user_id long, item_id long")
+    got = itemknn.neighbours(rows, 4, block=block)
+    assert "hashpartitioning(a#" in plan(got) and not re.search(r"hashpartitioning\(\S+, b#", plan(got))
+    have = {i: {u for u in held if i in held[u]} for i in range(25)}
+    want = set()
+    for a in have:
+        cos = {b: round(len(have[a] & have[b]) / (len(have[a]) * len(have[b])) ** 0.5, 6) for b in have if b != a and have[a] & have[b]}
+        want |= {(a, b, cos[b], n) for n, b in enumerate(sorted(cos, key=lambda b: (-cos[b], b))[:4], 1)}
+    assert {tuple(r) for r in got.select("item_id", "neighbour", "score", "place").collect()} == want
