@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitrec.operators import candidates, itemknn, metrics, retrieval
 
@@ -88,3 +89,20 @@ def test_item_neighbours_are_counted_without_a_shuffle_of_pairs(spark, monkeypat
         cos = {b: round(len(have[a] & have[b]) / (len(have[a]) * len(have[b])) ** 0.5, 6) for b in have if b != a and have[a] & have[b]}
         want |= {(a, b, cos[b], n) for n, b in enumerate(sorted(cos, key=lambda b: (-cos[b], b))[:4], 1)}
     assert {tuple(r) for r in got.select("item_id", "neighbour", "score", "place").collect()} == want
+
+
+def test_rounding_keeps_the_sign_of_what_becomes_zero(spark):
+    from pitrec.operators.rounding import r6_signed
+
+    got = [r["x"] for r in spark.createDataFrame([(-3e-7,), (3e-7,), (-0.1234567,), (0.0,)], "x double").select(r6_signed(F.col("x")).alias("x")).collect()]
+    assert [str(x) for x in got] == ["-0.0", "0.0", "-0.123457", "0.0"]
+
+
+def test_sequences_are_not_kept_once_a_candidate(spark, sf):
+    from pitrec.plans import more
+
+    rows, items = more.interactions(spark, sf), more.adapters.catalog(spark, sf)
+    t = more.snapshots.resolve_four_cutoffs(rows)
+    _, table = more._table(rows, items, t[1], t[2], events=True)
+    kept = table._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation [")[1].split("]")[0]
+    assert "events" in table.columns and "user_n_events#" in kept and not re.search(r"\bevents#", kept)
