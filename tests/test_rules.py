@@ -37,3 +37,13 @@ def test_a_grid_gives_the_places_of_targets_alone(spark):
         want = retrieval.rule_scores(users, rows, items, pool, seen, grid[n], 7).join(targets, ["user_id", "item_id"])
         pick = lambda df: sorted(df.select("user_id", "item_id", "rank").collect())
         assert pick(got.where(F.col("grid_index") == n)) == pick(want)
+
+
+def test_basket_pairs_are_made_where_they_are_counted(spark):
+    rows = spark.createDataFrame([(u, i, 1, i) for u in range(6) for i in range(u, u + 4)] + [(9, 1, 1, 0)], "user_id long, item_id long, label int, ts long")
+    got = retrieval.covisitation(rows, cosine=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+    baskets = [set(range(u, u + 4)) for u in range(6)]
+    want = {(a, b): n for a in range(9) for b in range(9) if a != b and (n := sum({a, b} <= x for x in baskets)) >= 2}
+    assert {(r["a"], r["b"]): r["support"] for r in got.collect()} == want
