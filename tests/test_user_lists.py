@@ -40,3 +40,8 @@ def test_candidates_come_with_labels_and_support_without_a_shuffle(spark, sf):
 @pytest.mark.parametrize("name", ["b2_review_buckets", "b12_view_blocks"])
 def test_calibration_reads_candidates_without_joins(spark, sf, name):
     assert "Join" not in plan(registry.queries()[name](spark, sf))
+
+
+def test_conditional_recall_shuffles_hits_only(spark, sf):
+    text = plan(registry.queries()["e7_conditional_recall"](spark, sf))
+    assert len(re.findall(r"Filter \(?.*label#\d+ = 1", text)) >= 2 and "sequence(" not in text
