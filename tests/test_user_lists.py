@@ -64,3 +64,29 @@ def test_calibration_reads_candidates_without_joins(spark, sf, name):
 def test_conditional_recall_shuffles_hits_only(spark, sf):
     text = plan(registry.queries()["e7_conditional_recall"](spark, sf))
     assert len(re.findall(r"Filter \(?.*label#\d+ = 1", text)) >= 2 and "sequence(" not in text
+
+
+def test_basket_pairs_are_counted_without_an_aggregate_of_pairs(spark):
+    rng = random.Random(2)
+    held = {u: rng.sample(range(12), rng.randint(1, 9)) for u in range(30)}
+    rows = spark.createDataFrame([(u, i, u, 1) for u, x in held.items() for i in x], "user_id long, item_id long, ts long, label int")
+    got = retrieval.covisitation(rows, cosine=False)
+    assert not re.search(r"HashAggregate\(keys=\[a#\d+L?, b#", plan(got))
+    want = {(a, b): n for a in range(12) for b in range(12) if a != b and (n := sum(a in x and b in x for x in held.values())) >= 2}
+    assert {(r["a"], r["b"]): r["support"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("size, most", [(1, 1), (3, 4), (1000, 1 << 20)])
+def test_counts_of_an_item_go_on_over_batches(size, most):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((a, rng.sample(range(a + 1, a + 9), rng.randint(1, 6))) for a in (1, 1, 2, 4, 4, 4, 4, 4, 4, 4, 7, 9, 9))
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in x]), pa.array([b for _, b in x])], names=["a", "bs"]) for x in (rows[k : k + size] for k in range(0, len(rows), size))]
+    found = [r for out in retrieval.met_often(2, most)(iter(batches)) for r in zip(*(c.to_pylist() for c in out.columns))]
+    n = {}
+    for a, bs in rows:
+        for b in bs:
+            n[a, b] = n.get((a, b), 0) + 1
+    half = [(a, b, c) for (a, b), c in n.items() if c >= 2]
+    assert sorted(found) == sorted(half + [(b, a, c) for a, b, c in half])
