@@ -106,3 +106,22 @@ def test_sequences_are_not_kept_once_a_candidate(spark, sf):
     _, table = more._table(rows, items, t[1], t[2], events=True)
     kept = table._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation [")[1].split("]")[0]
     assert "events" in table.columns and "user_n_events#" in kept and not re.search(r"\bevents#", kept)
+
+
+@pytest.mark.parametrize("band, grid, most", [(65_536, 24, 1 << 21), (4, 5, 3)])
+def test_neighbours_lists_are_summed_where_users_lie(spark, monkeypatch, band, grid, most):
+    for name, value in (("BAND", band), ("GRID", grid), ("MOST", most)):
+        monkeypatch.setattr(itemknn, name, value)
+    rng = random.Random(6)
+    held = {u: rng.sample(range(30), rng.randint(1, 12)) for u in range(20)}
+    rows = spark.createDataFrame([(u, i) for u, x in held.items() for i in x] + [(None, 3), (0, held[0][0])], "user_id long, item_id long")
+    near = {(i, j): round(rng.choice([0.25, 0.5, rng.random()]), 6) for i in range(30) for j in rng.sample(range(30), 8) if i != j}  # many ties
+    known = {(u, i) for u, x in held.items() for i in x if u % 3} | {(u, 7) for u in range(20)}
+    users, pool = ids(spark, [*range(18), 99, 2], "user_id"), ids(spark, range(3, 40), "item_id")
+    got = itemknn.knn_top_k(users, rows, spark.createDataFrame([(i, j, s) for (i, j), s in near.items()], "item_id long, neighbour long, score double"), pool, spark.createDataFrame(list(known), "user_id long, item_id long"), 5)
+    assert "LeftAnti" not in plan(got) and not re.search(r"hashpartitioning\(user_id#\S+, item_id#|hashpartitioning\(neighbour#", plan(got))
+    want = set()
+    for u in range(18):
+        score = {i: round(sum(near.get((i, j), 0.0) for j in held[u]), 6) for i in range(3, 30) if (u, i) not in known and any((i, j) in near for j in held[u])}
+        want |= {(u, i, score[i], n) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)}
+    assert {tuple(r) for r in got.select("user_id", "item_id", "score", "rank").collect()} == want
