@@ -125,3 +125,25 @@ def test_neighbours_lists_are_summed_where_users_lie(spark, monkeypatch, band, g
         score = {i: round(sum(near.get((i, j), 0.0) for j in held[u]), 6) for i in range(3, 30) if (u, i) not in known and any((i, j) in near for j in held[u])}
         want |= {(u, i, score[i], n) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)}
     assert {tuple(r) for r in got.select("user_id", "item_id", "score", "rank").collect()} == want
+
+
+@pytest.mark.parametrize("k", [4, None])
+def test_random_lists_are_thinned_where_users_lie(spark, monkeypatch, k):
+    rng = random.Random(2)
+    seen = {(u, rng.randrange(30)) for u in range(12) for _ in range(u)}
+    pairs, pool = spark.createDataFrame([*seen, (None, 4)], "user_id long, item_id long"), ids(spark, range(24), "item_id")
+    users = spark.createDataFrame([(u, 1 + 2 * u) for u in range(14)], "user_id long, want long")
+    ready = retrieval.placed(pool, pairs)
+    got = retrieval.random_top_k(users, pool, pairs, k, 5, ready)
+    if k:
+        assert "LeftAnti" not in plan(got) and "Window" not in plan(got)
+    place = {r["idx"]: r["item_id"] for r in ready[0].collect()}
+    numbers = spark.range(14).selectExpr("id", *[f"conv(substring(md5(concat('5:{x}:', id)), 1, 12), 16, 10) as {x}" for x in "ab"])
+    want = set()
+    for u, a, b in numbers.collect():
+        order = [place.get((int(a) % 29 + (1 + int(b) % 28) * i) % 29) for i in range(1, 30)]
+        own = [x for x in order if x is not None and (u, x) not in seen][: k or 1 + 2 * u]
+        want |= {(u, x, -float(n), n) for n, x in enumerate(own, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    monkeypatch.setattr(retrieval, "LONG", 9)
+    assert {tuple(r) for r in retrieval.random_top_k(users, pool, pairs, k, 5).collect()} == want
