@@ -147,3 +147,33 @@ def test_random_lists_are_thinned_where_users_lie(spark, monkeypatch, k):
     assert {tuple(r) for r in got.collect()} == want
     monkeypatch.setattr(retrieval, "LONG", 9)
     assert {tuple(r) for r in retrieval.random_top_k(users, pool, pairs, k, 5).collect()} == want
+
+
+def test_what_belongs_to_users_joins_candidates_by_user_alone(spark):
+    cands = spark.createDataFrame([(u, i) for u in range(6) for i in range(9)] + [(1, None)], "user_id long, item_id long")
+    items = spark.createDataFrame([(i, f"s{i % 3}" if i else None) for i in range(8)], "item_id long, store string")
+    share = {(u, f"s{n}"): (u + n + 1) / 10 for u in range(5) for n in range(u % 3 + 1)}
+    affinity = spark.createDataFrame([(u, s, x) for (u, s), x in share.items()], "user_id long, facet string, affinity double")
+    tops = spark.createDataFrame([(u, "s1") for u in range(4)], "user_id long, top string")
+    targets = {(u, 2 * u) for u in range(5)} | {(2, 3)}
+    truth = spark.createDataFrame([(u, i, 7 * u) for u, i in targets], "user_id long, item_id long, n_history_events int")
+    got = candidates.attach_labels(candidates.cross_features(cands, items, {"store": affinity}, {"store": tops}), truth)
+    assert not re.search(r"hashpartitioning\(user_id#\w+, \w+#", plan(got))
+    for r in got.collect():
+        s = f"s{r['item_id'] % 3}" if r["item_id"] and r["item_id"] < 8 else None
+        assert (r["store_affinity"], r["same_top_store"]) == (share.get((r["user_id"], s), 0.0), int(s == "s1" and r["user_id"] < 4))
+        assert (r["label"], r["n_history_events"]) == (int((r["user_id"], r["item_id"]) in targets), 7 * r["user_id"] if r["user_id"] < 5 else 0)
+
+
+def test_few_vectors_are_sent_to_the_candidates(spark, monkeypatch):
+    cands = spark.createDataFrame([(u, i) for u in range(6) for i in range(9)], "user_id long, item_id long")
+    vector = {i: [1.0, 0.0] if i % 2 else [0.6, 0.8] for i in range(7)}
+    profiles = spark.createDataFrame([(u, [0.0, 1.0]) for u in range(4)], "user_id long, profile array<double>")
+    units = spark.createDataFrame(list(vector.items()), "item_id long, u array<double>")
+    want = {(u, i, (1.0 if i % 2 else 1.8) if u < 4 and i < 7 else 0.0) for u in range(6) for i in range(9)}
+    sent = candidates.fill_content(cands, profiles, units)
+    monkeypatch.setattr(candidates, "VECTORS", 3)
+    joined = candidates.fill_content(cands, profiles, units)
+    for df in (sent, joined):
+        assert {tuple(r) for r in df.select("user_id", "item_id", "content_score").collect()} == want
+    assert "hashpartitioning(item_id" not in plan(sent)
